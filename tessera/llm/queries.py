@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, shard_tree, simhash, topk, warc
+from tessera.llm import bpe, exact_dedup, shard_tree, simhash, topk, toxicity, warc
 from tessera.session import expose_package, load
 
 
@@ -37,6 +37,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(load(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def ready(query):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         run.__name__ = query.__name__
         return run
 
-    return {f.__name__: ready(f) for f in (op3_warc, op4_bpe, op5_topk, op6_simhash, op7_sharding, op9_exact_dedup)}
+    return {f.__name__: ready(f) for f in (op3_warc, op4_bpe, op5_topk, op6_simhash, op7_sharding, op9_exact_dedup, op10_toxicity)}
 
 
 #: Equal texts are joined by value; DuckDB compares strings byte by byte.
