@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, packing, shard_tree, simhash, token_counts, topk, toxicity, warc
+from tessera.llm import bpe, exact_dedup, packing, shard_tree, simhash, substring_dedup, token_counts, topk, toxicity, warc
 from tessera.session import expose_package, load
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(load(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return token_counts.count_tokens(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -60,7 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         run.__name__ = query.__name__
         return run
 
-    return {f.__name__: ready(f) for f in (op2_token_counts, op3_warc, op4_bpe, op5_topk, op6_simhash, op7_sharding, op8_packing, op9_exact_dedup, op10_toxicity)}
+    return {f.__name__: ready(f) for f in (op1_substring_dedup, op2_token_counts, op3_warc, op4_bpe, op5_topk, op6_simhash, op7_sharding, op8_packing, op9_exact_dedup, op10_toxicity)}
 
 
 #: Equal texts are joined by value; DuckDB compares strings byte by byte.
