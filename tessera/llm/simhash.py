@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.wordhash import mixed
 from tessera.operators.components import connected_components
 from tessera.session import materialize
 
@@ -129,3 +130,103 @@ def near_duplicate_groups(docs: DataFrame, width: int = 3, id_col: str = "doc_id
     lows, _ = materialize(named.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-roots")
     by_fp, _ = materialize(named.join(lows, "root").select("fp", "component_id"), "simhash-groups")
     return fps.join(by_fp, "fp").select(F.col("doc").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Near-duplicate stages compare texts by five-word shingles. Their fingerprints have 256 bits: the share
+#: of differing bits estimates the angle between two shingle sets to about 0.02, where 64 bits would tell
+#: it to 0.05 only.
+WIDE_WORDS, STAGE_WIDTH = 4, 5
+#: A Jaccard similarity of 0.8 of two sets of equal size is a cosine of 0.889, that is 39 differing bits; the
+#: margin above keeps pairs at the threshold that the estimate puts beyond it.
+WIDE_RADIUS = 44
+#: Index keys are three of the 32 positional bytes. Their distances are (1, 2, 3) and (5, 9, 14), so that two
+#: keys have one position in common at most.
+TRIPLES = [tuple((p + d) % 32 for d in steps) for steps in ((0, 1, 3), (0, 5, 14)) for p in range(32)]
+#: A key guarantees three shared positional bytes; pairs of similar documents share eight or so of 32, and
+#: unrelated ones none beyond chance.
+LEAST_SHARED = 4
+PARTS = 16
+
+
+def wide_fingerprint(text: str | None, width: int = STAGE_WIDTH) -> np.ndarray:
+    """Four 64-bit SimHashes, of the shingles' hashes and of three bijections of them."""
+    hashes = shingle_hashes(words_of(text or ""), width)
+    if not len(hashes):
+        return np.zeros(WIDE_WORDS, np.uint64)
+    counts = np.zeros(WIDE_WORDS * 8 * 256, np.int64)
+    offsets = np.arange(WIDE_WORDS * 8) * 256
+    for at in range(0, len(hashes), 4096):
+        part = np.stack([hashes[at : at + 4096]] + [mixed(hashes[at : at + 4096] + np.uint64(j)) for j in range(1, WIDE_WORDS)], axis=1)
+        counts += np.bincount((part.view(np.uint8).reshape(-1, WIDE_WORDS * 8) + offsets).ravel(), minlength=len(counts))
+    set_in = counts.reshape(-1, 256) @ _BITS
+    return np.packbits(set_in * 2 > len(hashes)).view(np.uint64)
+
+
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+
+
+def _wide_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    names = ["doc", *(f"f{i}" for i in range(WIDE_WORDS))]
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([wide_fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(prints[:, i]) for i in range(WIDE_WORDS))], names)
+
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(compute, ", ".join(f"{n} long" for n in names))
+
+
+def _wide_candidates(classes: DataFrame) -> DataFrame:
+    """(src, dst): nodes that share an index key; all pairs of short lists, two stars of longer ones.
+
+    A long list hangs on its member of the smallest document, and each of its PARTS parts on theirs, so
+    its rows stay in proportion. A group of copies has many keys, and each has stars of its own.
+    """
+    byte = lambda p: F.shiftrightunsigned(f"f{p // 8}", 8 * (p % 8)).bitwiseAND(F.lit(255))
+    keys = [(F.lit(n).cast("long") * (1 << 24) + byte(a) * 65536 + byte(b) * 256 + byte(c)) for n, (a, b, c) in enumerate(TRIPLES)]
+    postings = classes.select("node", "low", F.explode(F.array(*keys)).alias("key"))
+    lists, _ = materialize(postings.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("low", "node")).alias("top")).where("n > 1").select("key", "n", F.col("top.node").alias("pivot")), "wide-lists")
+    listed, _ = materialize(postings.join(lists, "key"), "wide-listed")
+    short, long = listed.where(F.col("n") <= LONGEST_LIST), listed.where(F.col("n") > LONGEST_LIST)
+    pairs = short.select("key", F.col("node").alias("src")).join(short.select("key", F.col("node").alias("dst")), "key").where("src < dst").select("src", "dst")
+    dealt = long.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)))
+    heads, _ = materialize(dealt.groupBy("key", "part").agg(F.min(F.struct("low", "node")).alias("head")).select("key", "part", F.col("head.node").alias("head")), "wide-heads")
+    stars = long.select(F.col("node").alias("src"), F.col("pivot").alias("dst")).union(dealt.join(heads, ["key", "part"]).select(F.col("node").alias("src"), F.col("head").alias("dst")))
+    stars = stars.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    return pairs.union(stars).distinct()
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(fp classes) node, component: classes of documents that are similar to another class, with their
+    group's smallest id as component; and the table of documents with their class.
+
+    Candidates share three positional bytes of their 256-bit fingerprints; pairs that share LEAST_SHARED of
+    the 32 are kept, and those within WIDE_RADIUS bits are links. Unlike the search at two bits this one
+    is not exact: a pair of similarity 0.9 shares a key with probability over 0.99, one of 0.8 with about 0.75.
+    """
+    prints, _ = materialize(_wide_table(docs, id_col, text_col), "wide-prints")
+    names = [f"f{i}" for i in range(WIDE_WORDS)]
+    noded = prints.select("doc", F.xxhash64(*names).alias("node"), *names)
+    # Texts without words have no shingles to be similar in.
+    classes, _ = materialize(noded.where(" or ".join(f"{n} <> 0" for n in names)).groupBy("node", *names).agg(F.min("doc").alias("low")), "wide-classes")
+    pairs, _ = materialize(_wide_candidates(classes), "wide-pairs")
+    side = lambda end, mark: classes.select(F.col("node").alias(end), *[F.col(n).alias(mark + n) for n in names])
+    both = pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst")
+    differing = [F.col("a" + n).bitwiseXOR(F.col("b" + n)) for n in names]
+    tally = [shared_bytes(F.col("a" + n), F.col("b" + n)) for n in names]
+    near = both.where(sum(tally[1:], tally[0]) >= LEAST_SHARED).where(sum([F.bit_count(d) for d in differing[1:]], F.bit_count(differing[0])) <= WIDE_RADIUS)
+    parts = connected_components(near.select("src", "dst"))
+    named = classes.select("node", "low").join(parts, F.col("node") == F.col("id"), "left").select("node", "low", F.coalesce("component", "node").alias("root"))
+    lows, _ = materialize(named.groupBy("root").agg(F.min("low").alias("component_id")), "wide-roots")
+    groups, _ = materialize(named.join(lows, "root").select("node", "component_id"), "wide-groups")
+    return noded.select("doc", "node").join(groups, "node").select(F.col("doc").alias(id_col), "node", "component_id")
+
+
+def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those that are similar to a document with a smaller id in their group.
+
+    Texts without words and rows without an id stay. Of rows that repeat an id all stay or go.
+    """
+    gone = similar_groups(docs, id_col, text_col).where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    gone, _ = materialize(gone, "similar-gone")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
