@@ -138,42 +138,53 @@ def near_duplicate_groups(docs: DataFrame, width: int = 3, id_col: str = "doc_id
 WIDE_WORDS, STAGE_WIDTH = 4, 5
 #: A Jaccard similarity of 0.8 of two sets of equal size is a cosine of 0.889, that is 39 differing bits; the
 #: margin above keeps pairs at the threshold that the estimate puts beyond it.
-WIDE_RADIUS = 44
-#: Index keys are three of the 32 positional bytes. Their distances are (1, 2, 3) and (5, 9, 14), so that two
-#: keys have one position in common at most.
-TRIPLES = [tuple((p + d) % 32 for d in steps) for steps in ((0, 1, 3), (0, 5, 14)) for p in range(32)]
+WIDE_RADIUS = 46
+#: Index keys are three of the 32 positional bytes, from families of triples at fixed distances. Of the 256
+#: keys a document enters the CHOSEN whose bits are the surest, those furthest from half: these are the
+#: least likely to differ in a similar document, which therefore chooses mostly the same.
+FAMILIES = [(0, 1, 3), (0, 5, 14), (0, 7, 11), (0, 4, 10), (0, 8, 17), (0, 2, 15), (0, 12, 18), (0, 9, 20)]
+TRIPLES = np.array([[(p + d) % 32 for d in steps] for steps in FAMILIES for p in range(32)])
+CHOSEN, SURENESS = 96, 2.0
 #: A key guarantees three shared positional bytes; pairs of similar documents share eight or so of 32, and
 #: unrelated ones none beyond chance.
 LEAST_SHARED = 4
 PARTS = 16
 
 
-def wide_fingerprint(text: str | None, width: int = STAGE_WIDTH) -> np.ndarray:
-    """Four 64-bit SimHashes, of the shingles' hashes and of three bijections of them."""
+def wide_fingerprint(text: str | None, width: int = STAGE_WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Four 64-bit SimHashes, of the shingles' hashes and of three bijections of them; and the index keys,
+    each the number of a triple and its three bytes in 32 bits."""
     hashes = shingle_hashes(words_of(text or ""), width)
-    if not len(hashes):
-        return np.zeros(WIDE_WORDS, np.uint64)
+    n = len(hashes)
+    if not n:
+        return np.zeros(WIDE_WORDS, np.uint64), np.empty(0, np.uint32)
     counts = np.zeros(WIDE_WORDS * 8 * 256, np.int64)
     offsets = np.arange(WIDE_WORDS * 8) * 256
-    for at in range(0, len(hashes), 4096):
+    for at in range(0, n, 4096):
         part = np.stack([hashes[at : at + 4096]] + [mixed(hashes[at : at + 4096] + np.uint64(j)) for j in range(1, WIDE_WORDS)], axis=1)
         counts += np.bincount((part.view(np.uint8).reshape(-1, WIDE_WORDS * 8) + offsets).ravel(), minlength=len(counts))
-    set_in = counts.reshape(-1, 256) @ _BITS
-    return np.packbits(set_in * 2 > len(hashes)).view(np.uint64)
+    twice = 2 * (counts.reshape(-1, 256) @ _BITS)
+    positional = np.packbits(twice > n)
+    doubt = np.exp(-SURENESS * np.abs(twice - n) / np.sqrt(n)).sum(axis=1)[TRIPLES].sum(axis=1)
+    chosen = np.argsort(doubt, kind="stable")[:CHOSEN].astype(np.uint32)
+    a, b, c = positional[TRIPLES[chosen]].astype(np.uint32).T
+    return positional.view(np.uint64), chosen << np.uint32(24) | a << np.uint32(16) | b << np.uint32(8) | c
 
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
 def _wide_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    names = ["doc", *(f"f{i}" for i in range(WIDE_WORDS))]
+    names = ["doc", *(f"f{i}" for i in range(WIDE_WORDS)), "keys"]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([wide_fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(prints[:, i]) for i in range(WIDE_WORDS))], names)
+            found = [wide_fingerprint(t.as_py()) for t in batch.column(1)]
+            prints = np.array([f for f, _ in found], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
+            keys = pa.array([k.view(np.int32) for _, k in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(prints[:, i]) for i in range(WIDE_WORDS)), keys], names)
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(compute, ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(compute, "doc long, f0 long, f1 long, f2 long, f3 long, keys array<int>")
 
 
 def _wide_candidates(classes: DataFrame) -> DataFrame:
@@ -182,16 +193,15 @@ def _wide_candidates(classes: DataFrame) -> DataFrame:
     A long list hangs on its member of the smallest document, and each of its PARTS parts on theirs, so
     its rows stay in proportion. A group of copies has many keys, and each has stars of its own.
     """
-    byte = lambda p: F.shiftrightunsigned(f"f{p // 8}", 8 * (p % 8)).bitwiseAND(F.lit(255))
-    keys = [(F.lit(n).cast("long") * (1 << 24) + byte(a) * 65536 + byte(b) * 256 + byte(c)) for n, (a, b, c) in enumerate(TRIPLES)]
-    postings = classes.select("node", "low", F.explode(F.array(*keys)).alias("key"))
-    lists, _ = materialize(postings.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("low", "node")).alias("top")).where("n > 1").select("key", "n", F.col("top.node").alias("pivot")), "wide-lists")
+    postings = classes.select(F.explode("keys").alias("key"), "node", "low")
+    lists, _ = materialize(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-lists")
     listed, _ = materialize(postings.join(lists, "key"), "wide-listed")
     short, long = listed.where(F.col("n") <= LONGEST_LIST), listed.where(F.col("n") > LONGEST_LIST)
     pairs = short.select("key", F.col("node").alias("src")).join(short.select("key", F.col("node").alias("dst")), "key").where("src < dst").select("src", "dst")
     dealt = long.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)))
     heads, _ = materialize(dealt.groupBy("key", "part").agg(F.min(F.struct("low", "node")).alias("head")).select("key", "part", F.col("head.node").alias("head")), "wide-heads")
-    stars = long.select(F.col("node").alias("src"), F.col("pivot").alias("dst")).union(dealt.join(heads, ["key", "part"]).select(F.col("node").alias("src"), F.col("head").alias("dst")))
+    tops, _ = materialize(long.groupBy("key").agg(F.min(F.struct("low", "node")).alias("top")).select("key", F.col("top.node").alias("top")), "wide-tops")
+    stars = long.join(tops, "key").select(F.col("node").alias("src"), F.col("top").alias("dst")).union(dealt.join(heads, ["key", "part"]).select(F.col("node").alias("src"), F.col("head").alias("dst")))
     stars = stars.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     return pairs.union(stars).distinct()
 
@@ -202,13 +212,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Candidates share three positional bytes of their 256-bit fingerprints; pairs that share LEAST_SHARED of
     the 32 are kept, and those within WIDE_RADIUS bits are links. Unlike the search at two bits this one
-    is not exact: a pair of similarity 0.9 shares a key with probability over 0.99, one of 0.8 with about 0.75.
+    is not exact: it found 0.9 of the pairs of similarity 0.8 and more in the test tables (see README).
     """
     prints, _ = materialize(_wide_table(docs, id_col, text_col), "wide-prints")
     names = [f"f{i}" for i in range(WIDE_WORDS)]
-    noded = prints.select("doc", F.xxhash64(*names).alias("node"), *names)
+    noded = prints.select("doc", F.xxhash64(*names).alias("node"), *names, "keys")
     # Texts without words have no shingles to be similar in.
-    classes, _ = materialize(noded.where(" or ".join(f"{n} <> 0" for n in names)).groupBy("node", *names).agg(F.min("doc").alias("low")), "wide-classes")
+    classes, _ = materialize(noded.where(" or ".join(f"{n} <> 0" for n in names)).groupBy("node", *names).agg(F.min("doc").alias("low"), F.min("keys").alias("keys")), "wide-classes")
     pairs, _ = materialize(_wide_candidates(classes), "wide-pairs")
     side = lambda end, mark: classes.select(F.col("node").alias(end), *[F.col(n).alias(mark + n) for n in names])
     both = pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst")
