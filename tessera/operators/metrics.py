@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import running_sum
+
 CLASSIFICATION = ("TP", "FP", "FN", "TN", "Accuracy", "Recall", "Specificity", "Precision", "Balanced Accuracy", "GeomRS", "HarmRS", "F1 Score", "ROC AUC", "MCC", "PRC AUC", "Brier", "ECE")
 
 
@@ -44,8 +46,7 @@ def _ranking(rows: DataFrame) -> DataFrame:
     Scores are combined first; the running sums go over one row a distinct score and group.
     """
     at = rows.groupBy("Group", "s").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0.0).otherwise(F.col("w"))).alias("neg"))
-    down = Window.partitionBy("Group").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    run = at.select("Group", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
+    run = running_sum(running_sum(at, [F.desc("s")], "pos", "tp", ("Group",)), [F.desc("s")], "neg", "fp", ("Group",))
     total = run.groupBy("Group").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("area"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"))
     return total.select("Group", _over(F.col("area"), F.col("P") * F.col("N")).alias("AUROC"), _over(F.col("ap"), F.col("P")).alias("AP"))
 

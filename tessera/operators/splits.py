@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import bin_column
+from tessera.operators.ranking import running_sum
 
 
 class InfeasibleSplit(ValueError):
@@ -95,7 +96,7 @@ def temporal_split(df: DataFrame, time_col: str, fraction: float = 0.2) -> DataF
     """
     place = round(df.where(F.col(time_col).isNotNull()).count() * fraction)
     counts = df.where(F.col(time_col).isNotNull()).groupBy(time_col).agg(F.count("*").alias("__n"))
-    day = counts.select(F.col(time_col).alias("t"), F.sum("__n").over(Window.orderBy(F.desc(time_col))).alias("upto"))
+    day = running_sum(counts.select(F.col(time_col).alias("t"), "__n"), [F.desc("t")], "__n", "upto")
     boundary = day.where(F.col("upto") > place).agg(F.max("t").alias("__b"))
     return df.crossJoin(F.broadcast(boundary)).withColumn("Set", F.when(F.col(time_col) < F.col("__b"), "Train").otherwise("Test")).drop("__b")
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import running_sum
+
 
 def rank_biserial(u: Column, n1: Column, n2: Column) -> Column:
     return 2 * u / (n1 * n2) - 1
@@ -31,10 +33,10 @@ def mann_whitney(df: DataFrame, value: str, label: str, label_1: str, label_2: s
     """
     rows = df.where(F.col(label).isin(label_1, label_2) & F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), (F.col(label) == label_1).cast("long").alias("one")).where(~F.isnan("v"))
     counts = rows.groupBy("v").agg(F.sum("one").alias("a"), F.sum(1 - F.col("one")).alias("b"))
-    before = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     t = F.col("a") + F.col("b")
-    below = F.coalesce(F.sum("b").over(before), F.lit(0))
-    sums = counts.select("a", "b", t.alias("t"), (F.col("a") * (below + F.col("b") / 2)).alias("u")).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum("u").alias("u"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
+    below = F.col("upto") - F.col("b")
+    ranked = running_sum(counts, ["v"], "b", "upto")
+    sums = ranked.select("a", "b", t.alias("t"), (F.col("a") * (below + F.col("b") / 2)).alias("u")).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum("u").alias("u"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     side = lambda one, n: rows.where(f"one = {one}").agg(F.avg("v").alias(f"mean_{n}"), F.expr("percentile(v, 0.5)").alias(f"median_{n}"))
     wide = sums.crossJoin(side(1, 1)).crossJoin(side(0, 2)).select(F.coalesce("n1", F.lit(0)).alias("n1"), F.coalesce("n2", F.lit(0)).alias("n2"), "u", "ties", "mean_1", "mean_2", "median_1", "median_2")
     enough = (F.col("n1") >= min_n) & (F.col("n2") >= min_n)

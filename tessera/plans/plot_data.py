@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.neighbours import k_neighbors_distance
+from tessera.operators.ranking import running_sum
 
 
 def ecdf(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -16,8 +17,9 @@ def ecdf(df: DataFrame, value: str, group: str) -> DataFrame:
     Values are counted first; the running sum goes over distinct values.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
-    up = Window.partitionBy(group).orderBy(value)
-    return counts.select(group, value, (F.sum("n").over(up) / F.sum("n").over(Window.partitionBy(group))).alias("ecdf"))
+    total = counts.groupBy(F.col(group).alias("__g")).agg(F.sum("n").alias("__total"))
+    run = running_sum(counts, [value], "n", "__upto", (group,)).join(total, F.col(group).eqNullSafe(F.col("__g")))
+    return run.select(group, value, (F.col("__upto") / F.col("__total")).alias("ecdf"))
 
 
 def k_neighbours_ecdf(train: DataFrame, test: DataFrame, metric: str, nearest_k: list[int], furthest_k: list[int], id_col: str = "id", features_col: str = "features") -> DataFrame:
@@ -71,8 +73,9 @@ def qq_points(df: DataFrame, value: str, group: str) -> DataFrame:
     """(group, theoretical, observed): ordered values against normal quantiles at Filliben's positions."""
     normal = statistics.NormalDist()
     inverse = F.udf(lambda p: normal.inv_cdf(p), "double")
-    w = Window.partitionBy(group)
-    ranked = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("observed"), F.row_number().over(w.orderBy(value)).alias("i"), F.count("*").over(w).alias("n"))
+    rows = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("observed"))
+    sizes = rows.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("n"))
+    ranked = running_sum(rows, ["observed"], F.lit(1), "i", (group,)).join(sizes, F.col(group).eqNullSafe(F.col("__g")))
     last = F.pow(F.lit(0.5), 1 / F.col("n"))
     p = F.when(F.col("i") == F.col("n"), last).when(F.col("i") == 1, 1 - last).otherwise((F.col("i") - 0.3175) / (F.col("n") + 0.365))
     return ranked.select(group, inverse(p).alias("theoretical"), "observed")
