@@ -123,19 +123,76 @@ def largest_fragment(text: str | None) -> str | None:
     return max(text.split("."), key=lambda p: (carbon(p), size(p)))
 
 
+# Groups of elements; an element outside all of them has the number behind the last.
+GROUPS = (
+    ("H", "C", "N", "O", "P", "S"),
+    ("Li", "Na", "K", "Rb", "Cs", "Fr"),
+    ("Be", "Mg", "Ca", "Sr", "Ba", "Ra"),
+    ("Sc", "Ti", "V", "Cr", "Mn", "Fe", "Co", "Ni", "Cu", "Zn", "Y", "Zr", "Nb", "Mo", "Tc", "Ru", "Rh", "Pd", "Ag", "Cd", "Hf", "Ta", "W", "Re", "Os", "Ir", "Pt", "Au", "Hg", "Rf", "Db", "Sg", "Hs", "Mt", "Ds", "Rg", "Cn"),
+    ("Al", "Ga", "In", "Sn", "Tl", "Pb", "Bi", "Nh", "Fl", "Mc", "Lv"),
+    ("B", "Si", "Ge", "As", "Sb", "Te", "Po"),
+    ("F", "Cl", "Br", "I", "At", "Ts"),
+    ("He", "Ne", "Ar", "Kr", "Xe", "Rn", "Og"),
+    ("La", "Ce", "Pr", "Nd", "Pm", "Sm", "Eu", "Gd", "Tb", "Dy", "Ho", "Er", "Tm", "Yb", "Lu"),
+    ("Ac", "Th", "Pa", "U", "Np", "Pu", "Am", "Cm", "Bk", "Cf", "Es", "Fm", "Md", "No", "Lr"),
+)
+
+
+def ring_bonds(n: int, bonds: list[tuple[int, int, str]]) -> set[int]:
+    """The bonds (by number) that lie on a ring: those whose ends stay connected without them."""
+    found = set()
+    for k, (a, b, _) in enumerate(bonds):
+        near: dict[int, list[int]] = {}
+        for j, (x, y, _) in enumerate(bonds):
+            if j != k:
+                near.setdefault(x, []).append(y)
+                near.setdefault(y, []).append(x)
+        seen, stack = {a}, [a]
+        while stack:
+            for y in near.get(stack.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    stack.append(y)
+        if b in seen:
+            found.add(k)
+    return found
+
+
 def graph(text: str | None) -> dict | None:
-    """Atoms as element numbers of COMMON (0 for others), and directed edges in both directions; a molecule
-    without bonds has one edge of its first atom to itself."""
+    """Atoms and directed edges of a molecule; null if its grammar is broken.
+
+    Per atom: element (its number in COMMON from 1, 0 for others), group, charge, aromatic, hydrogens, degree
+    and ring. A virtual last atom of zeros is joined to all others. Edges go both ways, with kind 1 to 4 for
+    single, double, triple and aromatic bonds, 0 for virtual ones, and ring. A molecule without bonds has
+    one edge of its first atom to itself.
+    """
     found = parse(text) if text else None
     if not found:
         return None
     atoms, bonds = found
-    kinds = "-=#:"
-    edges = [(i, j, kinds.find(k) + 1) for a, b, k in bonds for i, j in ((a, b), (b, a))] or [(0, 0, 0)]
-    return {"x": [COMMON.index(a["symbol"]) + 1 if a["symbol"] in COMMON else 0 for a in atoms], "charge": [a["charge"] for a in atoms], "src": [e[0] for e in edges], "dst": [e[1] for e in edges], "kind": [e[2] for e in edges]}
-
-
-GRAPH = "struct<x:array<int>,charge:array<int>,src:array<int>,dst:array<int>,kind:array<int>>"
+    n, kinds = len(atoms), "-=#:"
+    rings = ring_bonds(n, bonds)
+    ends = [e for a, b, _ in bonds for e in (a, b)]
+    in_ring = {e for k in rings for e in bonds[k][:2]}
+    group = lambda s: next((i for i, g in enumerate(GROUPS) if s in g), len(GROUPS))
+    edges = [(i, j, kinds.find(kind) + 1, int(k in rings)) for k, (a, b, kind) in enumerate(bonds) for i, j in ((a, b), (b, a))]
+    edges = edges + [(i, j, 0, 0) for a in range(n) for i, j in ((a, n), (n, a))] if edges else [(0, 0, 0, 0)]
+    return {
+        "x": [COMMON.index(a["symbol"]) + 1 if a["symbol"] in COMMON else 0 for a in atoms] + [0],
+        "group": [group(a["symbol"]) for a in atoms] + [0],
+        "charge": [a["charge"] for a in atoms] + [0],
+        "aromatic": [int(a["aromatic"]) for a in atoms] + [0],
+        "hydrogens": [a["hydrogens"] or 0 for a in atoms] + [0],
+        "degree": [ends.count(i) for i in range(n)] + [0],
+        "ring": [int(i in in_ring) for i in range(n)] + [0],
+        "src": [e[0] for e in edges],
+        "dst": [e[1] for e in edges],
+        "kind": [e[2] for e in edges],
+        "ring_edge": [e[3] for e in edges],
+    }
+
+
+GRAPH = "struct<" + ",".join(f"{c}:array<int>" for c in ("x", "group", "charge", "aromatic", "hydrogens", "degree", "ring", "src", "dst", "kind", "ring_edge")) + ">"
 
 
 def map_distinct(df: DataFrame, key: str, fn: Callable[[str], object], out: str, kind: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import tokenize
 from tessera.operators.duplicates import check_unit_error, mad_duplicates
 
 READERS = {
@@ -154,3 +155,19 @@ def resolve(df: DataFrame, name_col: str, fetch, out: str = "resolved", enabled:
 
     looked = df.select(F.col(name_col).cast("string").alias("__n")).where("__n is not null").distinct().mapInArrow(work, "__name string, __got string")
     return df.join(looked, F.col(name_col) == F.col("__name"), "left").withColumn(out, F.col("__got")).drop("__name", "__got")
+
+
+def read_dock_logs(spark: SparkSession, path: str) -> DataFrame:
+    """(path, score, parameters): the least affinity of each docking log and its `< name > : < value >` lines."""
+    logs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    scores = F.transform(F.regexp_extract_all("value", F.lit(r"Affinity:\s*([\-?+\d.]+)\s+\(kcal/mol\)"), F.lit(1)), lambda x: x.try_cast("double"))
+    pairs = lambda i: F.regexp_extract_all("value", F.lit(r"(?m)^<\s(.+)\s>\s:\s<\s(.+)\s>$"), F.lit(i))
+    return logs.select("path", F.array_min(scores).alias("score"), F.map_from_entries(F.arrays_zip(pairs(1), pairs(2))).alias("parameters"))
+
+
+def article_tokens(df: DataFrame) -> DataFrame:
+    """Adds tokens of the abstract, words of letters without stop words, and keeps keywords sorted and distinct.
+
+    Needs the columns of article_fields.
+    """
+    return df.withColumn("tokens", tokenize(F.col("abstract"))).withColumn("keywords", F.array_sort(F.array_distinct("keywords")))

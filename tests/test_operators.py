@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import scalars, smiles, text
+from tessera.functions import scalars, smiles, text, vectors
 from tessera.functions.distances import METRICS, pairwise
-from tessera.operators import batches, clusters, components, duplicates, metrics, neighbours, splits, stats, topics, transforms
+from tessera.operators import batches, clusters, components, duplicates, metrics, neighbours, ranking, splits, stats, topics, transforms
 from tessera.plans import evaluation, plot_data
 from tessera.sources import tables
 from tessera.streaming import losses
@@ -210,7 +210,8 @@ def test_smiles(spark):
     assert smiles.largest_fragment("[Na+].CC(=O)[O-]") == "CC(=O)[O-]"
     assert smiles.parse("C1CC1")[1][-1][:2] == (0, 2) and smiles.parse("C1CC") is None and smiles.parse("C(") is None
     g = {r[0]: r["graph"] for r in smiles.molecule_graph(df).collect()}
-    assert g["CCO"]["src"] == [0, 1, 1, 2] and g["not-a-smiles"] is None
+    assert g["CCO"]["src"][:4] == [0, 1, 1, 2] and g["not-a-smiles"] is None and len(g["CCO"]["x"]) == 4
+    assert g["c1ccccc1"]["ring"] == [1] * 6 + [0] and set(g["c1ccccc1"]["kind"]) == {4, 0} and g["CCO"]["degree"] == [1, 2, 1, 0]
     with pytest.raises(smiles.MissingToolkit):
         smiles.key_transform(df, "ecfp")
     smiles.register_key_transform("length_of", len, "int")
@@ -300,7 +301,7 @@ def test_batches(spark):
     assert masks == [1, 2, 3] and {len(r["padded"]) for r in batches.collate_tokens(one).collect()} == {3}
     graphs = smiles.molecule_graph(spark.createDataFrame([("CC", 0, 0), ("CCO", 0, 1)], "SMILES string, batch int, place int"))
     got = batches.collate_graphs(graphs).orderBy("place").collect()
-    assert got[1]["offset"] == 2 and min(got[1]["src"]) == 2
+    assert got[1]["offset"] == 3 and min(got[1]["src"]) == 3
 
 
 def test_topics(spark):
@@ -321,3 +322,28 @@ def test_streaming_loss_equals_batch(spark, tmp_path):
     got = spark.table("loss_out").agg(F.sum("loss"), F.sum("weight")).first()
     want = metrics.masked_loss(rows_, ["y"], ["p"], ["w"]).where("scope = 'total'").first()
     assert got[0] == pytest.approx(want["loss"]) and got[1] == want["weight"]
+
+
+def test_vectors_and_logs(spark, tmp_path):
+    df = spark.createDataFrame([([0.2, 0.5, 0.1],), ([0.4, 0.3, 0.9],)], "v array<double>")
+    r = df.select(vectors.k_smallest(F.col("v"), 2), vectors.k_largest(F.col("v"), 9)).collect()
+    assert r[0][0] == [0.1, 0.2] and r[1][1] == [0.9, 0.4, 0.3]
+    assert [x["values"] for x in vectors.k_smallest_by_position(df, "v", 1).orderBy("position").collect()] == [[0.2], [0.3], [0.1]]
+    assert [x["values"] for x in vectors.k_largest_by_position(df, "v", 1).orderBy("position").collect()] == [[0.4], [0.5], [0.9]]
+    assert vectors.validate_features(df, "v") == 3
+    with pytest.raises(ValueError):
+        vectors.validate_features(df.union(spark.createDataFrame([([1.0],)], "v array<double>")), "v")
+    with pytest.raises(ValueError):
+        vectors.validate_targets(df, "v")
+    (tmp_path / "a.log").write_text("< protein_path > : < p.pdb >\nx Affinity: -7.5 (kcal/mol)\nAffinity:  -8.25 (kcal/mol)\n")
+    r = tables.read_dock_logs(spark, str(tmp_path / "a.log")).first()
+    assert r["score"] == -8.25 and r["parameters"] == {"protein_path": "p.pdb"}
+    art = spark.createDataFrame([("The quick Foxes", ["b", "a", "b"])], "abstract string, keywords array<string>")
+    assert tables.article_tokens(art).first()["tokens"] == ["quick", "foxes"]
+
+
+def test_running_sum(spark):
+    df = spark.createDataFrame([("a" if i % 3 else "b", i, 1) for i in range(50)], "g string, k long, v int")
+    got = {r["k"]: r["s"] for r in ranking.running_sum(df.repartition(5), ["k"], "v", "s", ("g",)).collect()}
+    assert got[0] == 1 and got[48] == 17 and got[49] == 33
+    assert ranking.running_sum(df.limit(0), ["k"], "v", "s").count() == 0
