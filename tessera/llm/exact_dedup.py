@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import materialize, remove
@@ -82,11 +82,16 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns (see duplicate_groups).
 
-    The decision is joined back on the id; where ids repeat, it is joined on id and text digest, and
-    of equal rows one is returned.
+    Rows that go are few and known by id and text digest; the rest stay by an anti-join. Only where rows
+    repeat both id and text is one of them picked.
     """
-    marked = duplicate_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    groups, _ = materialize(duplicate_groups(docs, id_col, text_col).where(~F.col("kept")), "exact-gone")
+    again = F.col(id_col).eqNullSafe(F.col("keep_id"))
+    keys = [F.col(id_col).alias("__id"), F.col("text_sha256").alias("__of")]
+    gone, repeated = groups.where(~again).select(*keys).distinct(), groups.where(again).select(*keys).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__of"))
     tagged = docs.withColumn("__sha", F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256))
-    kept = tagged.join(marked.withColumnRenamed("__sha", "__own"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__own")), "left_semi")
-    one = Window.partitionBy(id_col, "__sha").orderBy("__sha")
-    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n", "__sha")
+    stay = tagged.join(gone, same, "left_anti")
+    if not repeated.isEmpty():
+        stay = stay.join(repeated, same, "left_anti").union(stay.join(repeated, same, "left_semi").dropDuplicates([id_col, "__sha"]))
+    return stay.drop("__sha")

@@ -76,6 +76,15 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+#: Equal payloads are those equal by value. Base-32 digits are five bits of the SHA-1 each.
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), x AS (SELECT *, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, strlen(h) AS payload_bytes,
+ array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(s, (5 * (i // 4) + 1)::int, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31) + 1)::int, 1)), '') AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+ regexp_replace(url, '[\r\n]', ' ', 'g') AS target_uri FROM x
+"""
+
 OP5_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -87,4 +96,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op3_warc": OP3_SQL, "op5_topk": OP5_SQL, "op9_exact_dedup": OP9_SQL}
