@@ -17,6 +17,16 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table just read, dealt anew if it comes in fewer splits than the cluster has cores.
+
+    Files that cannot be split would leave cores idle in work that is heavy for each row; tables of many
+    splits are returned as they are. Only for scans: counting the splits of other plans may run them.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor share, from spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -27,8 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; two calls never give the same one."""
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below the application's id; two calls never give the same one."""
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. Frames that read them are void from then on."""
+    remove(spark, f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
