@@ -9,16 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, exact_dedup, packing, shard_tree, simhash, substring_dedup, token_counts, topk, toxicity, warc
-from tessera.session import expose_package, load
+from tessera.session import expose_package, load, spread
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_passages(load(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_passages(spread(load(spark, sf_dir, "documents")))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return token_counts.count_tokens(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return token_counts.count_tokens(spread(load(spark, sf_dir, "documents")), ranks, public_tokenizers.PATTERN)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.round_trip(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.round_trip(spread(load(spark, sf_dir, "documents")), ranks, public_tokenizers.PATTERN)
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicate_groups(load(spark, sf_dir, "documents"))
+    return simhash.near_duplicate_groups(spread(load(spark, sf_dir, "documents")))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = [public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken")]
-    return packing.pack_documents(load(spark, sf_dir, "documents"), *files, public_tokenizers.PATTERN)
+    return packing.pack_documents(spread(load(spark, sf_dir, "documents")), *files, public_tokenizers.PATTERN)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return toxicity.toxicity_report(spread(load(spark, sf_dir, "documents")), load(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

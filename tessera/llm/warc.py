@@ -157,30 +157,36 @@ def salvage(data: bytes) -> Iterator[dict]:
         yield {"start": begin, "end": at, "problem": problem}
 
 
+def _member(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
+    """The plain bytes of the gzip member at that place and the offset behind it; zlib.error if it is damaged."""
+    engine, parts = zlib.decompressobj(31), []
+    while at < len(data) and not engine.eof:
+        parts.append(engine.decompress(data[at : at + step]))
+        at = min(at + step, len(data))
+    if not engine.eof:
+        raise zlib.error("member ends early")
+    return b"".join(parts), at - len(engine.unused_data)
+
+
 def unzip(data: bytes) -> Iterator[tuple[int, int, bytes, str]]:
     """The gzip members of data: (start, end, plain bytes, problem). Members that fail are gaps that
     reach to the next member that inflates and passes its checksum.
     """
     at, size = 0, len(data)
     while at < size:
-        begin, problem = at, ""
-        while at < size:
-            engine = zlib.decompressobj(31)
+        begin, problem, found = at, "", None
+        while at < size and found is None:
             try:
-                plain = engine.decompress(data[at:]) if at == begin or data.startswith(GZIP_MAGIC, at) else None
-                if plain is not None and engine.eof:
-                    break
-                problem = problem or "gzip member ends early"
+                found = _member(data, at)
             except zlib.error as e:
                 problem = problem or f"gzip: {e}"
-            following = data.find(GZIP_MAGIC, at + 1)
-            at = following if following >= 0 else size
-        if at > begin or problem:
+                following = data.find(GZIP_MAGIC, at + 1)
+                at = following if following >= 0 else size
+        if at > begin:
             yield begin, at, b"", problem
-        if at < size:
-            end = size - len(engine.unused_data)
-            yield at, end, plain, ""
-            at = end
+        if found is not None:
+            yield at, found[1], found[0], ""
+            at = found[1]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
