@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import materialize, remove
+from tessera.session import materialize
 
 
 def duplicated_mask(df: DataFrame, keys: list[str], out: str = "duplicated") -> DataFrame:
@@ -51,25 +51,21 @@ def _trimmed(values: DataFrame, range_threshold: float, z_threshold: float, how:
     or greatest; else values whose |0.6745 (x - median) / MAD| exceeds z_threshold go. A key that loses
     none is settled as null, as is one whose MAD is 0. All keys advance together, one table a round.
     """
-    spark = values.sparkSession
     settle = {"mean": F.avg("v"), "median": F.expr("percentile(v, 0.5)"), "min": F.min("v"), "max": F.max("v")}[how]
-    rows, path, done = values, None, []
+    rows, done = values, []
     while True:
         stats, _ = materialize(rows.groupBy("k").agg((F.max("v") - F.min("v")).alias("span"), F.expr("percentile(v, 0.5)").alias("mid"), settle.alias("r"), F.count("*").alias("n")), "mad-stats")
         done.append(stats.where(F.col("span") <= range_threshold).select("k", "r"))
         wide = stats.where(F.col("span") > range_threshold).select("k", "mid", "n")
         away = rows.join(wide, "k").select("k", "v", "n", F.abs(F.col("v") - F.col("mid")).alias("d"))
-        mads, _ = materialize(away.groupBy("k").agg(F.expr("percentile(d, 0.5)").alias("mad")), "mad-mads")
-        if mads.isEmpty():
+        mads = away.groupBy("k").agg(F.expr("percentile(d, 0.5)").alias("mad"))
+        # Of every key some values are kept, so an empty table means that all keys are settled.
+        kept, _ = materialize(away.join(mads, "k").where((F.col("mad") == 0) | (F.col("d") * MAD_SCALE <= z_threshold * F.col("mad"))).select("k", "v", "n"), "mad-kept")
+        if kept.isEmpty():
             break
-        kept = away.join(mads, "k").where((F.col("mad") == 0) | (F.col("d") * MAD_SCALE <= z_threshold * F.col("mad")))
         left = kept.groupBy("k").agg(F.count("*").alias("m"), F.max("n").alias("n"))
-        stuck, _ = materialize(left.where("m = n").select("k"), "mad-stuck")
-        done.append(stuck.select("k", F.lit(None).cast("double").alias("r")))
-        rows, following = materialize(kept.join(stuck, "k", "left_anti").select("k", "v"), "mad-rows")
-        if path:
-            remove(spark, path)
-        path = following
+        done.append(left.where("m = n").select("k", F.lit(None).cast("double").alias("r")))
+        rows = kept.join(left.where("m < n").select("k"), "k", "left_semi").select("k", "v")
     out = done[0]
     for part in done[1:]:
         out = out.union(part)
