@@ -25,8 +25,9 @@ SHARD = 512
 #: Best neighbours that are tried whole before one is cut to fill the window.
 TRIED = 32
 K1, B = 1.2, 0.75
-#: Characters for which both tokenizer libraries agree on letters, digits and white space.
-COMMON = re.compile("[^\x00-ɏ‐-‧₠-₿]|<\\|endoftext\\|>")
+#: Characters beyond those for which both tokenizer libraries agree on letters, digits and white space.
+RARE = re.compile("[^\x00-ɏ‐-‧₠-₿]")
+SPECIAL = "<|endoftext|>"
 
 PIECE = "doc long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -44,7 +45,9 @@ def tokenizer(json_path: str, ranks_path: str, pattern: str):
     exact = Tokenizer.from_file(json_path)
 
     def ids(text: str) -> list[int]:
-        return exact.encode(text, add_special_tokens=False).ids if COMMON.search(text) else fast.encode_ordinary(text)
+        if SPECIAL in text or not (text.isascii() or RARE.search(text) is None):
+            return exact.encode(text, add_special_tokens=False).ids
+        return fast.encode_ordinary(text)
 
     return ids
 
@@ -223,16 +226,19 @@ def pack_documents(docs: DataFrame, json_path: str, ranks_path: str, pattern: st
     df, n, mean_length = document_frequencies(tokens)
     # One number for each id of the vocabulary.
     idf = spark.sparkContext.broadcast(np.log(1 + (n - df + 0.5) / (df + 0.5)))
-    shared = spark.sparkContext.broadcast(np.where(df > 1, df, np.iinfo(np.int64).max))
+    # The rarer of two ids in more than one document has the smaller number; ids of one document alone come last.
+    rarity = np.where(df > 1, df, 1 << 40) << 16 | np.arange(VOCABULARY)
+    shared = spark.sparkContext.broadcast(rarity)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
         for batch in batches:
             keys = []
             for x in batch.column(1):
-                own = np.unique(_numbers(x))
-                top = own[np.argsort(rarity[own], kind="stable")[:2]]
-                keys.append((int(top[0]), int(top[-1])))
+                own = rarity[_numbers(x)]
+                first = own.min()
+                second = own[own != first].min(initial=1 << 62)
+                keys.append((int(first & 0xFFFF), int(second & 0xFFFF)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32())], ["doc", "ids", "first", "second"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

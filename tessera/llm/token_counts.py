@@ -13,8 +13,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Trie nodes that a worker holds; beyond it the trie starts anew. Results do not depend on it.
-NODES = 800_000
+#: Trie nodes that a worker holds, beyond which the trie starts anew; and terminal counts that it remembers
+#: as recent, and as many older ones. Results do not depend on either.
+NODES, TERMINALS = 800_000, 400_000
 
 
 class PieceTrie:
@@ -29,47 +30,56 @@ class PieceTrie:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         total = math.log(sum(1 / (r + 1) for r in ranks.values()))
-        self.log_p = {token: -math.log(rank + 1) - total for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks))
+        # Every ending of a piece, with the log-probability where it is a piece itself, else minus infinity: the
+        # search for last pieces stops at the first string that ends none.
+        self.ends = {token[k:]: -math.inf for token in ranks for k in range(len(token))}
+        self.ends.update((token, -math.log(rank + 1) - total) for token, rank in ranks.items())
+        self.recent: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.child: dict[int, int] = {}
         self.score, self.count = [0.0], [0]
-        self.terminal: dict[str, int] = {}
 
     def insert(self, word: str) -> int:
         """Insert a pre-token and return the tokens of its best segmentation."""
         data, node, path = word.encode(), 0, [0]
-        child, score, count, log_p = self.child, self.score, self.count, self.log_p
+        child, score, count, ends = self.child, self.score, self.count, self.ends
         for i, byte in enumerate(data, 1):
             key = node << 8 | byte
-            following = child.get(key)
-            if following is None:
+            node = child.get(key)
+            if node is None:
                 best, tokens = -math.inf, 0
-                for j in range(max(0, i - self.longest), i):
-                    p = log_p.get(data[j:i])
-                    if p is not None:
-                        at = path[j]
-                        s, n = score[at] + p, count[at] + 1
-                        if s > best or (s == best and n < tokens):
+                for j in range(i - 1, -1, -1):
+                    p = ends.get(data[j:i])
+                    if p is None:
+                        break
+                    at = path[j]
+                    s = score[at] + p
+                    if s >= best:
+                        n = count[at] + 1
+                        if s > best or n < tokens:
                             best, tokens = s, n
-                following = child[key] = len(score)
+                node = child[key] = len(score)
                 score.append(best)
                 count.append(tokens)
-            node = following
             path.append(node)
-        self.terminal[word] = count[node]
         return count[node]
 
     def count_all(self, pieces: Counter) -> int:
         """Tokens of a multiset of pre-tokens."""
-        known, total = self.terminal, 0
+        recent, older, total = self.recent, self.older, 0
         for piece, times in pieces.items():
-            n = known.get(piece)
-            total += times * (self.insert(piece) if n is None else n)
+            n = recent.get(piece)
+            if n is None:
+                n = older.get(piece)
+                n = recent[piece] = self.insert(piece) if n is None else n
+            total += times * n
         if len(self.score) > NODES:
             self.clear()
+        if len(recent) > TERMINALS:
+            self.recent, self.older = {}, recent
         return total
 
 
