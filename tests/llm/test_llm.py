@@ -294,6 +294,24 @@ def test_similar_texts_are_grouped(spark):
     assert kept == {*range(30), 200, 201, None}
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_only_similar_texts_are_dropped(spark):
+    line = prose(70, 8) + " "
+    rows = [(1, line * 300 + prose(71, 60)), (2, line * 300 + prose(72, 60))]
+    # Twenty pairs that differ in one run of 30 words of 250: 0.757, which fingerprints take for 0.8.
+    for i in range(20):
+        words = prose(1000 + i, 250).split()
+        rows += [(100 + 2 * i, " ".join(words)), (101 + 2 * i, " ".join([*words[:100], *prose(2000 + i, 30).split(), *words[130:]]))]
+    rows += [(900, prose(1000, 250) + " more")]
+    assert jaccard(rows[0][1], rows[1][1]) < 0.2 and jaccard(rows[2][1], rows[3][1]) < 0.8
+    kept = {r["doc_id"] for r in simhash.keep_one_of_similar(docs_of(spark, rows)).collect()}
+    assert kept == {i for i, _ in rows} - {900}
+
+
 # 7 ----------------------------------------------------------------------------------------------------
 
 
