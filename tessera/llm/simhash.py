@@ -19,7 +19,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.wordhash import mixed
 from tessera.operators.components import connected_components
 from tessera.session import materialize
 
@@ -132,23 +131,11 @@ def near_duplicate_groups(docs: DataFrame, width: int = 3, id_col: str = "doc_id
     return fps.join(by_fp, "fp").select(F.col("doc").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Near-duplicate stages compare texts by five-word shingles. Their fingerprints have 256 bits: the share
-#: of differing bits estimates the angle between two shingle sets to about 0.02, where 64 bits would tell
-#: it to 0.05 only.
-WIDE_WORDS, STAGE_WIDTH = 4, 5
-#: A Jaccard similarity of 0.8 of two sets of equal size is a cosine of 0.889, that is 39 differing bits; the
-#: margin above keeps pairs at the threshold that the estimate puts beyond it.
-WIDE_RADIUS = 46
-#: Index keys are three of the 32 positional bytes, from families of triples at fixed distances. Of the 256
-#: keys a document enters the CHOSEN whose bits are the surest, those furthest from half: these are the
-#: least likely to differ in a similar document, which therefore chooses mostly the same.
-FAMILIES = [(0, 1, 3), (0, 5, 14), (0, 7, 11), (0, 4, 10), (0, 8, 17), (0, 2, 15), (0, 12, 18), (0, 9, 20)]
-TRIPLES = np.array([[(p + d) % 32 for d in steps] for steps in FAMILIES for p in range(32)])
-CHOSEN, SURENESS = 96, 2.0
-#: A key guarantees three shared positional bytes; pairs of similar documents share eight or so of 32, and
-#: unrelated ones none beyond chance.
-LEAST_SHARED = 4
-PARTS = 16
+#: Near-duplicate stages compare texts by the sets of their five-word shingles.
+STAGE_WIDTH = 5
+#: Shingles are ordered by how many documents have one of their bucket. Any order that is the same for all
+#: documents gives the same pairs; one from rare to frequent gives the shortest lists.
+BUCKETS = 1 << 20
 
 
 def shingle_set(text: str | None, width: int = STAGE_WIDTH) -> np.ndarray:
@@ -156,46 +143,66 @@ def shingle_set(text: str | None, width: int = STAGE_WIDTH) -> np.ndarray:
     return np.unique(shingle_hashes(words_of(text or ""), width))
 
 
-def wide_fingerprint(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Four 64-bit SimHashes, of a set of shingle hashes and of three bijections of them; and the index keys,
-    each the number of a triple and its three bytes in 32 bits."""
-    n = len(hashes)
-    if not n:
-        return np.zeros(WIDE_WORDS, np.uint64), np.empty(0, np.uint32)
-    counts = np.zeros(WIDE_WORDS * 8 * 256, np.int64)
-    offsets = np.arange(WIDE_WORDS * 8) * 256
-    for at in range(0, n, 4096):
-        part = np.stack([hashes[at : at + 4096]] + [mixed(hashes[at : at + 4096] + np.uint64(j)) for j in range(1, WIDE_WORDS)], axis=1)
-        counts += np.bincount((part.view(np.uint8).reshape(-1, WIDE_WORDS * 8) + offsets).ravel(), minlength=len(counts))
-    twice = 2 * (counts.reshape(-1, 256) @ _BITS)
-    positional = np.packbits(twice > n)
-    doubt = np.exp(-SURENESS * np.abs(twice - n) / np.sqrt(n)).sum(axis=1)[TRIPLES].sum(axis=1)
-    chosen = np.argsort(doubt, kind="stable")[:CHOSEN].astype(np.uint32)
-    a, b, c = positional[TRIPLES[chosen]].astype(np.uint32).T
-    return positional.view(np.uint64), chosen << np.uint32(24) | a << np.uint32(16) | b << np.uint32(8) | c
-
+def prefix(hashes: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the common order, as many as a set of Jaccard similarity 0.8 must share one of.
 
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+    Such a set has at least 0.8 of the shingles of this one, rounded up; all but that many, and one more,
+    cannot all be missing. So the least common shingle of two similar sets is in both prefixes.
+    """
+    n = len(hashes)
+    order = np.lexsort((hashes, frequency[hashes & np.uint64(BUCKETS - 1)]))
+    return hashes[order[: n - (4 * n + 4) // 5 + 1]] if n else hashes
 
 
-def _wide_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _set_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document: its node, the hash of its shingle set, so that equal sets are one node (0 without
-    words); fingerprint, keys, and the set with its size."""
-    names = ["doc", "node", *(f"f{i}" for i in range(WIDE_WORDS)), "keys", "n", "shingles"]
+    words), and the set with its size."""
+    names = ["doc", "node", "n", "shingles"]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 sets = [shingle_set(t.as_py()) for t in part.column(1)]
-                found = [wide_fingerprint(s) for s in sets]
                 nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                prints = np.array([f for f, _ in found], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
-                keys = pa.array([k.view(np.int32) for _, k in found], pa.list_(pa.int32()))
                 shingles = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(nodes), *(pa.array(prints[:, i]) for i in range(WIDE_WORDS)), keys, pa.array([len(s) for s in sets], pa.int32()), shingles], names)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), shingles], names)
+
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(compute, "doc long, node long, n int, shingles array<long>")
+
+
+def _bucket_counts(noded: DataFrame) -> np.ndarray:
+    """Of every bucket how many shingles of documents fall into it. Tasks count theirs, and what is collected is
+    bounded by BUCKETS, whatever the size of the corpus."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            counts += np.bincount(batch.column(0).flatten().to_numpy() & (BUCKETS - 1), minlength=BUCKETS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["bucket", "n"])
+
+    found = noded.select("shingles").mapInArrow(work, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return out
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(compute, "doc long, node long, f0 long, f1 long, f2 long, f3 long, keys array<int>, n int, shingles array<long>")
+
+def _prefix_postings(noded: DataFrame) -> DataFrame:
+    """(key, node, n, pos): the prefix shingles of every node, with their places in the order."""
+    shared = noded.sparkSession.sparkContext.broadcast(_bucket_counts(noded))
+    names = ["key", "node", "n", "pos"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                keys = [prefix(s.values.to_numpy().view(np.uint64), shared.value) for s in part.column(2)]
+                lengths = [len(x) for x in keys]
+                of = lambda c: np.repeat(part.column(c).to_numpy(), lengths)  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(of(0)), pa.array(of(1)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]))], names)
+
+    return noded.select("node", "n", "shingles").mapInArrow(work, "key long, node long, n int, pos int").distinct()
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
@@ -204,29 +211,47 @@ def _verified(pairs: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFr
     firsts = ends.join(classes.select("node", "low"), "node").withColumnRenamed("node", "own")
     # One set a node, also where rows repeat the id of its first document.
     sets = prints.join(firsts, (F.col("node") == F.col("own")) & F.col("doc").eqNullSafe(F.col("low"))).select("node", "shingles").dropDuplicates(["node"])
-    sets, _ = materialize(sets, "wide-sets")
+    sets, _ = materialize(sets, "set-sets")
     both = pairs.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
     # 9 * common >= 4 * (|a| + |b|) is common / (|a| + |b| - common) >= 0.8.
     return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("src", "dst")
 
 
-def _wide_candidates(classes: DataFrame) -> DataFrame:
-    """(src, dst): nodes that share an index key; all pairs of short lists, two stars of longer ones.
+def _met(one: DataFrame, other: DataFrame, *conditions: str) -> DataFrame:
+    """(src, dst): pairs from two tables of postings (a, b) with the same key that may reach 0.8.
+
+    At the least common shingle of two sets no more is common than what follows in either, itself
+    included; a pair that cannot reach 0.8 there is none.
+    """
+    pairs = one.alias("a").join(other.alias("b"), F.col("a.key") == F.col("b.key")).where("9 * least(a.n - a.pos, b.n - b.pos) >= 4 * (a.n + b.n)")
+    for condition in conditions:
+        pairs = pairs.where(condition)
+    return pairs.select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
+
+
+def _links(classes: DataFrame, noded: DataFrame) -> DataFrame:
+    """(src, dst): pairs of similar nodes, which connect all that are.
 
-    A long list hangs on its member of the smallest document, and each of its PARTS parts on theirs, so
-    its rows stay in proportion. A group of copies has many keys, and each has stars of its own.
+    Lists of up to LONGEST_LIST entries give their pairs. A longer one is first compared with its least
+    node only. What that joins need not be compared again: of each list only those nodes that are not in
+    its largest component meet the nodes of other components, so a list whose nodes are all alike
+    takes rows in proportion to its length, and no similar pair is left apart.
     """
-    postings = classes.select(F.explode("keys").alias("key"), "node", "low")
-    lists, _ = materialize(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-lists")
-    listed, _ = materialize(postings.join(lists, "key"), "wide-listed")
-    short, long = listed.where(F.col("n") <= LONGEST_LIST), listed.where(F.col("n") > LONGEST_LIST)
-    pairs = short.select("key", F.col("node").alias("src")).join(short.select("key", F.col("node").alias("dst")), "key").where("src < dst").select("src", "dst")
-    dealt = long.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)))
-    heads, _ = materialize(dealt.groupBy("key", "part").agg(F.min(F.struct("low", "node")).alias("head")).select("key", "part", F.col("head.node").alias("head")), "wide-heads")
-    tops, _ = materialize(long.groupBy("key").agg(F.min(F.struct("low", "node")).alias("top")).select("key", F.col("top.node").alias("top")), "wide-tops")
-    stars = long.join(tops, "key").select(F.col("node").alias("src"), F.col("top").alias("dst")).union(dealt.join(heads, ["key", "part"]).select(F.col("node").alias("src"), F.col("head").alias("dst")))
-    stars = stars.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    return pairs.union(stars).distinct()
+    postings, _ = materialize(_prefix_postings(noded), "set-postings")
+    sizes, _ = materialize(postings.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n", "pos")).alias("head")).where("size > 1"), "set-lists")
+    listed, _ = materialize(postings.join(sizes.select("key", "size"), "key"), "set-listed")
+    short, long = listed.where(F.col("size") <= LONGEST_LIST), listed.where(F.col("size") > LONGEST_LIST)
+    heads = sizes.where(F.col("size") > LONGEST_LIST).select("key", "head.*")
+    first, _ = materialize(_met(short, short, "a.node < b.node").union(_met(long, heads, "a.node <> b.node")).distinct(), "set-pairs")
+    linked, _ = materialize(_verified(first, classes, noded), "set-links")
+    parts, _ = materialize(connected_components(linked), "set-parts")
+
+    named, _ = materialize(long.select("key", "node", "n", "pos").join(parts, F.col("node") == F.col("id"), "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("part")), "set-long")
+    counted = named.groupBy("key", "part").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    largest, _ = materialize(counted.select("key", F.col("most.part").alias("largest")), "set-largest")
+    open_lists, _ = materialize(named.join(largest, "key"), "set-open")
+    second, _ = materialize(_met(open_lists.where("part <> largest"), open_lists, "a.part <> b.part").join(first, ["src", "dst"], "left_anti"), "set-pairs")
+    return linked.union(_verified(second, classes, noded))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,26 +259,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component_id. Documents are linked if the Jaccard similarity of their sets of five-word shingles is at
     least 0.8; equal sets are one class.
 
-    Candidates share three positional bytes of their 256-bit fingerprints; pairs that share LEAST_SHARED of
-    the 32 and are within WIDE_RADIUS bits are verified on their sets. Unlike the search at two bits this
-    one may miss pairs: it found 0.9 of those of similarity 0.8 and more in the test tables (see README).
+    Candidates share one of their rarest shingles, which every pair at 0.8 does, so none is missed.
     """
-    prints, _ = materialize(_wide_table(docs, id_col, text_col), "wide-prints")
-    names = [f"f{i}" for i in range(WIDE_WORDS)]
+    prints, _ = materialize(_set_table(docs, id_col, text_col), "set-prints")
     # Texts without words have no shingles to be similar in.
     noded = prints.where("n > 0")
-    classes, _ = materialize(noded.groupBy("node", "n", *names).agg(F.min("doc").alias("low"), F.min("keys").alias("keys")), "wide-classes")
-    pairs, _ = materialize(_wide_candidates(classes), "wide-pairs")
-    side = lambda end, mark: classes.select(F.col("node").alias(end), F.col("n").alias(mark), *[F.col(n).alias(mark + n) for n in names])
-    both = pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst").where("5 * least(a, b) >= 4 * greatest(a, b)")
-    differing = [F.col("a" + n).bitwiseXOR(F.col("b" + n)) for n in names]
-    tally = [shared_bytes(F.col("a" + n), F.col("b" + n)) for n in names]
-    near = both.where(sum(tally[1:], tally[0]) >= LEAST_SHARED).where(sum([F.bit_count(d) for d in differing[1:]], F.bit_count(differing[0])) <= WIDE_RADIUS)
-    near, _ = materialize(near.select("src", "dst"), "wide-near")
-    parts = connected_components(_verified(near, classes, noded))
+    classes, _ = materialize(noded.groupBy("node").agg(F.min("doc").alias("low")), "set-classes")
+    parts = connected_components(_links(classes, noded))
     named = classes.select("node", "low").join(parts, F.col("node") == F.col("id"), "left").select("node", "low", F.coalesce("component", "node").alias("root"))
-    lows, _ = materialize(named.groupBy("root").agg(F.min("low").alias("component_id")), "wide-roots")
-    groups, _ = materialize(named.join(lows, "root").select("node", "component_id"), "wide-groups")
+    lows, _ = materialize(named.groupBy("root").agg(F.min("low").alias("component_id")), "set-roots")
+    groups, _ = materialize(named.join(lows, "root").select("node", "component_id"), "set-groups")
     return noded.select("doc", "node").join(groups, "node").select(F.col("doc").alias(id_col), "node", "component_id")
 
 

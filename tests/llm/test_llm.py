@@ -312,6 +312,39 @@ def test_only_similar_texts_are_dropped(spark):
     assert kept == {i for i, _ in rows} - {900}
 
 
+def plain_similar(rows):
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in sets:
+        for j in sets:
+            if i < j and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i for i in sets if find(i) == i}
+
+
+@pytest.mark.parametrize("longest", [64, 4])
+def test_similar_texts_equal_brute_force(spark, monkeypatch, longest):
+    monkeypatch.setattr(simhash, "LONGEST_LIST", longest)
+    rows, r = [], random.Random(5)
+    # Big groups over a template; each member differs in runs of its own and of its subgroup, about the threshold.
+    for group in range(3):
+        template = prose(600 + group, 120).split()
+        for k in range(90):
+            words = list(template)
+            for seed in (r.randrange(30), 1000 * k + 77):
+                at, n = random.Random(seed).randrange(100), r.choice((0, 3, 6, 9, 12))
+                words[at : at + n] = prose(seed + group, n).split()
+            rows.append((1000 * group + k, " ".join(words)))
+    want = plain_similar(rows)
+    assert 20 < len(want) < len(rows) - 20
+    assert {r["doc_id"] for r in simhash.keep_one_of_similar(docs_of(spark, rows)).collect()} == want
+
+
 # 7 ----------------------------------------------------------------------------------------------------
 
 
