@@ -1,7 +1,9 @@
 """Repeated passages across documents: shared k-mer seeds, collinear chains, alignment.
 
 Seeds are the winnowed k-mers of words. Each occurrence is joined with the first document that has the
-seed, so a passage in thousands of documents gives as many matches, not their square. The matches of a
+seed, so a passage in thousands of documents gives as many matches, not their square. Each pair of
+consecutive seeds is joined with its own first holder too: an earlier document that has one phrase of a
+passage by chance cannot hide the passage's source. The matches of a
 document with one source are chained in order with gap costs (a Fenwick tree holds the best score by
 source position), and chains are aligned word by word, which admits fuzzy copies.
 """
@@ -58,8 +60,9 @@ def seeds_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def seed_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(h, doc, pos, begin, stop): one row per seed of every document that has an id."""
-    names = ["h", "doc", "pos", "begin", "stop"]
+    """(h, doc, pos, begin, stop, pair, pos2, begin2, stop2): one row per seed of every document that has an id,
+    with the hash of it and the seed behind it and where that is; null for a document's last seed."""
+    names = ["h", "doc", "pos", "begin", "stop", "pair", "pos2", "begin2", "stop2"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,9 +72,13 @@ def seed_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 counts = [len(f[0]) for f in found]
                 h, pos, begin, stop = (np.concatenate([f[i] for f in found]) for i in range(4))
                 doc = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), *(pa.array(x, pa.int32()) for x in (pos, begin, stop))], names)
+                of = np.repeat(np.arange(len(counts)), counts)
+                last = np.append(of[1:] != of[:-1], True)[: len(of)]
+                behind = [np.roll(x, -1) for x in (h, pos, begin, stop)]
+                pair = mixed(h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + behind[0].view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), *(pa.array(x, pa.int32()) for x in (pos, begin, stop)), pa.array(pair, pa.int64(), mask=last), *(pa.array(x, pa.int32(), mask=last) for x in behind[1:])], names)
 
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(work, "h long, doc long, pos int, begin int, stop int")
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(work, "h long, doc long, pos int, begin int, stop int, pair long, pos2 int, begin2 int, stop2 int")
 
 
 def chain(pos: np.ndarray, src: np.ndarray) -> list[np.ndarray]:
@@ -138,7 +145,9 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(np.append(0, cuts), np.append(cuts, len(m)), strict=True):
             if b - a < 2:
                 continue
+            # A seed may come by itself and in two pairs.
             g = m[a:b]
+            g = g[np.append(True, (np.diff(g, axis=0) != 0).any(axis=1))]
             for c in chain(g[:, 2], g[:, 3]):
                 if len(c) > 1:
                     first, last = g[c[0]], g[c[-1]]
@@ -232,6 +241,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Written: the join below is then of two plain shuffles, and a seed of a third of the documents can be split.
     shared, _ = materialize(shared.select("h", F.col("a.doc").alias("source"), F.col("a.pos").alias("src_pos"), F.col("a.begin").alias("src_begin"), F.col("a.stop").alias("src_stop")), "seeds-shared")
     matches = seeds.join(shared, "h").where("doc <> source").select("doc", "source", "pos", "src_pos", "begin", "stop", "src_begin", "src_stop")
+    coupled = seeds.where("pair IS NOT NULL")
+    firsts = coupled.groupBy("pair").agg(F.min(F.struct("doc", "pos", "begin", "stop", "pos2", "begin2", "stop2")).alias("a"), F.max("doc").alias("last")).where("a.doc <> last")
+    firsts, _ = materialize(firsts.select("pair", "a"), "pairs-shared")
+    met = coupled.join(firsts, "pair").where("doc <> a.doc")
+    of = lambda n: F.struct(*[F.col(c + n).alias(c) for c in ("pos", "begin", "stop")], *[F.col(f"a.{c}{n}").alias(f"src_{c}") for c in ("pos", "begin", "stop")])
+    both = met.select("doc", F.col("a.doc").alias("source"), F.explode(F.array(of(""), of("2"))).alias("m"))
+    matches = matches.union(both.select("doc", "source", *[f"m.{c}" for c in matches.columns[2:]]))
     sort = ["doc", "source", "pos", "src_pos"]
     chains, _ = materialize(matches.repartition("doc").sortWithinPartitions(*sort).mapInArrow(_chains, ", ".join(f"{c} long" for c in CHAIN)), "chains")
 

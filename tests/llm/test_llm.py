@@ -53,6 +53,16 @@ def test_passages_found_and_clean_documents_left(spark):
     assert got[41]["n_words"] >= 100
 
 
+def test_chance_holders_of_phrases_do_not_hide_a_passage(spark):
+    shared = prose(110, 50).split()
+    rows = [(i, " ".join([prose(500 + i, 40), *shared[i : i + 5], prose(600 + i, 40)])) for i in range(46)]
+    rows += [(100 + i, " ".join([prose(700 + i, 60), *shared, prose(800 + i, 60)])) for i in range(3)]
+    got = {r["doc_id"]: r for r in substring_dedup.repeated_passages(docs_of(spark, rows)).collect()}
+    assert set(got) == {101, 102} and {r["source_id"] for r in got.values()} == {100}
+    text = dict(rows)[102].encode()
+    assert text[got[102]["begin"] : got[102]["stop"]].decode().split() == shared
+
+
 def test_cutting_keeps_the_first_passage(spark):
     shared = prose(100, 60)
     rows = [(1, f"{prose(1, 20)} {shared} {prose(2, 20)}"), (2, f"{prose(3, 20)} {shared} {prose(4, 20)}"), (3, None), (4, "short"), (None, "no id")]
