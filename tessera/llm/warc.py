@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -66,7 +67,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Records are text of known length, so Spark's own text sink writes them: `records_per_file`
     records a file, committed task by task on any store, each ended by the two line breaks that the
     format asks for. A null payload is empty, a null URL has no WARC-Target-URI, a null id is `null`.
-    Line breaks within a URL become spaces. An empty table writes no record. Only the three named
+    With compression gzip every record is a member. Line breaks within a URL become spaces. An empty table writes no record. Only the three named
     columns are read.
     """
     text = F.coalesce(F.col(payload_col), F.lit(""))
@@ -88,9 +89,31 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     )
     records = rows.select(F.concat(lines, F.lit(MARK), body).alias("value"))
+    if compression == "gzip":
+        _write_members(records, path, records_per_file)
+        return
     records.write.option("lineSep", MARK).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
+def _write_members(records: DataFrame, path: str, records_per_file: int) -> None:
+    """Write records as gzip members of their own, so that damage to one costs no other.
+
+    The text sink puts a byte behind every row; it is the last byte of the member, which is 0 (the top byte
+    of its length). Where a record is too long for that an empty member follows.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(0):
+                member = gzip.compress((text.as_py() + MARK).encode("utf-8", "surrogatepass"), mtime=0)
+                out.append((member if member[-1] == 0 else member + gzip.compress(b"", mtime=0))[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+
+    members = records.mapInArrow(work, "value binary").select(F.col("value").cast("string"))
+    members.write.option("lineSep", "\x00").option("maxRecordsPerFile", records_per_file).text(path)
+
+
 def _head(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     """The header fields (names in lower case) of the record at that place, and where its block begins."""
     line = VERSION.match(data, at)
@@ -157,6 +180,25 @@ def salvage(data: bytes) -> Iterator[dict]:
         yield {"start": begin, "end": at, "problem": problem}
 
 
+def _prefix(data: bytes, at: int, end: int, step: int = 1 << 10) -> bytes:
+    """What the damaged gzip member at that place inflates to before it fails."""
+    engine, parts = zlib.decompressobj(31), []
+    try:
+        for k in range(at, end, step):
+            # Byte by byte where a step fails, so that what comes before the damage is kept.
+            before = engine.copy()
+            try:
+                parts.append(engine.decompress(data[k : min(k + step, end)]))
+            except zlib.error:
+                for i in range(k, min(k + step, end)):
+                    parts.append(before.decompress(data[i : i + 1]))
+            if engine.eof:
+                break
+    except zlib.error:
+        pass
+    return b"".join(parts)
+
+
 def _member(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
     """The plain bytes of the gzip member at that place and the offset behind it; zlib.error if it is damaged."""
     engine, parts = zlib.decompressobj(31), []
@@ -189,17 +231,42 @@ def unzip(data: bytes) -> Iterator[tuple[int, int, bytes, str]]:
             at = found[1]
 
 
+def salvage_zipped(data: bytes, offset: int = 0) -> Iterator[dict]:
+    """The records of gzip members, with their member's byte range; and gaps. Of a damaged member the records
+    that it inflates to before the damage are kept, and its range is a gap as well."""
+    for start, end, plain, problem in unzip(data):
+        if problem:
+            at = start if data.startswith(GZIP_MAGIC, start) else data.find(GZIP_MAGIC, start, end)
+            while 0 <= at < end:
+                following = data.find(GZIP_MAGIC, at + 1, end)
+                for r in salvage(_prefix(data, at, end)):
+                    if not r["problem"]:
+                        yield r | {"start": offset + start, "end": offset + end}
+                at = following
+            yield {"start": offset + start, "end": offset + end, "problem": problem}
+        else:
+            for r in salvage(plain):
+                yield r | {"start": offset + start, "end": offset + end}
+
+
+def salvage_plain(data: bytes) -> Iterator[dict]:
+    """As salvage; a gap that holds gzip members is read as these."""
+    for r in salvage(data):
+        gap = data[r["start"] : r["end"]] if r["problem"] else b""
+        if GZIP_MAGIC in gap:
+            found = list(salvage_zipped(gap, r["start"]))
+            if any(not x["problem"] for x in found):
+                yield from found
+                continue
+        yield r
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(f.name, {"long": pa.int64(), "binary": pa.binary()}.get(f.dataType.simpleString().replace("bigint", "long"), pa.string())) for f in RECORD])
     for batch in batches:
         for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data = content.as_py() or b""
-            rows = []
-            if data.startswith(GZIP_MAGIC):
-                for start, end, plain, problem in unzip(data):
-                    rows += [{"start": start, "end": end, "problem": problem}] if problem else [r | {"start": start, "end": end} for r in salvage(plain)]
-            else:
-                rows = salvage(data)
+            rows = salvage_zipped(data) if data.startswith(GZIP_MAGIC) or file.endswith(".gz") else salvage_plain(data)
             held: list[dict] = []
             for r in rows:
                 held.append(r | {"file": file})

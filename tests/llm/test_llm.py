@@ -169,6 +169,22 @@ def test_warc_salvage(spark, tmp_path):
     assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"junk"))[0]["end"] == 4
 
 
+def test_warc_salvage_of_gzip_members(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(i, "u", prose(i, 200)) for i in range(12)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"{tmp_path}/w", compression="gzip")
+    file = next((tmp_path / "w").glob("part-*"))
+    data = file.read_bytes()
+    assert len(list(warc.unzip(data))) == 12 and gzip.decompress(data).count(b"WARC/1.1\r\n") == 12
+    assert [r["problem"] for r in warc.read_archives(spark, str(file)).collect()] == [None] * 12
+    one = gzip.compress(gzip.decompress(data))  # one member of 12 records
+    for name, content, records in (("a.warc.gz", b"X" + data[1:], 11), ("b", b"X" + data[1:], 11), ("c.warc.gz", one[: len(one) // 2], 5)):
+        (tmp_path / name).write_bytes(content)
+        got = warc.read_archives(spark, f"{tmp_path}/{name}").collect()
+        assert sum(r["problem"] is None for r in got) >= records and sum(r["problem"] is not None for r in got) == 1
+
+
 # 4 ----------------------------------------------------------------------------------------------------
 
 
