@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import running_sum
+
 #: A short list of frequent English function words (fixed values).
 STOP_WORDS = ("a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being", "between", "both", "but", "by", "can", "did", "do", "does", "during", "each", "for", "from", "had", "has", "have", "he", "her", "here", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "just", "me", "more", "most", "my", "no", "nor", "not", "now", "of", "off", "on", "once", "only", "or", "other", "our", "out", "over", "own", "same", "she", "should", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "you", "your")
 # Token patterns of molecule strings.
@@ -39,7 +41,7 @@ def vocabulary(df: DataFrame, col: str, order: str, pattern: str | None = SMILES
     seen = df.select(F.col(order).alias("row"), F.posexplode(tokens).alias("pos", "token"))
     counts = seen.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("first"))
     shift = 1 if padding else 0
-    ranked = counts.select("token", "n", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1 + shift).cast("int").alias("id"))
+    ranked = running_sum(counts, [F.desc("n"), F.col("first")], F.lit(1), "rank").select("token", "n", (F.col("rank") - 1 + shift).cast("int").alias("id"))
     spark = df.sparkSession
     last = ranked.agg(F.lit(UNKNOWN).alias("token"), F.lit(0).cast("long").alias("n"), (F.coalesce(F.max("id"), F.lit(shift - 1)) + 1).cast("int").alias("id"))
     out = ranked.union(last)

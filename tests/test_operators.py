@@ -347,3 +347,18 @@ def test_running_sum(spark):
     got = {r["k"]: r["s"] for r in ranking.running_sum(df.repartition(5), ["k"], "v", "s", ("g",)).collect()}
     assert got[0] == 1 and got[48] == 17 and got[49] == 33
     assert ranking.running_sum(df.limit(0), ["k"], "v", "s").count() == 0
+
+
+def test_vocabulary_is_numbered_over_ranges(spark):
+    rows = [(i, [f"t{i * k % 211}" for k in range(9)]) for i in range(300)]
+    got = text.vocabulary(spark.createDataFrame(rows, "id long, s array<string>"), "s", "id", None)
+    # A row number over the whole table would be one task.
+    assert "row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
+    seen = {}
+    for i, words in rows:
+        for k, w in enumerate(words):
+            n, first = seen.get(w, (0, (i, k)))
+            seen[w] = (n + 1, first)
+    order = sorted(seen, key=lambda w: (-seen[w][0], seen[w][1]))
+    want = {"<pad>": 0, "<unk>": len(order) + 1} | {w: k for k, w in enumerate(order, 1)}
+    assert {r["token"]: r["id"] for r in got.collect()} == want
