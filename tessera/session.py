@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder, as in single-machine tests.
+#: Used only where the session names no checkpoint folder and runs on one machine, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Scratch tables that this process has written and not removed.
+_written: list[str] = []
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -31,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor share, from spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = LOCAL_CHECKPOINTS
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -54,6 +60,7 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -63,6 +70,20 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _written:
+        _written.remove(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Remove at the end every scratch table written within, but for the paths put into the yielded list.
+
+    Frames that read the removed tables are void then, so what a caller gets back must read kept ones only.
+    """
+    before, keep = set(_written), []
+    yield keep
+    for path in [p for p in _written if p not in before and p not in keep]:
+        remove(spark, path)
 
 
 def expose_package(spark: SparkSession) -> None:
