@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialize, remove
+from tessera.operators.filters import join_few, possibly_in
+from tessera.session import materialize, remove, scratch_scope
 
 #: The first digit is this many bytes; each further digit is GROWTH times as long, so that a text
 #: of b bytes is settled after log(b) rounds.
@@ -19,11 +20,13 @@ def _split(rows: DataFrame, digit: list) -> DataFrame:
     Class counts are combined before the shuffle, so a class of any size costs a row a task. The
     repeated classes are written, so that the join back is a plain equi-join of two shuffles whose
     large side adaptive execution may split; or a broadcast, where Spark measures the classes as
-    small.
+    small. Rows that a bitmap of the repeated classes does not have are alone, and their texts stay
+    where they are.
     """
     keyed = rows.select("rid", "doc", "txt", "len", *digit)
     classes = keyed.groupBy("grp", "digit").agg(F.min("rid").alias("next"), F.count("*").alias("n")).where("n > 1").drop("n")
     classes, _ = materialize(classes, "exact-classes")
+    keyed = possibly_in(keyed, [F.col("grp"), F.col("digit")], classes.select("grp", "digit")).where("__maybe").drop("__maybe")
     return keyed.join(classes, ["grp", "digit"]).select("rid", "doc", "txt", "len", F.col("next").alias("grp"))
 
 
@@ -82,16 +85,26 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns (see duplicate_groups).
 
-    Rows that go are few and known by id and text digest; the rest stay by an anti-join. Only where rows
-    repeat both id and text is one of them picked.
+    Rows that go are known by id and text digest, which tell them apart where rows repeat an id; the other
+    rows are not moved. Where rows repeat both id and text one of them stays, the one with the least
+    values in the remaining columns, by their hash.
     """
-    groups, _ = materialize(duplicate_groups(docs, id_col, text_col).where(~F.col("kept")), "exact-gone")
-    again = F.col(id_col).eqNullSafe(F.col("keep_id"))
-    keys = [F.col(id_col).alias("__id"), F.col("text_sha256").alias("__of")]
-    gone, repeated = groups.where(~again).select(*keys).distinct(), groups.where(again).select(*keys).distinct()
+    with scratch_scope(docs.sparkSession) as keep:
+        groups = duplicate_groups(docs, id_col, text_col).where(~F.col("kept"))
+        gone, path = materialize(groups.select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__of"), F.col(id_col).eqNullSafe(F.col("keep_id")).alias("__again")).distinct(), "exact-gone")
+        keep.append(path)
+    sha = F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__of"))
-    tagged = docs.withColumn("__sha", F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256))
-    stay = tagged.join(gone, same, "left_anti")
-    if not repeated.isEmpty():
-        stay = stay.join(repeated, same, "left_anti").union(stay.join(repeated, same, "left_semi").dropDuplicates([id_col, "__sha"]))
-    return stay.drop("__sha")
+    repeated = not gone.where("__again").isEmpty()
+
+    def exact(few: DataFrame) -> DataFrame:
+        tagged = few.withColumn("__sha", sha)
+        if not repeated:
+            return tagged.join(gone, same, "left_anti").drop("__sha")
+        stay = tagged.join(gone.where("NOT __again"), same, "left_anti")
+        copies = stay.join(gone.where("__again"), same, "left_semi")
+        row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in few.dtypes if "map<" not in kind])
+        one = copies.groupBy(F.col(id_col).alias("__id"), "__sha").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in few.columns]), row).alias("__one")).select("__one.*", "__sha")
+        return stay.join(gone.where("__again"), same, "left_anti").union(one).drop("__sha")
+
+    return join_few(docs, [F.col(id_col)], gone.select("__id"), exact)

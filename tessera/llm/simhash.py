@@ -3,29 +3,33 @@
 Candidate pairs come from an inverted index over the bytes of a fingerprint and their positions. Two
 fingerprints that differ in at most RADIUS = 2 bits share at least 8 - 2 = 6 of their 8 positional bytes
 (the guaranteed count). A posting list of a single byte would hold a 256th of all fingerprints, and its
-pairs would grow with the square of the table; so the index is keyed by joint positional bytes: the 8
-positions form 4 couples, and a key is the bytes of 2 couples. Two differing bytes touch at most 2
-couples, so a pair of the guaranteed count shares at least one of the 6 keys.
+pairs would grow with the square of the table; so the index is keyed by the guaranteed count of positional
+bytes jointly, in each of the 28 ways to choose them. A pair that shares 6 bytes meets in one list and a pair
+that shares 7 meets in 7, so the number of its lists is the tally of its shared bytes. Fingerprints of one
+list differ in the other two bytes at most, so no list is longer than 65,536 however large the table is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
-from tessera.session import materialize
+from tessera.operators.filters import join_few, possibly_in
+from tessera.session import materialize, scratch_scope
 
 RADIUS = 2
 SEED = 42
-#: Longer posting lists are linked through one-bit variants instead of by pairs; either way is exact.
-LONGEST_LIST = 64
+#: Bytes of a fingerprint, and how many of them two linked ones share at least.
+BYTES = 8
+LEAST_SHARED = BYTES - RADIUS
 
 
 def words_of(text: str) -> list[bytes]:
@@ -49,7 +53,11 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """The 64-bit SimHash as an unsigned number; zero for a text without words."""
-    hashes = shingle_hashes(words_of(text or ""), width)
+    return majority(shingle_hashes(words_of(text or ""), width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those set in over half of the hashes; zero if there are none."""
     if not len(hashes):
         return 0
     set_in = np.zeros(64, np.int64)
@@ -70,46 +78,32 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(compute, "doc long, fp long")
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """In how many of the 8 positions two fingerprints have the same byte."""
-    differing = a.bitwiseXOR(b)
-    equal = [F.when(F.shiftrightunsigned(differing, 8 * i).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for i in range(8)]
-    return sum(equal[1:], equal[0])
-
-
 def _postings(classes: DataFrame) -> DataFrame:
-    """The inverted index: (slot, key, fp), 6 rows per fingerprint."""
-    couple = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
-    keys = [F.struct(F.lit(n).alias("slot"), (couple(i) * 65536 + couple(j)).alias("key")) for n, (i, j) in enumerate(combinations(range(4), 2))]
+    """The inverted index: (slot, key, fp), a row for each choice of LEAST_SHARED positional bytes."""
+    keys = []
+    for slot, positions in enumerate(combinations(range(BYTES), LEAST_SHARED)):
+        mask = sum(255 << 8 * i for i in positions)
+        keys.append(F.struct(F.lit(slot).cast("byte").alias("slot"), F.col("fp").bitwiseAND(F.lit(mask - (mask >> 63 << 64))).alias("key")))
     return classes.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.slot", "k.key", "fp")
 
 
-def _free_bits() -> Column:
-    """By slot, the masks of the 32 bits that do not belong to its key, and 0."""
-    signed = lambda b: (1 << b) - (1 << 64 if b == 63 else 0)
-    by_slot = [[0] + [signed(b) for c in range(4) if c not in pair for b in range(16 * c, 16 * c + 16)] for pair in combinations(range(4), 2)]
-    return F.array(*[F.array(*[F.lit(m).cast("long") for m in masks]) for masks in by_slot])
+def tallied_pairs(classes: DataFrame) -> DataFrame:
+    """(src, dst, shared): pairs of distinct fingerprints with at least LEAST_SHARED equal positional bytes, and how many.
+
+    A pair is in one list for each choice of LEAST_SHARED bytes out of those it shares.
+    """
+    lists = _postings(classes).groupBy("slot", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps", F.explode("fps").alias("src"))
+    pairs = lists.select("src", F.explode(F.filter("fps", lambda x: x > F.col("src"))).alias("dst"))
+    counted = pairs.groupBy("src", "dst").agg(F.count("*").alias("lists"))
+    shared = F.coalesce(*[F.when(F.col("lists") >= comb(n, LEAST_SHARED), n) for n in range(BYTES, LEAST_SHARED, -1)], F.lit(LEAST_SHARED))
+    return counted.select("src", "dst", shared.alias("shared"))
 
 
 def linked_fingerprints(classes: DataFrame) -> DataFrame:
-    """(src, dst): pairs of distinct fingerprints at most RADIUS bits apart, which connect all that are.
-
-    Lists of up to LONGEST_LIST entries give their pairs: shared positional bytes are tallied, pairs
-    below the guaranteed count go, the rest are verified. In longer lists each fingerprint emits
-    itself and its 32 one-bit variants outside the key; two fingerprints are within two bits exactly
-    if they share a variant, at most 33 can share one, and these hang on the least of them. So rows
-    stay in proportion to a list however long it is, and no link is lost.
-    """
-    postings = _postings(classes)
-    sizes, _ = materialize(postings.groupBy("slot", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
-    listed, _ = materialize(postings.join(sizes, ["slot", "key"]), "simhash-listed")
-    short = listed.where(F.col("n") <= LONGEST_LIST)
-    pairs = short.select("slot", "key", F.col("fp").alias("src")).join(short.select("slot", "key", F.col("fp").alias("dst")), ["slot", "key"]).where("src < dst")
-    pairs = pairs.where(shared_bytes(F.col("src"), F.col("dst")) >= 8 - RADIUS).where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= RADIUS).select("src", "dst")
-    variants = listed.where(F.col("n") > LONGEST_LIST).select("slot", "fp", F.explode(F.get(_free_bits(), F.col("slot"))).alias("mask")).select("slot", "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
-    near = variants.groupBy("slot", "variant").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    hung = near.select(F.array_min("fps").alias("src"), F.explode("fps").alias("dst")).where("src <> dst")
-    return pairs.union(hung).distinct()
+    """(src, dst): the pairs of distinct fingerprints at most RADIUS bits apart. Candidates are the pairs that
+    reach the guaranteed count of shared bytes, and each is verified."""
+    candidates = tallied_pairs(classes).where(F.col("shared") >= LEAST_SHARED)
+    return candidates.where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= RADIUS).select("src", "dst")
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,8 +150,8 @@ def prefix(hashes: np.ndarray, frequency: np.ndarray) -> np.ndarray:
 
 def _set_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document: its node, the hash of its shingle set, so that equal sets are one node (0 without
-    words), and the set with its size."""
-    names = ["doc", "node", "n", "shingles"]
+    words), the set with its size, and its fingerprint."""
+    names = ["doc", "node", "n", "shingles", "fp"]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,9 +160,9 @@ def _set_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sets = [shingle_set(t.as_py()) for t in part.column(1)]
                 nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                 shingles = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), shingles], names)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), shingles, pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64))], names)
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(compute, "doc long, node long, n int, shingles array<long>")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(compute, "doc long, node long, n int, shingles array<long>, fp long")
 
 
 def _bucket_counts(noded: DataFrame) -> np.ndarray:
@@ -207,50 +201,63 @@ def _prefix_postings(noded: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
     """Of pairs (src, dst) of nodes those whose shingle sets have a Jaccard similarity of at least 0.8."""
-    ends = pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct()
+    ends, _ = materialize(pairs.select(F.col("src").alias("node")).union(pairs.select(F.col("dst").alias("node"))).distinct(), "set-ends")
     firsts = ends.join(classes.select("node", "low"), "node").withColumnRenamed("node", "own")
-    # One set a node, also where rows repeat the id of its first document.
-    sets = prints.join(firsts, (F.col("node") == F.col("own")) & F.col("doc").eqNullSafe(F.col("low"))).select("node", "shingles").dropDuplicates(["node"])
+    # One set a node, also where rows repeat the id of its first document. The sets of other nodes are not moved.
+    asked = possibly_in(prints, [F.col("node")], ends).where("__maybe").drop("__maybe")
+    sets = asked.join(firsts, (F.col("node") == F.col("own")) & F.col("doc").eqNullSafe(F.col("low"))).select("node", "shingles").dropDuplicates(["node"])
     sets, _ = materialize(sets, "set-sets")
     both = pairs.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
     # 9 * common >= 4 * (|a| + |b|) is common / (|a| + |b| - common) >= 0.8.
     return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("src", "dst")
 
 
-def _met(one: DataFrame, other: DataFrame, *conditions: str) -> DataFrame:
-    """(src, dst): pairs from two tables of postings (a, b) with the same key that may reach 0.8.
+def _met(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(src, dst): pairs of different components from two tables of postings with the same key that may reach 0.8.
 
     At the least common shingle of two sets no more is common than what follows in either, itself
     included; a pair that cannot reach 0.8 there is none.
     """
-    pairs = one.alias("a").join(other.alias("b"), F.col("a.key") == F.col("b.key")).where("9 * least(a.n - a.pos, b.n - b.pos) >= 4 * (a.n + b.n)")
-    for condition in conditions:
-        pairs = pairs.where(condition)
+    pairs = one.alias("a").join(other.alias("b"), (F.col("a.key") == F.col("b.key")) & F.expr("a.part <> b.part AND 9 * least(a.n - a.pos, b.n - b.pos) >= 4 * (a.n + b.n)"))
     return pairs.select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
 
 
+def _near_fingerprints(classes: DataFrame) -> DataFrame:
+    """(src, dst): nodes of one fingerprint with the least of them, and these where fingerprints link."""
+    firsts, _ = materialize(classes.groupBy("fp").agg(F.min("node").alias("first")), "set-fps")
+    same = classes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("src"), F.col("node").alias("dst"))
+    links = linked_fingerprints(firsts.select("fp"))
+    ends = links.join(firsts.toDF("src", "a"), "src").join(firsts.toDF("dst", "b"), "dst")
+    return same.union(ends.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")))
+
+
 def _links(classes: DataFrame, noded: DataFrame) -> DataFrame:
     """(src, dst): pairs of similar nodes, which connect all that are.
 
-    Lists of up to LONGEST_LIST entries give their pairs. A longer one is first compared with its least
-    node only. What that joins need not be compared again: of each list only those nodes that are not in
-    its largest component meet the nodes of other components, so a list whose nodes are all alike
-    takes rows in proportion to its length, and no similar pair is left apart.
+    Three passes, each over what the ones before have not joined. First nodes whose fingerprints link by the
+    positional index (linked_fingerprints). Then every list of the prefix index, whatever its length, is
+    compared with its head, the node with the most shingles left behind the shared one: what resembles any
+    node of the list most likely resembles this. Last, of each list the nodes outside its largest
+    component meet the nodes of other components. So a list whose nodes are alike takes rows in
+    proportion to its length, and no similar pair is left apart.
     """
-    postings, _ = materialize(_prefix_postings(noded), "set-postings")
-    sizes, _ = materialize(postings.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n", "pos")).alias("head")).where("size > 1"), "set-lists")
-    listed, _ = materialize(postings.join(sizes.select("key", "size"), "key"), "set-listed")
-    short, long = listed.where(F.col("size") <= LONGEST_LIST), listed.where(F.col("size") > LONGEST_LIST)
-    heads = sizes.where(F.col("size") > LONGEST_LIST).select("key", "head.*")
-    first, _ = materialize(_met(short, short, "a.node < b.node").union(_met(long, heads, "a.node <> b.node")).distinct(), "set-pairs")
-    linked, _ = materialize(_verified(first, classes, noded), "set-links")
+    prints, _ = materialize(_near_fingerprints(classes), "set-near")
+    near, _ = materialize(_verified(prints, classes, noded), "set-links")
+    parts, _ = materialize(connected_components(near), "set-parts")
+    postings = _prefix_postings(noded)
+    postings, _ = materialize(postings.join(parts, F.col("node") == F.col("id"), "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("part")), "set-postings")
+    best = F.struct(((F.col("n") - F.col("pos")) / F.col("n")).alias("share"), (-F.col("n")).alias("less"), "node", "n", "pos", "part")
+    heads, _ = materialize(postings.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.max(best).alias("head")).where("least < most").select("key", "head.node", "head.n", "head.pos", "head.part"), "set-heads")
+    first, _ = materialize(_met(postings, heads), "set-pairs")
+    linked, _ = materialize(near.union(_verified(first, classes, noded)), "set-links")
     parts, _ = materialize(connected_components(linked), "set-parts")
 
-    named, _ = materialize(long.select("key", "node", "n", "pos").join(parts, F.col("node") == F.col("id"), "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("part")), "set-long")
+    listed = postings.join(heads.select("key"), "key").join(parts, F.col("node") == F.col("id"), "left")
+    named, _ = materialize(listed.select("key", "node", "n", "pos", F.coalesce("component", "node").alias("part")), "set-listed")
     counted = named.groupBy("key", "part").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     largest, _ = materialize(counted.select("key", F.col("most.part").alias("largest")), "set-largest")
     open_lists, _ = materialize(named.join(largest, "key"), "set-open")
-    second, _ = materialize(_met(open_lists.where("part <> largest"), open_lists, "a.part <> b.part").join(first, ["src", "dst"], "left_anti"), "set-pairs")
+    second, _ = materialize(_met(open_lists.where("part <> largest"), open_lists).join(first, ["src", "dst"], "left_anti"), "set-pairs")
     return linked.union(_verified(second, classes, noded))
 
 
@@ -259,12 +266,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component_id. Documents are linked if the Jaccard similarity of their sets of five-word shingles is at
     least 0.8; equal sets are one class.
 
-    Candidates share one of their rarest shingles, which every pair at 0.8 does, so none is missed.
+    Fingerprints within RADIUS bits, found by the positional index, give the first links; no number of shared
+    bytes is certain at 0.8, so the rest come from an index of the rarest shingles, one of which every pair at
+    0.8 shares. All candidates are verified, and none is missed.
     """
     prints, _ = materialize(_set_table(docs, id_col, text_col), "set-prints")
     # Texts without words have no shingles to be similar in.
     noded = prints.where("n > 0")
-    classes, _ = materialize(noded.groupBy("node").agg(F.min("doc").alias("low")), "set-classes")
+    classes, _ = materialize(noded.groupBy("node").agg(F.min("doc").alias("low"), F.first("fp").alias("fp")), "set-classes")
     parts = connected_components(_links(classes, noded))
     named = classes.select("node", "low").join(parts, F.col("node") == F.col("id"), "left").select("node", "low", F.coalesce("component", "node").alias("root"))
     lows, _ = materialize(named.groupBy("root").agg(F.min("low").alias("component_id")), "set-roots")
@@ -277,6 +286,9 @@ def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Texts without words and rows without an id stay. Of rows that repeat an id all stay or go.
     """
-    gone = similar_groups(docs, id_col, text_col).where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    gone, _ = materialize(gone, "similar-gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    with scratch_scope(docs.sparkSession) as keep:
+        gone = similar_groups(docs, id_col, text_col).where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+        gone, path = materialize(gone, "similar-gone")
+        keep.append(path)
+    own = F.col(id_col).cast("long")
+    return join_few(docs, [own], gone, lambda few: few.join(gone, own == F.col("__gone"), "left_anti"))

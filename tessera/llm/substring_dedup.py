@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.wordhash import Spans, mixed, runs
-from tessera.session import materialize
+from tessera.operators.filters import join_few
+from tessera.session import materialize, scratch_scope
 
 #: Words of a seed, and the window of which the least seed is kept: a run of K + WINDOW - 1 shared words
 #: always has a common seed.
@@ -272,8 +273,10 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The document that has a passage first keeps it. Documents without one keep their text as it is.
     """
-    found = repeated_passages(docs, id_col, text_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("begin", "stop"))).alias("__cuts")).withColumnRenamed(id_col, "__own")
-    found, _ = materialize(found, "passages")
+    with scratch_scope(docs.sparkSession) as keep:
+        found = repeated_passages(docs, id_col, text_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("begin", "stop"))).alias("__cuts")).withColumnRenamed(id_col, "__own")
+        found, path = materialize(found, "passages")
+        keep.append(path)
     data = F.encode(text_col, "UTF-8")
     # The text between the end of one cut and the beginning of the next.
     between = F.transform(
@@ -281,5 +284,10 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lambda i: F.struct(F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(F.col("__cuts"), i - 1)["stop"]).alias("from"), F.coalesce(F.get(F.col("__cuts"), i)["begin"], F.octet_length(data).cast("long")).alias("to")),
     )
     kept = F.array_join(F.transform(between, lambda x: F.decode(F.substring(data, (x["from"] + 1).cast("int"), F.greatest(F.lit(0), x["to"] - x["from"]).cast("int")), "UTF-8")), "")
-    joined = docs.join(found, F.col(id_col).cast("long") == F.col("__own"), "left")
-    return joined.withColumn(text_col, F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(kept)).drop("__own", "__cuts")
+    own = F.col(id_col).cast("long")
+
+    def cut(few: DataFrame) -> DataFrame:
+        joined = few.join(found, own == F.col("__own"), "left")
+        return joined.withColumn(text_col, F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(kept)).drop("__own", "__cuts")
+
+    return join_few(docs, [own], found.select("__own"), cut)

@@ -265,9 +265,7 @@ def plain_groups(prints):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("longest", [2, 64])
-def test_simhash_equals_brute_force(spark, monkeypatch, longest):
-    monkeypatch.setattr(simhash, "LONGEST_LIST", longest)
+def test_simhash_equals_brute_force(spark):
     base = prose(1, 400).split()
     rows = [(i, prose(i, 30)) for i in range(40)]
     for i in range(40):
@@ -284,29 +282,17 @@ def test_simhash_equals_brute_force(spark, monkeypatch, longest):
     assert simhash.near_duplicate_groups(docs_of(spark, rows).limit(0)).count() == 0
 
 
-def test_every_link_is_found(spark, monkeypatch):
+def test_links_and_tallies_are_exact(spark):
     r = random.Random(6)
     prints = [r.getrandbits(64) for _ in range(60)]
     prints += [p ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for p in prints]
-    prints += [prints[0] ^ (1 << b) for b in range(64)]
+    prints += [prints[0] ^ (1 << b) for b in range(64)] + [prints[1] ^ m for m in (7, 1 | 1 << 9 | 1 << 20, 255 << 40, 0xFFFF)]
     signed = [p - (1 << 64) if p >> 63 else p for p in dict.fromkeys(prints)]
     classes = spark.createDataFrame([(p, i) for i, p in enumerate(signed)], "fp long, low long")
-    for longest in (0, 8, 1000):
-        monkeypatch.setattr(simhash, "LONGEST_LIST", longest)
-        root = {p: p for p in signed}
-
-        def find(x, root=root):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        for a, b in simhash.linked_fingerprints(classes).collect():
-            assert ((a ^ b) & (1 << 64) - 1).bit_count() <= 2
-            root[find(a)] = find(b)
-        for a in signed:
-            for b in signed:
-                if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2:
-                    assert find(a) == find(b)
+    both = [(min(a, b), max(a, b), (a ^ b) & (1 << 64) - 1) for i, a in enumerate(signed) for b in signed[:i]]
+    shared = {(a, b): sum((x >> 8 * k) & 255 == 0 for k in range(8)) for a, b, x in both}
+    assert {(a, b): n for a, b, n in simhash.tallied_pairs(classes).collect()} == {p: n for p, n in shared.items() if n >= 6}
+    assert {tuple(p) for p in simhash.linked_fingerprints(classes).collect()} == {(a, b) for a, b, x in both if x.bit_count() <= 2}
 
 
 def test_similar_texts_are_grouped(spark):
@@ -353,9 +339,7 @@ def plain_similar(rows):
     return {i for i in sets if find(i) == i}
 
 
-@pytest.mark.parametrize("longest", [64, 4])
-def test_similar_texts_equal_brute_force(spark, monkeypatch, longest):
-    monkeypatch.setattr(simhash, "LONGEST_LIST", longest)
+def test_similar_texts_equal_brute_force(spark):
     rows, r = [], random.Random(5)
     # Big groups over a template; each member differs in runs of its own and of its subgroup, about the threshold.
     for group in range(3):
