@@ -1,85 +1,108 @@
 """Repeated passages across documents: shared k-mer seeds, collinear chains, alignment.
 
 Seeds are the winnowed k-mers of words. Each occurrence is joined with the first document that has the
-seed, so a passage in thousands of documents gives as many matches, not their square. Each pair of
-consecutive seeds is joined with its own first holder too: an earlier document that has one phrase of a
-passage by chance cannot hide the passage's source. The matches of a
+seed, so a passage in thousands of documents gives as many matches, not their square. A run, all seeds
+from one to the first at least SPAN words behind it, is joined with its own first holder as well, and with
+the holder before: two copies of MIN_WORDS words always have a run in common, and an earlier document that has
+some phrases of a passage by chance does not have the run, so it cannot hide the passage's source. The matches of a
 document with one source are chained in order with gap costs (a Fenwick tree holds the best score by
-source position), and chains are aligned word by word, which admits fuzzy copies.
+source position), and chains are aligned word by word between their seeds, which admits fuzzy copies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.wordhash import Spans, mixed, runs
-from tessera.operators.filters import join_few
+from tessera.operators.filters import join_few, possibly_in
+from tessera.operators.ranking import running_sum
 from tessera.session import materialize, scratch_scope
 
 #: Words of a seed, and the window of which the least seed is kept: a run of K + WINDOW - 1 shared words
 #: always has a common seed.
-K, WINDOW = 5, 20
+K, WINDOW = 5, 12
 #: A passage has at least this many words, and this share of its words is aligned.
 MIN_WORDS, IDENTITY = 50, 0.8
-#: Cost of a word of gap in either document; chains are cut at gaps of more than this many words.
+#: Words from the first to the last seed of a run, at least. MIN_WORDS shared words have a common seed among
+#: their first WINDOW places and one among the WINDOW places where the last k-mers begin, and alike seeds between.
+SPAN = MIN_WORDS - K + 1 - WINDOW - (WINDOW - 1)
+#: Cost of a word of gap in either document; chains are cut at gaps of more than this many words, so an
+#: alignment between two seeds is of LONGEST_GAP + K words at most.
 GAP_COST, LONGEST_GAP = 0.05, 48
 #: Bytes on both sides of a chain into which the alignment may grow.
 MARGIN = 640
-#: Parts of a passage that touch different sources are joined over up to this many words.
+#: Passages that touch are one, also over up to this many words.
 BRIDGE = 5
 
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
+_odd = np.uint64(0x9E3779B97F4A7C15)
 
 
-def seeds_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, word position, first byte, byte behind) of the seeds of a text.
+def seeds_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, word position, first byte, byte behind) of the seeds of a text in UTF-8.
 
     Words are runs of bytes other than white space, A-Z in lower case. Texts of fewer than K words
     have no seed, and those of fewer than K + WINDOW - 1 words have their least one.
     """
-    data = _lower[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
-    begin, end = runs(~_space[data])
+    lowered = _lower[np.frombuffer(data, np.uint8)]
+    begin, end = runs(~_space[lowered])
     n = len(begin) - K + 1
     if n < 1:
         return (np.empty(0, np.int64),) * 4
-    words = Spans(data).hashes(begin, end)
+    words = Spans(lowered).hashes(begin, end)
     grams = np.zeros(n, np.uint64)
     for i in range(K):
-        grams = mixed(grams * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n])
+        grams = mixed(grams * _odd + words[i : i + n])
     span = min(WINDOW, n)
     at = np.unique(np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(n - span + 1))
     return grams[at].view(np.int64), at, begin[at], end[at + K - 1]
 
 
-def seed_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(h, doc, pos, begin, stop, pair, pos2, begin2, stop2): one row per seed of every document that has an id,
-    with the hash of it and the seed behind it and where that is; null for a document's last seed."""
-    names = ["h", "doc", "pos", "begin", "stop", "pair", "pos2", "begin2", "stop2"]
+def runs_of(h: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each seed of a text the number of the seed that ends its run, len(h) if there is none, and the run's hash:
+    of its first and last seed, of all seeds between, and of its length."""
+    seeds = h.view(np.uint64)
+    last = np.searchsorted(pos, pos + SPAN)
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(mixed(seeds), dtype=np.uint64)))
+    to = np.minimum(last, max(0, len(h) - 1))
+    between = (sums[to] - sums[: len(h)]) * _odd
+    return last, mixed(mixed(seeds * _odd + seeds[to]) + between + (pos[to] - pos).astype(np.uint64)).view(np.int64)
+
+
+SEED = "h long, doc long, own long, pos int, begin int, stop int, run long, pos2 int, begin2 int, stop2 int"
+
+
+def seed_table(texts: DataFrame) -> DataFrame:
+    """SEED columns: one row per seed of texts (doc, own, txt), with its run and the last seed of that; null where
+    there is none."""
+    names = [c.split()[0] for c in SEED.split(", ")]
+
+    def fields(text: bytes) -> list[np.ndarray]:
+        h, pos, begin, stop = seeds_of(text)
+        last, run = runs_of(h, pos)
+        to = np.minimum(last, max(0, len(h) - 1))
+        return [h, pos, begin, stop, run, pos[to], begin[to], stop[to], last == len(h)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                found = [seeds_of(t.as_py()) for t in part.column(1)]
-                counts = [len(f[0]) for f in found]
-                h, pos, begin, stop = (np.concatenate([f[i] for f in found]) for i in range(4))
-                doc = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), counts)
-                of = np.repeat(np.arange(len(counts)), counts)
-                last = np.append(of[1:] != of[:-1], True)[: len(of)]
-                behind = [np.roll(x, -1) for x in (h, pos, begin, stop)]
-                pair = mixed(h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + behind[0].view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), *(pa.array(x, pa.int32()) for x in (pos, begin, stop)), pa.array(pair, pa.int64(), mask=last), *(pa.array(x, pa.int32(), mask=last) for x in behind[1:])], names)
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                found = [fields(t.as_py()) for t in part.column(2)]
+                h, pos, begin, stop, run, pos2, begin2, stop2, none = (np.concatenate(c) for c in zip(*found, strict=True))
+                doc, own = (np.repeat(part.column(i).to_numpy(), [len(f[0]) for f in found]) for i in (0, 1))
+                columns = [pa.array(x, pa.int64()) for x in (h, doc, own)] + [pa.array(x, pa.int32()) for x in (pos, begin, stop)]
+                columns += [pa.array(run, pa.int64(), mask=none)] + [pa.array(x, pa.int32(), mask=none) for x in (pos2, begin2, stop2)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(work, "h long, doc long, pos int, begin int, stop int, pair long, pos2 int, begin2 int, stop2 int")
+    return texts.select("doc", "own", "txt").mapInArrow(work, SEED)
 
 
 def chain(pos: np.ndarray, src: np.ndarray) -> list[np.ndarray]:
@@ -133,62 +156,91 @@ def chain(pos: np.ndarray, src: np.ndarray) -> list[np.ndarray]:
     return chains
 
 
-CHAIN = ["doc", "source", "pos", "begin", "stop", "src_begin", "src_stop"]
+MATCH = ["own", "src", "doc", "source", "pos", "src_pos", "begin", "stop", "src_begin", "src_stop"]
+CHAIN = [*MATCH, "at", "src_at"]
+CHAIN_KINDS = ", ".join(f"{c} long" for c in MATCH) + ", at array<int>, src_at array<int>"
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains of two seeds or more from matches sorted by document and source; a shared run of MIN_WORDS
-    words has two."""
+    """Chains of two seeds or more from matches sorted by text and source: their first match, with the ends of the
+    last, and the places of all matches in words behind the first."""
 
-    def chained(m: np.ndarray) -> np.ndarray:
+    def chained(m: np.ndarray) -> list[tuple]:
         out = []
         cuts = np.flatnonzero((np.diff(m[:, 0]) != 0) | (np.diff(m[:, 1]) != 0)) + 1
         for a, b in zip(np.append(0, cuts), np.append(cuts, len(m)), strict=True):
             if b - a < 2:
                 continue
-            # A seed may come by itself and in two pairs.
+            # A seed may come by itself and in two runs.
             g = m[a:b]
             g = g[np.append(True, (np.diff(g, axis=0) != 0).any(axis=1))]
-            for c in chain(g[:, 2], g[:, 3]):
+            for c in chain(g[:, 4], g[:, 5]):
                 if len(c) > 1:
                     first, last = g[c[0]], g[c[-1]]
-                    out.append((first[0], first[1], first[2], first[4], last[5], first[6], last[7]))
-        return np.array(out, np.int64).reshape(-1, len(CHAIN))
+                    out.append((*first[:7], last[7], first[8], last[9], g[c, 4] - first[4], g[c, 5] - first[5]))
+        return out
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(CHAIN)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:10]] + [pa.array(c, pa.list_(pa.int32())) for c in columns[10:]], CHAIN)
 
-    held = np.empty((0, 8), np.int64)
+    # The matches of a text are held until its last one has come; they are as many as its seeds and runs at most.
+    held: list[np.ndarray] = []
     for batch in batches:
-        held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)])
-        whole = np.flatnonzero(held[:, 0] != held[-1, 0]) if len(held) else held
-        if len(whole):
-            cut = whole[-1] + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in chained(held[:cut]).T], CHAIN)
-            held = held[cut:]
-    if len(held):
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in chained(held).T], CHAIN)
-
-
-def align(target: list[bytes], source: list[bytes]) -> int:
-    """Words of the two sequences that an alignment pairs, in order."""
-    head, n = 0, min(len(target), len(source))
-    while head < n and target[head] == source[head]:
-        head += 1
-    tail = 0
-    while tail < n - head and target[-1 - tail] == source[-1 - tail]:
-        tail += 1
-    a, b = target[head : len(target) - tail], source[head : len(source) - tail]
-    middle = sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()) if a and b else 0
-    return head + tail + middle
-
-
-def _grow(a: list[bytes], b: list[bytes]) -> tuple[int, int]:
-    """How far two word runs go on alike: words taken, and words equal. One word may differ where the three
-    words behind it are equal."""
-    i, equal, n = 0, 0, min(len(a), len(b))
-    while i < n:
-        if a[i] == b[i]:
-            i, equal = i + 1, equal + 1
-        elif i + 4 <= n and a[i + 1 : i + 4] == b[i + 1 : i + 4]:
-            i, equal = i + 4, equal + 3
+        now = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
+        if not len(now):
+            continue
+        whole = np.flatnonzero(now[:, 0] != now[-1, 0])
+        cut = whole[-1] + 1 if len(whole) else 0
+        if held and (cut or held[0][0, 0] != now[0, 0]):
+            yield table(chained(np.concatenate([*held, now[:cut]])))
+            held = []
+        elif cut:
+            yield table(chained(now[:cut]))
+        held.append(now[cut:])
+    if held:
+        yield table(chained(np.concatenate(held)))
+
+
+def common_words(a: list[bytes], b: list[bytes]) -> int:
+    """The length of the longest common subsequence, by bit-parallel rows of its table."""
+    if a == b:
+        return len(a)
+    where: dict[bytes, int] = {}
+    for i, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for w in b:
+        hit = row & where.get(w, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+def align(target: list[bytes], source: list[bytes], at: list[int], src_at: list[int]) -> int:
+    """Words of the two sequences that an alignment through the matches at these places pairs, in order."""
+    ends = [*at[1:], len(target)], [*src_at[1:], len(source)]
+    return sum(common_words(target[i:j], source[k:n]) for i, j, k, n in zip(at, ends[0], src_at, ends[1], strict=True))
+
+
+#: Words changed, missing or added between two runs of AGAIN equal words, over which a passage goes on.
+_SKIPS = ((1, 1), (0, 1), (1, 0), (2, 2), (1, 2), (2, 1), (0, 2), (2, 0))
+AGAIN = 3
+
+
+def grow(a: list[bytes], b: list[bytes]) -> tuple[int, int]:
+    """How far two word runs go on alike: words taken from a, and words equal. One or two words may be changed,
+    missing or added where the AGAIN words behind are equal."""
+    i, j, equal = 0, 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            i, j, equal = i + 1, j + 1, equal + 1
+            continue
+        for x, y in _SKIPS:
+            ahead = a[i + x : i + x + AGAIN]
+            if len(ahead) == AGAIN and ahead == b[j + y : j + y + AGAIN]:
+                i, j, equal = i + x + AGAIN, j + y + AGAIN, equal + AGAIN
+                break
         else:
             break
     return i, equal
@@ -201,81 +253,130 @@ def _spread(piece: bytes, offset: int, begin: int, stop: int) -> tuple[list[byte
     starts, ends = runs(~_space[data])
     if offset and len(starts) and starts[0] == 0:
         starts, ends = starts[1:], ends[1:]
-    if len(starts) and ends[-1] == len(data) and offset + len(data) > stop:
+    if len(starts) and ends[-1] == len(data) and offset + len(data) == stop + MARGIN:
         starts, ends = starts[:-1], ends[:-1]
     words = [piece[s:e].lower() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
     left, right = np.searchsorted(starts, begin - offset), np.searchsorted(starts, stop - offset)
     return words[:left], words[left:right], words[right:], list(zip((starts + offset).tolist(), (ends + offset).tolist(), strict=True))
 
 
+ALIGNED = ["own", "doc", "source", "word", "words", "begin", "stop", "equal"]
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc", "source", "word", "words", "begin", "stop", "equal"]
+    """Chains with the texts around their two sides, as parts of passages: those of which enough words align."""
     for batch in batches:
         out = []
         for r in batch.to_pylist():
             left, core, right, ranges = _spread(r["piece"], max(0, r["begin"] - MARGIN), r["begin"], r["stop"])
             src_left, src_core, src_right, _ = _spread(r["src_piece"], max(0, r["src_begin"] - MARGIN), r["src_begin"], r["src_stop"])
-            equal = align(core, src_core)
+            equal = align(core, src_core, r["at"], r["src_at"])
             if 2 * equal < IDENTITY * (len(core) + len(src_core)):
                 continue
-            before, equal_before = _grow(left[::-1], src_left[::-1])
-            behind, equal_behind = _grow(right, src_right)
+            before, equal_before = grow(left[::-1], src_left[::-1])
+            behind, equal_behind = grow(right, src_right)
             words = before + len(core) + behind
-            out.append((r["doc"], r["source"], r["pos"] - before, words, ranges[len(left) - before][0], ranges[len(left) + len(core) + behind - 1][1], equal_before + equal + equal_behind))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(names))], names)
+            if words >= MIN_WORDS:
+                begin, stop = ranges[len(left) - before][0], ranges[len(left) + len(core) + behind - 1][1]
+                out.append((r["own"], r["doc"], r["source"], r["pos"] - before, words, begin, stop, equal_before + equal + equal_behind))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(ALIGNED))], ALIGNED)
+
+
+def _own(id_col: str, text_col: str) -> Column:
+    """Tells rows apart: a hash of id and text, so that rows that repeat an id stay different texts."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.encode(text_col, "UTF-8"))
+
+
+def _firsts(table: DataFrame, key: str, *fields: str) -> DataFrame:
+    """(key, a): of each key that two texts have, the first holder: the least id, the row and the place there."""
+    first = table.groupBy(key).agg(F.min(F.struct("doc", "own", *fields)).alias("a"), F.min("own").alias("lo"), F.max("own").alias("hi"))
+    # Written: the join with it is then of two plain shuffles, and a key of a third of the texts can be split.
+    return materialize(first.where("lo <> hi").select(key, "a"), "seeds-first")[0]
+
+
+def _matches(texts: DataFrame) -> DataFrame:
+    """MATCH columns: seeds of texts with the same seed in the first text that has it, and ends of runs with those in
+    the first text that has the run and in the one before."""
+    shared = seed_table(texts).select("h", "own").groupBy("h").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("h")
+    shared, _ = materialize(shared, "seeds-shared")
+    # Seeds are made again rather than written: most are in one text only, and these go here.
+    seeds = possibly_in(seed_table(texts), [F.col("h")], shared).where("__maybe").drop("__maybe")
+    seeds, _ = materialize(seeds, "seeds")
+    place = ["pos", "begin", "stop"]
+    single = seeds.join(_firsts(seeds, "h", *place), "h").where("own <> a.own")
+    matched = single.select("own", F.col("a.own").alias("src"), "doc", F.col("a.doc").alias("source"), *[F.struct(*place).alias("m"), F.struct(*[F.col(f"a.{c}").alias(c) for c in place]).alias("f")])
+    whole = [*place, "pos2", "begin2", "stop2"]
+    coupled = seeds.where("run IS NOT NULL")
+    coupled, _ = materialize(coupled.join(_firsts(coupled, "run", *whole), "run").select("run", "doc", "own", F.struct(*whole).alias("m"), "a"), "seeds-runs")
+    # A run's holders in the order of their ids, each with the one before it. Numbers are unique, so no run is a hot key.
+    holders = running_sum(coupled.groupBy("run", "doc", "own").agg(F.min("m").alias("m"), F.first("a.own").alias("first")), ["run", "doc", "own"], F.lit(1), "nth")
+    holders, _ = materialize(holders, "seeds-holders")
+    before = holders.select((F.col("nth") + 1).alias("nth"), F.col("run").alias("of"), F.struct("doc", "own", "m.*").alias("a"))
+    second = holders.join(before, "nth").where("run = of AND a.own <> first")
+    both = coupled.where("own <> a.own").select("own", "doc", "m", "a").union(second.select("own", "doc", "m", "a"))
+    end = lambda n: F.struct(F.struct(*[F.col(f"m.{c}{n}").alias(c) for c in place]).alias("m"), F.struct(*[F.col(f"a.{c}{n}").alias(c) for c in place]).alias("f"))
+    ends = both.select("own", F.col("a.own").alias("src"), "doc", F.col("a.doc").alias("source"), F.explode(F.array(end(""), end("2"))).alias("e"))
+    matched = matched.union(ends.select("own", "src", "doc", "source", "e.m", "e.f"))
+    return matched.select("own", "src", "doc", "source", "m.pos", F.col("f.pos").alias("src_pos"), "m.begin", "m.stop", F.col("f.begin").alias("src_begin"), F.col("f.stop").alias("src_stop"))
+
+
+def _parts(texts: DataFrame) -> DataFrame:
+    """ALIGNED columns: runs of MIN_WORDS words or more that align with a text before."""
+    dealt = _matches(texts).repartition("own").sortWithinPartitions("own", "src", "pos", "src_pos")
+    chains, _ = materialize(dealt.mapInArrow(_chains, CHAIN_KINDS), "chains")
+    # Both sides of a chain are cut out of their texts in one join; texts without a chain are not moved.
+    key = ["own", "src", "pos", "src_pos"]
+    sides = F.array(*[F.struct(F.lit(n).alias("side"), F.col(own).alias("at"), F.col(b).alias("from"), F.col(s).alias("to")) for n, own, b, s in ((0, "own", "begin", "stop"), (1, "src", "src_begin", "src_stop"))])
+    wanted, _ = materialize(chains.select(*key, F.explode(sides).alias("w")).select(*key, "w.*"), "chain-sides")
+    held = possibly_in(texts.select(F.col("own").alias("held"), "txt"), [F.col("held")], wanted.select("at")).where("__maybe").select("held", "txt").dropDuplicates(["held"])
+    piece = F.expr(f"substring(txt, cast(greatest(0, `from` - {MARGIN}) + 1 as int), cast(`to` + {MARGIN} - greatest(0, `from` - {MARGIN}) as int))")
+    cut, _ = materialize(wanted.join(held, F.col("at") == F.col("held")).select(*key, "side", piece.alias("piece")), "chain-texts")
+    one = chains.join(cut.where("side = 0").drop("side"), key).join(cut.where("side = 1").drop("side").withColumnRenamed("piece", "src_piece"), key)
+    return one.mapInArrow(_aligned, ", ".join(f"{c} long" for c in ALIGNED)).distinct()
+
+
+def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The passages of repeated_passages with their row's hash (own), as a written table."""
+    usable = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    texts = usable.select(F.col(id_col).cast("long").alias("doc"), _own(id_col, text_col).alias("own"), F.encode(text_col, "UTF-8").alias("txt"))
+    with scratch_scope(docs.sparkSession) as keep:
+        parts = _parts(texts)
+        # Parts that touch, also with different sources, are one passage of the text.
+        order = Window.partitionBy("own").orderBy("word", "words", "source", "begin", "stop", "equal")
+        seen = F.max(F.col("word") + F.col("words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        fresh = parts.withColumn("new", F.when(seen.isNull() | (F.col("word") > seen + BRIDGE), 1).otherwise(0))
+        island = fresh.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        joined = island.groupBy("own", "doc", "island").agg(F.min("source").alias("source_id"), F.min("begin").alias("begin"), F.max("stop").alias("stop"), (F.max(F.col("word") + F.col("words")) - F.min("word")).alias("n_words"), F.max("equal").alias("n_equal"), F.count("*").alias("n_chains"))
+        found, path = materialize(joined.drop("island"), "passages")
+        keep.append(path)
+    return found
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated passage: id, source_id, begin, stop (bytes of the UTF-8 text), n_words, n_equal, n_chains.
 
-    A passage is a run of at least MIN_WORDS words of which a document with a smaller id has a copy,
-    exact or with at least IDENTITY of the words aligned; the smallest such id is source_id. The first
-    document to have a passage is not listed for it. Repeats within one document are not passages.
+    A passage is a run of at least MIN_WORDS words that a document with a smaller id has too, exact or
+    with at least IDENTITY of the words aligned; the smallest such id is source_id. The first document
+    to have a passage is not listed for it. Repeats within one document are not passages.
 
-    Null and short texts have no passages, and rows without an id take no part. Rows that repeat an id
-    are one document, whose passages are those of any of its rows. An empty table gives no rows.
-    Other columns are ignored.
+    A document is an id with a text: rows that repeat an id with another text are documents of their
+    own, in the order of a hash (source_id may then be the id itself), and rows that repeat both are one.
+    Where several places of a source fit, the first is taken. Null and short texts have no passages,
+    and rows without an id take no part. A text may be as long as Arrow's batches hold; its seeds and
+    matches are held in one task. An empty table gives no rows. Other columns are ignored.
     """
-    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.encode(text_col, "UTF-8").alias("txt"))
-    seeds, _ = materialize(seed_table(docs, id_col, text_col), "seeds")
-    shared = seeds.groupBy("h").agg(F.min(F.struct("doc", "pos", "begin", "stop")).alias("a"), F.max("doc").alias("last")).where("a.doc <> last")
-    # Written: the join below is then of two plain shuffles, and a seed of a third of the documents can be split.
-    shared, _ = materialize(shared.select("h", F.col("a.doc").alias("source"), F.col("a.pos").alias("src_pos"), F.col("a.begin").alias("src_begin"), F.col("a.stop").alias("src_stop")), "seeds-shared")
-    matches = seeds.join(shared, "h").where("doc <> source").select("doc", "source", "pos", "src_pos", "begin", "stop", "src_begin", "src_stop")
-    coupled = seeds.where("pair IS NOT NULL")
-    firsts = coupled.groupBy("pair").agg(F.min(F.struct("doc", "pos", "begin", "stop", "pos2", "begin2", "stop2")).alias("a"), F.max("doc").alias("last")).where("a.doc <> last")
-    firsts, _ = materialize(firsts.select("pair", "a"), "pairs-shared")
-    met = coupled.join(firsts, "pair").where("doc <> a.doc")
-    of = lambda n: F.struct(*[F.col(c + n).alias(c) for c in ("pos", "begin", "stop")], *[F.col(f"a.{c}{n}").alias(f"src_{c}") for c in ("pos", "begin", "stop")])
-    both = met.select("doc", F.col("a.doc").alias("source"), F.explode(F.array(of(""), of("2"))).alias("m"))
-    matches = matches.union(both.select("doc", "source", *[f"m.{c}" for c in matches.columns[2:]]))
-    sort = ["doc", "source", "pos", "src_pos"]
-    chains, _ = materialize(matches.repartition("doc").sortWithinPartitions(*sort).mapInArrow(_chains, ", ".join(f"{c} long" for c in CHAIN)), "chains")
-
-    # Both sides of a chain are cut out of their texts in one join with the documents.
-    both = F.array(*[F.struct(F.lit(side).alias("side"), F.col(of).alias("at"), F.col(b).alias("from"), F.col(s).alias("to")) for side, of, b, s in ((0, "doc", "begin", "stop"), (1, "source", "src_begin", "src_stop"))])
-    wanted = chains.select("*", F.explode(both).alias("w"))
-    cut = wanted.join(texts.withColumnRenamed("doc", "own"), F.col("w.at") == F.col("own")).select(*CHAIN, F.col("w.side").alias("side"), F.expr(f"substring(txt, cast(greatest(0, w.from - {MARGIN}) + 1 as int), cast(w.to + {MARGIN} - greatest(0, w.from - {MARGIN}) as int))").alias("piece"))
-    cut, _ = materialize(cut, "chain-texts")
-    sides = cut.where("side = 0").drop("side").join(cut.where("side = 1").drop("side").withColumnRenamed("piece", "src_piece"), CHAIN)
-    parts = sides.mapInArrow(_aligned, "doc long, source long, word long, words long, begin long, stop long, equal long").where("words > 0").distinct()
-
-    # Parts with different sources that touch are one passage of the document.
-    seen = F.max(F.col("word") + F.col("words")).over(Window.partitionBy("doc").orderBy("word", "words", "source", "begin").rowsBetween(Window.unboundedPreceding, -1))
-    fresh = parts.withColumn("new", F.when(seen.isNull() | (F.col("word") > seen + BRIDGE), 1).otherwise(0))
-    island = F.sum("new").over(Window.partitionBy("doc").orderBy("word", "words", "source", "begin").rowsBetween(Window.unboundedPreceding, 0))
-    joined = fresh.withColumn("island", island).groupBy("doc", "island").agg(F.min("source").alias("source_id"), F.min("begin").alias("begin"), F.max("stop").alias("stop"), (F.max(F.col("word") + F.col("words")) - F.min("word")).alias("n_words"), F.max("equal").alias("n_equal"), F.count("*").alias("n_chains"))
-    return joined.where(F.col("n_words") >= MIN_WORDS).select(F.col("doc").alias(id_col), "source_id", "begin", "stop", "n_words", "n_equal", "n_chains")
+    return _passages(docs, id_col, text_col).select(F.col("doc").alias(id_col), "source_id", "begin", "stop", "n_words", "n_equal", "n_chains")
 
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated passages cut out of the text; columns and rows stay, also rows left empty.
 
-    The document that has a passage first keeps it. Documents without one keep their text as it is.
+    The document that has a passage first keeps it. Documents without one keep their text as it is, and
+    rows that repeat an id are cut each by its own text.
     """
     with scratch_scope(docs.sparkSession) as keep:
-        found = repeated_passages(docs, id_col, text_col).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("begin", "stop"))).alias("__cuts")).withColumnRenamed(id_col, "__own")
-        found, path = materialize(found, "passages")
+        cuts = F.array_sort(F.collect_list(F.struct("begin", "stop"))).alias("__cuts")
+        found, path = materialize(_passages(docs, id_col, text_col).groupBy(F.col("own").alias("__own")).agg(cuts), "passages")
         keep.append(path)
     data = F.encode(text_col, "UTF-8")
     # The text between the end of one cut and the beginning of the next.
@@ -284,7 +385,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lambda i: F.struct(F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(F.col("__cuts"), i - 1)["stop"]).alias("from"), F.coalesce(F.get(F.col("__cuts"), i)["begin"], F.octet_length(data).cast("long")).alias("to")),
     )
     kept = F.array_join(F.transform(between, lambda x: F.decode(F.substring(data, (x["from"] + 1).cast("int"), F.greatest(F.lit(0), x["to"] - x["from"]).cast("int")), "UTF-8")), "")
-    own = F.col(id_col).cast("long")
+    own = F.when(F.col(id_col).isNotNull() & F.col(text_col).isNotNull(), _own(id_col, text_col))
 
     def cut(few: DataFrame) -> DataFrame:
         joined = few.join(found, own == F.col("__own"), "left")

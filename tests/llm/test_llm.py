@@ -71,6 +71,73 @@ def test_cutting_keeps_the_first_passage(spark):
     assert got[2].split() == prose(3, 20).split() + prose(4, 20).split()
 
 
+def plain_repeats(rows):
+    """Documents with a run of 50 words that a document before them has, and for each all places of such runs."""
+    first, out = {}, {}
+    for i, text in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0]):
+        words = text.lower().split()
+        grams = [tuple(words[k : k + 50]) for k in range(len(words) - 49)]
+        if places := [k for k, g in enumerate(grams) if first.get(g, i) != i]:
+            out[i] = {w for k in places for w in range(k, k + 50)}
+        for g in grams:
+            first.setdefault(g, i)
+    return out
+
+
+def test_repeated_passages_equal_brute_force(spark):
+    """Exact runs of 50 words and more are all found, also where documents before hold overlapping pieces of them."""
+    rows, r = [], random.Random(3)
+    for k in range(20):
+        shared = prose(3000 + k, 60).split()
+        rows += [(1000 * k + i, " ".join([prose(r.random(), 30), *shared[at : at + 14], prose(r.random(), 30)])) for i, at in enumerate(range(0, 47, 7))]
+        rows += [(100_000 + 2 * k + i, " ".join([prose(r.random(), r.randrange(80)), *shared[: r.choice((50, 55, 60))], prose(r.random(), r.randrange(80))])) for i in range(2)]
+    rows += [(200_000 + i, prose(4000 + i % 7, 49 + i % 3)) for i in range(20)]
+    # One passage twice in its first document, one long text, and one passage in many documents.
+    common = prose(5000, 90)
+    rows += [(300_000 + i, f"{prose(5100 + i, 40)} {common} {prose(5200 + i, 10)} {common if i % 5 == 0 else ''}") for i in range(40)]
+    rows += [(400_000, prose(5300, 30_000)), (400_001, prose(5400, 20_000) + " " + prose(5300, 30_000) + " tail")]
+    want = plain_repeats(rows)
+    got, texts = collections.defaultdict(set), dict(rows)
+    for p in substring_dedup.repeated_passages(docs_of(spark, rows)).collect():
+        word = len(texts[p["doc_id"]].encode()[: p["begin"]].split())
+        got[p["doc_id"]] |= set(range(word, word + p["n_words"]))
+        assert p["n_words"] >= 50 and p["source_id"] < p["doc_id"]
+    assert set(got) == set(want) and len(want) > 60
+    assert all(want[i] <= got[i] for i in want)
+
+
+def test_fuzzy_passages_are_found(spark):
+    rows = []
+    for k in range(30):
+        words = prose(6000 + k, 80).split()
+        changed = [w for i, w in enumerate(words) for w in ({9: ["new"], 23: [], 37: [w, "added"], 51: ["x", "y"], 65: ["z"]}.get(i, [w]))]
+        rows += [(k, " ".join([prose(6100 + k, 30), *words, prose(6200 + k, 30)])), (100 + k, " ".join([prose(6300 + k, 30), *changed, prose(6400 + k, 30)]))]
+    found = {r["doc_id"]: r for r in substring_dedup.repeated_passages(docs_of(spark, rows)).collect()}
+    assert len([i for i in found if i >= 100]) >= 27 and not [i for i in found if i < 100]
+    assert all(found[i]["source_id"] == i - 100 for i in found)
+
+
+def test_common_words_equal_a_plain_table():
+    r = random.Random(9)
+    for _ in range(200):
+        a, b = ([b"abcd"[k : k + 1] for k in r.choices(range(4), k=r.randrange(20))] for _ in "ab")
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert substring_dedup.common_words(a, b) == best[-1][-1]
+
+
+def test_rows_that_repeat_an_id_are_cut_by_their_own_text(spark):
+    shared, other = prose(100, 60), prose(7000, 200)
+    rows = [(1, f"{prose(1, 20)} {shared}"), (2, other), (2, f"{prose(3, 20)} {shared} {prose(4, 20)}"), (2, f"{prose(3, 20)} {shared} {prose(4, 20)}"), (None, shared), (3, None), (4, ""), (5, shared[:40])]
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in substring_dedup.remove_passages(docs_of(spark, rows)).collect())
+    cut = f"{prose(3, 20)}  {prose(4, 20)}"
+    assert got == sorted([(1, rows[0][1]), (2, other), (2, cut), (2, cut), (0, shared), (3, ""), (4, ""), (5, shared[:40])])
+    assert substring_dedup.repeated_passages(docs_of(spark, EDGE)).count() == 0
+    assert substring_dedup.repeated_passages(docs_of(spark, rows).limit(0)).count() == 0
+
+
 def test_chains_are_optimal():
     rng = np.random.default_rng(0)
     for _ in range(50):
@@ -92,9 +159,9 @@ def test_chains_are_optimal():
 
 def test_shared_run_has_a_shared_seed():
     run = prose(5, substring_dedup.K + substring_dedup.WINDOW - 1)
-    a = set(substring_dedup.seeds_of(f"{prose(6, 50)} {run} {prose(7, 50)}")[0].tolist())
-    b = set(substring_dedup.seeds_of(f"{prose(8, 9)}\n{run.upper()} {prose(9, 3)}")[0].tolist())
-    assert a & b and not len(substring_dedup.seeds_of("a b c d")[0]) and len(substring_dedup.seeds_of("a b c d e")[0]) == 1
+    a = set(substring_dedup.seeds_of(f"{prose(6, 50)} {run} {prose(7, 50)}".encode())[0].tolist())
+    b = set(substring_dedup.seeds_of(f"{prose(8, 9)}\n{run.upper()} {prose(9, 3)}".encode())[0].tolist())
+    assert a & b and not len(substring_dedup.seeds_of(b"a b c d")[0]) and len(substring_dedup.seeds_of(b"a b c d e")[0]) == 1
 
 
 # 2 ----------------------------------------------------------------------------------------------------
