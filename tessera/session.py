@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no checkpoint folder and runs on one machine, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Bytes of the batches that Python workers get, so that long texts do not come by the thousand.
+BATCH_BYTES = 8 << 20
 #: Scratch tables that this process has written and not removed.
 _written: list[str] = []
 
@@ -87,9 +89,13 @@ def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
 
 
 def expose_package(spark: SparkSession) -> None:
-    """Let Python workers import this package even if the driver found it by sys.path alone."""
+    """Let Python workers import this package even if the driver found it by sys.path alone, and get batches of at
+    most BATCH_BYTES, unless the session has a bound of its own."""
     root = str(Path(__file__).resolve().parent.parent)
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in known:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound) == "67108864b":
+        spark.conf.set(bound, str(BATCH_BYTES))
