@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
 from tessera.operators.filters import join_few, possibly_in
-from tessera.session import materialize, scratch_scope
+from tessera.session import materialize, remove, scratch_scope
 
 RADIUS = 2
 SEED = 42
@@ -92,7 +92,11 @@ def tallied_pairs(classes: DataFrame) -> DataFrame:
 
     A pair is in one list for each choice of LEAST_SHARED bytes out of those it shares.
     """
-    lists = _postings(classes).groupBy("slot", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps", F.explode("fps").alias("src"))
+    postings = _postings(classes)
+    shared, _ = materialize(postings.groupBy("slot", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("slot", "key"), "simhash-shared")
+    # Most keys are of one fingerprint; only the postings of the others are put together.
+    met = possibly_in(postings, [F.col("slot"), F.col("key")], shared).where("__maybe")
+    lists = met.groupBy("slot", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps", F.explode("fps").alias("src"))
     pairs = lists.select("src", F.explode(F.filter("fps", lambda x: x > F.col("src"))).alias("dst"))
     counted = pairs.groupBy("src", "dst").agg(F.count("*").alias("lists"))
     shared = F.coalesce(*[F.when(F.col("lists") >= comb(n, LEAST_SHARED), n) for n in range(BYTES, LEAST_SHARED, -1)], F.lit(LEAST_SHARED))
@@ -196,7 +200,7 @@ def _prefix_postings(noded: DataFrame) -> DataFrame:
                 of = lambda c: np.repeat(part.column(c).to_numpy(), lengths)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(of(0)), pa.array(of(1)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]))], names)
 
-    return noded.select("node", "n", "shingles").mapInArrow(work, "key long, node long, n int, pos int").distinct()
+    return noded.select("node", "n", "shingles").mapInArrow(work, "key long, node long, n int, pos int")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
@@ -222,6 +226,16 @@ def _met(one: DataFrame, other: DataFrame) -> DataFrame:
     return pairs.select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
 
 
+def _in_parts(postings: DataFrame, parts: DataFrame) -> DataFrame:
+    """postings with the component of their node, itself if it is in none. Nodes without links are not moved."""
+    alone = postings.withColumn("part", F.col("node"))
+
+    def named(few: DataFrame) -> DataFrame:
+        return few.drop("part").join(parts, F.col("node") == F.col("id"), "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("part"))
+
+    return join_few(alone, [F.col("node")], parts.select("id"), named)
+
+
 def _near_fingerprints(classes: DataFrame) -> DataFrame:
     """(src, dst): nodes of one fingerprint with the least of them, and these where fingerprints link."""
     firsts, _ = materialize(classes.groupBy("fp").agg(F.min("node").alias("first")), "set-fps")
@@ -244,20 +258,23 @@ def _links(classes: DataFrame, noded: DataFrame) -> DataFrame:
     prints, _ = materialize(_near_fingerprints(classes), "set-near")
     near, _ = materialize(_verified(prints, classes, noded), "set-links")
     parts, _ = materialize(connected_components(near), "set-parts")
-    postings = _prefix_postings(noded)
-    postings, _ = materialize(postings.join(parts, F.col("node") == F.col("id"), "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("part")), "set-postings")
+    postings = _in_parts(_prefix_postings(noded), parts)
+    postings, at = materialize(postings, "set-postings")
+    shared, _ = materialize(postings.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key"), "set-shared")
+    # Most keys are of one component only; the postings of the others go on.
+    open_lists, _ = materialize(possibly_in(postings, [F.col("key")], shared).where("__maybe").drop("__maybe").distinct(), "set-open")
+    remove(postings.sparkSession, at)
     best = F.struct(((F.col("n") - F.col("pos")) / F.col("n")).alias("share"), (-F.col("n")).alias("less"), "node", "n", "pos", "part")
-    heads, _ = materialize(postings.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.max(best).alias("head")).where("least < most").select("key", "head.node", "head.n", "head.pos", "head.part"), "set-heads")
-    first, _ = materialize(_met(postings, heads), "set-pairs")
+    heads, _ = materialize(open_lists.groupBy("key").agg(F.max(best).alias("head")).select("key", "head.node", "head.n", "head.pos", "head.part"), "set-heads")
+    first, _ = materialize(_met(open_lists, heads), "set-pairs")
     linked, _ = materialize(near.union(_verified(first, classes, noded)), "set-links")
     parts, _ = materialize(connected_components(linked), "set-parts")
 
-    listed = postings.join(heads.select("key"), "key").join(parts, F.col("node") == F.col("id"), "left")
-    named, _ = materialize(listed.select("key", "node", "n", "pos", F.coalesce("component", "node").alias("part")), "set-listed")
+    named, _ = materialize(_in_parts(open_lists.drop("part"), parts), "set-listed")
     counted = named.groupBy("key", "part").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
     largest, _ = materialize(counted.select("key", F.col("most.part").alias("largest")), "set-largest")
-    open_lists, _ = materialize(named.join(largest, "key"), "set-open")
-    second, _ = materialize(_met(open_lists.where("part <> largest"), open_lists).join(first, ["src", "dst"], "left_anti"), "set-pairs")
+    rest, _ = materialize(named.join(largest, "key"), "set-open")
+    second, _ = materialize(_met(rest.where("part <> largest"), rest).join(first, ["src", "dst"], "left_anti"), "set-pairs")
     return linked.union(_verified(second, classes, noded))
 
 

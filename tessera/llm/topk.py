@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 #: Numbers of segments, coarse to fine.
 LEVELS = (1, 4, 16)
 #: Rows of a candidate block and of a query block: a task holds one of each.
@@ -32,10 +34,11 @@ def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def search_block(query_ids: np.ndarray, q: np.ndarray, cand_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score): the k best candidates of each query within this block."""
+def search_block(query_rows: np.ndarray, q: np.ndarray, cand_rows: np.ndarray, cand_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate id, score): the k best candidates of each query within this block. A row is no
+    candidate of itself."""
     order = np.argsort(cand_ids, kind="stable")
-    cand_ids, c = cand_ids[order], c[order]
+    cand_rows, cand_ids, c = cand_rows[order], cand_ids[order], c[order]
     features = [(segment_features(q, s), segment_features(c, s)) for s in LEVELS if s < q.shape[1]]
     slack = 1.0 + 1e-9 * np.sqrt((q.astype(np.float64) ** 2).sum(1).max(initial=0) * (c.astype(np.float64) ** 2).sum(1).max(initial=0))
     kth = np.full(len(q), -np.inf)
@@ -44,7 +47,7 @@ def search_block(query_ids: np.ndarray, q: np.ndarray, cand_ids: np.ndarray, c:
     for at in range(0, len(c), step):
         stop = min(at + step, len(c))
         qi, ci = (x.ravel() for x in np.meshgrid(np.arange(len(q)), np.arange(at, stop), indexing="ij"))
-        other = query_ids[qi] != cand_ids[ci]
+        other = query_rows[qi] != cand_rows[ci]
         qi, ci = qi[other], ci[other]
         for fq, fc in features:
             if at == 0:
@@ -63,7 +66,7 @@ def search_block(query_ids: np.ndarray, q: np.ndarray, cand_ids: np.ndarray, c:
         best_q, best_c, best_s, place = all_q[top], all_c[top], all_s[top], place[top]
         full = place == k - 1
         kth[best_q[full]] = best_s[full]
-    return query_ids[best_q], cand_ids[best_c], best_s
+    return query_rows[best_q], cand_ids[best_c], best_s
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0) -> DataFrame:
@@ -72,8 +75,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
     Components are floor(scale * x); the score is their inner product as a long, exact while it fits
     one. is_query is a condition on the table's columns. Ties go to the smaller id; with fewer than k
     candidates all are returned. Rows without an id or a vector, or with a null or non-finite
-    component, take no part; vectors of different lengths are not compared. Rows that share an id are
-    each other's own and not candidates of each other. An empty table gives no rows.
+    component, take no part; vectors of different lengths are not compared. Rows are told apart by a number,
+    not by their id: of rows that share an id each is a query of its own with its own k results, and each
+    is a candidate of the others. An empty table gives no rows; other columns are ignored.
 
     Candidates and queries are dealt into blocks, and every pair of blocks is one group of two bounded
     tables; the best of each block are merged by a window over k rows a block and query.
@@ -81,25 +85,28 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
     spark = vectors.sparkSession
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(finite)
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"), is_query.alias("asks")).withColumn("dim", F.size("v"))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"), is_query.alias("asks"))
+    # Written, so that a row has the same number in every later read.
+    rows, _ = materialize(rows.withColumn("dim", F.size("v")), "topk-rows")
     sizes = rows.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
     blocks = max(2 * spark.sparkContext.defaultParallelism, -(-sizes[0] // CANDIDATES))
     query_blocks = max(1, -(-sizes[1] // QUERIES))
-    part = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
-    cands = rows.select("dim", part(blocks, 1).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "id", "v")
-    asked = rows.where("asks").select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"), part(query_blocks, 2).alias("qb"), "id", "v")
+    part = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n)).cast("int")
+    cands = rows.select("dim", part(blocks, 1).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "row", "id", "v")
+    asked = rows.where("asks").select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"), part(query_blocks, 2).alias("qb"), "row", "v")
 
     def search(q: pa.Table, c: pa.Table) -> pa.Table:
         grid = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        ids = lambda t: t.column("id").to_numpy()
+        of = lambda t, c: t.column(c).to_numpy()
         if q.num_rows and c.num_rows:
-            a, b, s = search_block(ids(q), grid(q), ids(c), grid(c), k)
+            a, b, s = search_block(of(q, "row"), grid(q), of(c, "row"), of(c, "id"), grid(c), k)
         else:
             a = b = s = np.empty(0, np.int64)
-        return pa.table({"query_id": pa.array(a, pa.int64()), "id": pa.array(b, pa.int64()), "score": pa.array(s, pa.int64())})
+        return pa.table({"asker": pa.array(a, pa.int64()), "id": pa.array(b, pa.int64()), "score": pa.array(s, pa.int64())})
 
     key = ["dim", "cb", "qb"]
-    found = asked.groupBy(*key).cogroup(cands.groupBy(*key)).applyInArrow(search, "query_id long, id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    found = asked.groupBy(*key).cogroup(cands.groupBy(*key)).applyInArrow(search, "asker long, id long, score long")
+    order = Window.partitionBy("asker").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+    named = ranked.join(rows.where("asks").select("row", F.col("id").alias("query_id")), F.col("asker") == F.col("row"))
+    return named.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

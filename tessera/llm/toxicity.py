@@ -7,18 +7,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.wordhash import Spans, runs
+from tessera.session import materialize, remove
 
 #: Buckets of the embedding table and its width; filters of each width in words.
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 16, 8, (1, 2, 3)
 #: A word is embedded as the sum of the rows for itself and for its beginnings of these many bytes.
 STEMS = (4, 5)
-#: Most labelled rows of each class that the fit reads: a bounded sample, in the order of a hash of the id.
-FIT_ROWS = 3_000
+#: The fit reads a bounded sample: at most this many labelled documents of each class, in the order of a hash of
+#: the id, of those whose text has at most FIT_BYTES bytes. What the driver holds is at most their product.
+FIT_ROWS, FIT_BYTES = 3_000, 1 << 16
+#: Thresholds come from counts of scores in this many steps, and by language where both classes have this many rows.
+STEPS, LEAST_ROWS = 1_000, 20
 EPOCHS, BATCH, RATE = 8, 16, 0.02
 #: Small samples are gone through more often, up to this many batches but no more than 60 times.
 BATCHES = 1_500
@@ -149,22 +153,15 @@ class TextCNN:
                 bias_square += g_b * g_b
                 self.out_bias -= RATE * g_b / np.sqrt(bias_square)
 
-    def calibrate(self, scores: np.ndarray, labels: np.ndarray, langs: list[str | None], least: int = 20) -> None:
-        """By language the cut of best F1 on held-back rows, in the middle of its gap; languages with fewer
-        than `least` rows of either class take the cut of all rows (key None)."""
 
-        def best_cut(s: np.ndarray, y: np.ndarray) -> float:
-            order = np.argsort(-s, kind="stable")
-            hits = np.cumsum(y[order])
-            f1 = 2 * hits / (np.arange(1, len(s) + 1) + max(1, y.sum()))
-            k = int(f1.argmax())
-            return float((s[order][k] + (s[order][k + 1] if k + 1 < len(s) else 0.0)) / 2)
-
-        self.thresholds = {None: best_cut(scores, labels) if labels.any() and not labels.all() else CUT}
-        for lang in sorted({x for x in langs if x is not None}):
-            own = np.array([x == lang for x in langs])
-            if min(labels[own].sum(), (1 - labels[own]).sum()) >= least:
-                self.thresholds[lang] = best_cut(scores[own], labels[own])
+def best_cut(counts: dict[int, tuple[int, int]]) -> float:
+    """The score in the middle of the gap below the steps of best F1, given (rows of label 0, of label 1) by step."""
+    steps = sorted(counts, reverse=True)
+    wrong = np.cumsum([counts[k][0] for k in steps])
+    right = np.cumsum([counts[k][1] for k in steps])
+    k = int((2 * right / (right + wrong + right[-1])).argmax())
+    below = steps[k + 1] if k + 1 < len(steps) else 0
+    return (steps[k] + below) / 2 / STEPS
 
 
 def held_out(id_col: str):
@@ -172,33 +169,71 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> TextCNN:
-    """Fit on at most FIT_ROWS labelled rows of each class that are not held out; a fifth calibrates.
+def _labelled(labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
+    """(__id, __y): the ids with a label that are not held out. An id with several labels has the highest."""
+    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    return usable.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max((F.col(label_col) != 0).cast("int")).alias("__y"))
+
+
+def _part(column: Column) -> Column:
+    """A number from 0 to 4 from an id; ids of 4 are kept from the fit, for the thresholds."""
+    return F.pmod(F.xxhash64(column, F.lit("part")), F.lit(5))
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> TextCNN:
+    """Fit on a bounded sample of labelled documents that are not held out (FIT_ROWS, FIT_BYTES).
 
-    The rows are those least in a hash of the id. Labels that are null or without a document are
-    left out; with one class alone the model stays untrained and gives its share as the score.
+    The sample has up to as many of either class, so that a rare class is learned; the bias is then set back to
+    the share of label 1 among all labelled ids, so scores mean the same whatever the size of the table. Labels
+    that are null or without a document are left out, of rows that repeat an id one is read (the least by
+    a hash of its text), and with one class alone the model stays untrained and gives its share as the score.
     """
-    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("__id"), (F.col(label_col) != 0).cast("int").alias("__y"))
+    usable, path = materialize(_labelled(labels, label_col, id_col), "toxic-labels")
+    counts = dict(usable.groupBy("__y").count().collect())
+    short = docs.where(F.octet_length(F.coalesce(text_col, F.lit(""))) <= FIT_BYTES)
     picked = None
     for y in (0, 1):
-        some = usable.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(FIT_ROWS)
+        some = usable.where((F.col("__y") == y) & (_part(F.col("__id")) < 4)).orderBy(F.xxhash64("__id"), "__id").limit(FIT_ROWS)
         picked = some if picked is None else picked.union(some)
-    # Bounded by FIT_ROWS rows of two numbers a class.
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__t"), F.col(lang_col).alias("__lang")).join(F.broadcast(picked), "__id").collect()
-    rows.sort(key=lambda r: (r["__id"], r["__t"] or ""))
+    # Bounded by FIT_ROWS rows of two numbers a class; and then by these rows with FIT_BYTES each.
+    met = short.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t")).join(F.broadcast(picked), "__id")
+    rows = met.groupBy("__id", "__y").agg(F.min_by("__t", F.struct(F.xxhash64("__t"), "__t")).alias("__t")).collect()
+    remove(docs.sparkSession, path)
+    rows.sort(key=lambda r: r["__id"])
     model = TextCNN.fresh()
     y = np.array([r["__y"] for r in rows], np.float32)
+    share = lambda one, zero: float(np.log((one + 1e-3) / (zero + 1e-3)))
     if not len(y) or y.all() or not y.any():
-        model.out[...], share = 0, float(y.mean()) if len(y) else 0.0
-        model.out_bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
-        model.thresholds = {None: CUT}
+        model.out[...] = 0
+        model.out_bias = share(counts.get(1, 0), counts.get(0, 0)) if counts else share(0, 1)
         return model
     texts = [word_rows(r["__t"]) for r in rows]
     texts = [t if len(t) else np.zeros((1, 1 + len(STEMS)), np.int64) for t in texts]
-    back = np.arange(len(rows)) % 5 == 4
-    model.fit([t for t, b in zip(texts, back, strict=True) if not b], y[~back])
-    kept = np.flatnonzero(back)
-    model.calibrate(np.array([model.score(texts[i]) for i in kept]), y[kept], [rows[i]["__lang"] for i in kept])
+    model.fit(texts, y)
+    model.out_bias += share(counts[1], counts[0]) - share(y.sum(), len(y) - y.sum())
+    return model
+
+
+def calibrate(model: TextCNN, docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> TextCNN:
+    """The model with thresholds: by language the cut of best F1 over all labelled documents that are neither held
+    out nor of the fit's part. Languages with fewer than LEAST_ROWS rows of either class, and tables without a
+    language column, take the cut of all (key None); without both classes that is CUT.
+
+    Scores are counted in STEPS steps by language and label, so what is collected does not grow with rows.
+    """
+    asked = _labelled(labels, label_col, id_col).where(_part(F.col("__id")) == 4)
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    scored = score_documents(docs.select(F.col(id_col).cast("long").alias("__id"), lang.alias("__lang"), F.col(text_col).alias("__t")).where(_part(F.col("__id")) == 4), model, "__id", "__t", "__s")
+    counted = scored.select("__id", "__lang", F.floor(F.col("__s") * STEPS).cast("int").alias("step")).join(asked, "__id").groupBy("__lang", "step").agg(F.count(F.when(F.col("__y") == 0, 1)).alias("zero"), F.count(F.when(F.col("__y") == 1, 1)).alias("one"))
+    by: dict = {None: {}}
+    for r in counted.collect():
+        for key in {None, r["__lang"]}:
+            own = by.setdefault(key, {})
+            zero, one = own.get(r["step"], (0, 0))
+            own[r["step"]] = (zero + r["zero"], one + r["one"])
+    total = lambda of: min(sum(c[i] for c in of.values()) for i in (0, 1))
+    model.thresholds = {None: best_cut(by[None]) if total(by[None]) else CUT}
+    model.thresholds |= {key: best_cut(of) for key, of in by.items() if key is not None and total(of) >= LEAST_ROWS}
     return model
 
 
@@ -228,7 +263,8 @@ def reject_toxic(docs: DataFrame, model: TextCNN, lang_col: str = "lang", **colu
     The language chooses the threshold only, never the score; a null or unseen one takes the general
     threshold.
     """
-    cuts = [F.when(F.col(lang_col) == lang, F.lit(cut)) for lang, cut in model.thresholds.items() if lang is not None]
+    known = lang_col in docs.columns
+    cuts = [] if not known else [F.when(F.col(lang_col) == lang, F.lit(cut)) for lang, cut in model.thresholds.items() if lang is not None]
     scored = score_documents(docs, model, out="__toxic_score", **columns)
     return scored.where(F.col("__toxic_score") < F.coalesce(*cuts, F.lit(model.thresholds[None]))).drop("__toxic_score")
 

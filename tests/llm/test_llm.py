@@ -294,10 +294,26 @@ def test_top_k_equals_brute_force(spark):
     for q in (0, 100, 200, 300):
         s = v @ v[q]
         assert got[q] == [(int(i), int(s[i])) for i in sorted((j for j in range(400) if j != q), key=lambda j: (-s[j], j))[:10]]
+    # One component alone: (2000, [1.0]) is a query without a candidate.
     assert set(got) == {0, 100, 200, 300}
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_tells_rows_apart_that_share_an_id(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-9, 9, (120, 8)) / 1024
+    ids = [*range(110), 100, 100, 7, 7, 0, *[1] * 5]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)] + [(100, x[100].tolist())], "vec_id long, embedding array<double>")
+    v = np.floor(1024 * np.concatenate([x, x[100:101]])).astype(np.int64)
+    ids.append(100)
+    want = []
+    for q in (n for n, i in enumerate(ids) if i % 100 == 0):
+        best = sorted((-int(v[n] @ v[q]), i) for n, i in enumerate(ids) if n != q)[:10]
+        want += [(ids[q], rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect()) == sorted(want)
+
+
+
 def test_segment_bounds_hold():
     rng = np.random.default_rng(3)
     q, c = rng.integers(-300, 300, (20, 24)), rng.integers(-300, 300, (30, 24))
@@ -555,7 +571,8 @@ def test_classifier_on_held_out_rows(spark, monkeypatch):
     held = [r for r in rows if got[r[0]]["held_out"]]
     assert all(got[r[0]]["held_out"] == (zlib.crc32(str(r[0]).encode()) % 4 == 2) for r in rows)
     assert len(held) > 100 and sum(got[r[0]]["predicted"] == r[3] for r in held) / len(held) > 0.95
-    model = toxicity.fit_classifier(docs, labels)
+    model = toxicity.calibrate(toxicity.fit_classifier(docs, labels), docs, labels)
+    assert set(model.thresholds) >= {None, "en", "de"}
     kept = {r["doc_id"] for r in toxicity.reject_toxic(docs, model).collect()}
     assert sum(r[0] in kept for r in rows if r[3]) < 20 and sum(r[0] in kept for r in rows if not r[3]) > 580 and 5000 in kept
     none = toxicity.toxicity_report(docs, labels.limit(0)).collect()
