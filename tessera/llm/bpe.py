@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Pre-tokens whose ids a worker remembers as recent, and as many older ones. Results do not depend on it.
 REMEMBERED = 500_000
+#: Longer pre-tokens (in characters) are merged anew each time, which bounds the bytes of what is remembered.
+KEPT = 128
 #: Bits of a bitmap word: two levels cover a million ranks.
 SHIFT = 10
 LOW = (1 << SHIFT) - 1
@@ -119,9 +121,14 @@ class Codec:
         """The ids of a text, without special tokens."""
         recent, older = self.recent, self.older
         pieces = self.pattern.findall(text)
+        long = []
         for new in set(pieces).difference(recent):
             recent[new] = older.get(new) or self.merge(new.encode())
+            if len(new) > KEPT:
+                long.append(new)
         ids = list(chain.from_iterable(map(recent.__getitem__, pieces)))
+        for piece in long:
+            del recent[piece]
         if len(recent) > REMEMBERED:
             self.recent, self.older = {}, recent
         return ids
@@ -163,13 +170,16 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         decimal = [str(i) for i in range(max(of.tokens) + 1)]
         sha = hashlib.sha256
         gc.disable()  # nothing here is cyclic, and the remembered tuples are many
-        for batch in batches:
-            n, left, right = [], [], []
-            for t in batch.column(1):
-                ids = of(t.as_py() or "")
-                n.append(len(ids))
-                left.append(sha(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                right.append(sha(of.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in batches:
+                n, left, right = [], [], []
+                for t in batch.column(1):
+                    ids = of(t.as_py() or "")
+                    n.append(len(ids))
+                    left.append(sha(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                    right.append(sha(of.decode(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            gc.enable()
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(work, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -22,8 +22,6 @@ from tessera.session import materialize
 CONTEXT, END, VOCABULARY = 2048, 1, 50_257
 #: Document rests of one shard of the inverted index; candidates of a seed are the unused of its shard.
 SHARD = 512
-#: Best neighbours that are tried whole before one is cut to fill the window.
-TRIED = 32
 K1, B = 1.2, 0.75
 #: Characters beyond those for which both tokenizer libraries agree on letters, digits and white space.
 RARE = re.compile("[^\x00-ɏ‐-‧₠-₿]")
@@ -159,13 +157,13 @@ class Packer:
             self.open, self.room, self.query = [], CONTEXT, None
 
     def pack(self) -> None:
-        """Pack all rests of the shard. Each seed's window takes the unused neighbours that fit, best first,
+        """Pack all rests of the shard. Each seed's window takes all unused neighbours that fit, best first,
         then the best of those left is cut to fill it; its remainder stays unused."""
         rests, self.rests = self.rests, []
         if not rests:
             return
         index = Shard([r[2] for r in rests], self.idf, self.mean_length)
-        unused = np.ones(len(rests), bool)
+        unused, lengths = np.ones(len(rests), bool), np.array([len(r[2]) for r in rests])
         seed = 0
         while unused.any():
             if self.query is None:
@@ -178,18 +176,18 @@ class Packer:
             scores = np.where(unused, index.scores(self.query), -1.0)
             order = np.argsort(-scores, kind="stable")
             order = order[: int(unused.sum())]
-            for i in order[:TRIED]:
-                if self.query is None:
+            while self.query is not None:
+                whole = order[unused[order] & (lengths[order] <= self.room)]
+                if not len(whole):
                     break
-                if len(rests[i][2]) <= self.room:
-                    self._place(rests[i], len(rests[i][2]))
-                    unused[i] = False
-            for i in order:
+                self._place(rests[whole[0]], lengths[whole[0]])
+                unused[whole[0]] = False
+            for i in order[unused[order]]:
                 if self.query is None:
                     break
-                if unused[i]:
-                    self._place(rests[i], min(len(rests[i][2]), self.room))
-                    unused[i] = len(rests[i][2]) > 0
+                self._place(rests[i], min(lengths[i], self.room))
+                lengths[i] = len(rests[i][2])
+                unused[i] = lengths[i] > 0
 
     def finish(self) -> None:
         """Pack what is left. The last window is dealt into sequences of powers of two, which need no padding."""

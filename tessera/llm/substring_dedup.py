@@ -294,35 +294,50 @@ def _firsts(table: DataFrame, key: str, *fields: str) -> DataFrame:
     return materialize(first.where("lo <> hi").select(key, "a"), "seeds-first")[0]
 
 
-def _matches(texts: DataFrame) -> DataFrame:
-    """MATCH columns: seeds of texts with the same seed in the first text that has it, and ends of runs with those in
-    the first text that has the run and in the one before."""
+PLACE = ["pos", "begin", "stop"]
+
+
+def _as_matches(met: DataFrame) -> DataFrame:
+    """MATCH columns from (own, doc, m, a): both ends of the run m are matched with those of the run a."""
+    end = lambda n: F.struct(F.struct(*[F.col(f"m.{c}{n}").alias(c) for c in PLACE]).alias("m"), F.struct(*[F.col(f"a.{c}{n}").alias(c) for c in PLACE]).alias("f"))
+    ends = met.select("own", F.col("a.own").alias("src"), "doc", F.col("a.doc").alias("source"), F.explode(F.array(end(""), end("2"))).alias("e"))
+    return ends.select("own", "src", "doc", "source", "e.m.pos", F.col("e.f.pos").alias("src_pos"), "e.m.begin", "e.m.stop", F.col("e.f.begin").alias("src_begin"), F.col("e.f.stop").alias("src_stop"))
+
+
+def _parts(texts: DataFrame) -> DataFrame:
+    """ALIGNED columns: runs of MIN_WORDS words or more that align with a text before.
+
+    First each seed and each run meets the first text that has it. The first holder of a run may have less of the
+    passage than a later one, so runs that are in no part then meet the text before that has them.
+    """
     shared = seed_table(texts).select("h", "own").groupBy("h").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("h")
     shared, _ = materialize(shared, "seeds-shared")
     # Seeds are made again rather than written: most are in one text only, and these go here.
     seeds = possibly_in(seed_table(texts), [F.col("h")], shared).where("__maybe").drop("__maybe")
     seeds, _ = materialize(seeds, "seeds")
-    place = ["pos", "begin", "stop"]
-    single = seeds.join(_firsts(seeds, "h", *place), "h").where("own <> a.own")
-    matched = single.select("own", F.col("a.own").alias("src"), "doc", F.col("a.doc").alias("source"), *[F.struct(*place).alias("m"), F.struct(*[F.col(f"a.{c}").alias(c) for c in place]).alias("f")])
-    whole = [*place, "pos2", "begin2", "stop2"]
+    single = seeds.join(_firsts(seeds, "h", *PLACE), "h").where("own <> a.own")
+    single = single.select("own", F.col("a.own").alias("src"), "doc", F.col("a.doc").alias("source"), "pos", F.col("a.pos").alias("src_pos"), "begin", "stop", F.col("a.begin").alias("src_begin"), F.col("a.stop").alias("src_stop"))
+    whole = [*PLACE, "pos2", "begin2", "stop2"]
     coupled = seeds.where("run IS NOT NULL")
     coupled, _ = materialize(coupled.join(_firsts(coupled, "run", *whole), "run").select("run", "doc", "own", F.struct(*whole).alias("m"), "a"), "seeds-runs")
+    found, _ = materialize(_aligned_chains(texts, single.union(_as_matches(coupled.where("own <> a.own")))), "parts")
+
     # A run's holders in the order of their ids, each with the one before it. Numbers are unique, so no run is a hot key.
     holders = running_sum(coupled.groupBy("run", "doc", "own").agg(F.min("m").alias("m"), F.first("a.own").alias("first")), ["run", "doc", "own"], F.lit(1), "nth")
     holders, _ = materialize(holders, "seeds-holders")
     before = holders.select((F.col("nth") + 1).alias("nth"), F.col("run").alias("of"), F.struct("doc", "own", "m.*").alias("a"))
-    second = holders.join(before, "nth").where("run = of AND a.own <> first")
-    both = coupled.where("own <> a.own").select("own", "doc", "m", "a").union(second.select("own", "doc", "m", "a"))
-    end = lambda n: F.struct(F.struct(*[F.col(f"m.{c}{n}").alias(c) for c in place]).alias("m"), F.struct(*[F.col(f"a.{c}{n}").alias(c) for c in place]).alias("f"))
-    ends = both.select("own", F.col("a.own").alias("src"), "doc", F.col("a.doc").alias("source"), F.explode(F.array(end(""), end("2"))).alias("e"))
-    matched = matched.union(ends.select("own", "src", "doc", "source", "e.m", "e.f"))
-    return matched.select("own", "src", "doc", "source", "m.pos", F.col("f.pos").alias("src_pos"), "m.begin", "m.stop", F.col("f.begin").alias("src_begin"), F.col("f.stop").alias("src_stop"))
-
-
-def _parts(texts: DataFrame) -> DataFrame:
-    """ALIGNED columns: runs of MIN_WORDS words or more that align with a text before."""
-    dealt = _matches(texts).repartition("own").sortWithinPartitions("own", "src", "pos", "src_pos")
+    second = holders.join(before, "nth").where("run = of AND a.own <> first").select("own", "doc", "m", "a")
+    # A text has one row of its parts, which are as many as its passages.
+    known = found.groupBy(F.col("own").alias("of")).agg(F.collect_list(F.struct("word", (F.col("word") + F.col("words")).alias("end"))).alias("known"))
+    inside = F.exists("known", lambda x: (x["word"] <= F.col("m.pos")) & (F.col("m.pos2") + K <= x["end"]))
+    fresh = second.join(known, F.col("own") == F.col("of"), "left").where(F.col("known").isNull() | ~inside).select("own", "doc", "m", "a")
+    more, _ = materialize(_aligned_chains(texts, _as_matches(fresh)), "parts")
+    return found.union(more)
+
+
+def _aligned_chains(texts: DataFrame, matches: DataFrame) -> DataFrame:
+    """ALIGNED columns of the chains of these matches."""
+    dealt = matches.repartition("own").sortWithinPartitions("own", "src", "pos", "src_pos")
     chains, _ = materialize(dealt.mapInArrow(_chains, CHAIN_KINDS), "chains")
     # Both sides of a chain are cut out of their texts in one join; texts without a chain are not moved.
     key = ["own", "src", "pos", "src_pos"]

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Trie nodes that a worker holds, beyond which the trie starts anew; and terminal counts that it remembers
 #: as recent, and as many older ones. Results do not depend on either.
 NODES, TERMINALS = 800_000, 400_000
+#: Pre-tokens of more characters do not enter the trie.
+LONGEST = 1_024
 
 
 class PieceTrie:
@@ -34,6 +36,7 @@ class PieceTrie:
         # search for last pieces stops at the first string that ends none.
         self.ends = {token[k:]: -math.inf for token in ranks for k in range(len(token))}
         self.ends.update((token, -math.log(rank + 1) - total) for token, rank in ranks.items())
+        self.longest = max(map(len, ranks))
         self.recent: dict[str, int] = {}
         self.older: dict[str, int] = {}
         self.clear()
@@ -67,6 +70,24 @@ class PieceTrie:
             path.append(node)
         return count[node]
 
+    def alone(self, data: bytes) -> int:
+        """insert() for a pre-token too long for the trie: only the scores that a piece can reach back to are held."""
+        score, count, ends = [0.0], [0], self.ends
+        for i in range(1, len(data) + 1):
+            best, tokens, n = -math.inf, 0, len(score)
+            for back in range(1, min(n, i) + 1):
+                p = ends.get(data[i - back : i])
+                if p is None:
+                    break
+                s = score[n - back] + p
+                if s >= best and (s > best or count[n - back] + 1 < tokens):
+                    best, tokens = s, count[n - back] + 1
+            score.append(best)
+            count.append(tokens)
+            if n > 2 * self.longest:
+                del score[: n - self.longest], count[: n - self.longest]
+        return count[-1]
+
     def count_all(self, pieces: Counter) -> int:
         """Tokens of a multiset of pre-tokens."""
         recent, older, total = self.recent, self.older, 0
@@ -74,10 +95,13 @@ class PieceTrie:
             n = recent.get(piece)
             if n is None:
                 n = older.get(piece)
+                if n is None and len(piece) > LONGEST:
+                    total += times * self.alone(piece.encode())
+                    continue
                 n = recent[piece] = self.insert(piece) if n is None else n
+                if len(self.score) > NODES:
+                    self.clear()
             total += times * n
-        if len(self.score) > NODES:
-            self.clear()
         if len(recent) > TERMINALS:
             self.recent, self.older = {}, recent
         return total
@@ -96,7 +120,8 @@ def compiled(pattern: str):
 def count_tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_pretokens, n_distinct, n_tokens, from the whole text.
 
-    Pre-tokens are the matches of pattern. A null or empty text has none and no tokens. Repeated rows
+    Pre-tokens are the matches of pattern; those of more than LONGEST characters are counted outside the trie, so
+    texts of any length leave it bounded. A null or empty text has none and no tokens. Repeated rows
     and null ids are returned as they are; an empty table gives no rows; other columns are ignored. A
     document is counted where it is read: there is no shuffle.
     """

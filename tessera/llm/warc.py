@@ -19,8 +19,10 @@ from tessera.session import materialize, scratch_path
 #: Ends a record's header, and again its block.
 MARK = "\r\n\r\n"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-#: Records of an archive file. At some KB a page this is a file of some ten MB, read by one task.
+#: Records of an archive file, and bytes of one: a file is read by one task, and none reaches the 2 GB that Spark's
+#: binary source refuses. Pages of up to FILE_BYTES / RECORDS_PER_FILE bytes are written by number alone.
 RECORDS_PER_FILE = 4096
+FILE_BYTES = 256 << 20
 #: What a salvage reader looks for after damage: a version line or a gzip member.
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 GZIP_MAGIC = b"\x1f\x8b\x08"
@@ -61,11 +63,11 @@ def _mark_revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
     return joined.select("*", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers"))
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, compression: str = "none") -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, compression: str = "none", file_bytes: int = FILE_BYTES) -> None:
     """Write one WARC record per row below path: a response with the payload, or a revisit.
 
-    Records are text of known length, so Spark's own text sink writes them: `records_per_file`
-    records a file, committed task by task on any store, each ended by the two line breaks that the
+    Records are text of known length, so Spark's own text sink writes them: up to `records_per_file`
+    records or about file_bytes bytes a file (a larger record has one of its own), committed task by task on any store, each ended by the two line breaks that the
     format asks for. A null payload is empty, a null URL has no WARC-Target-URI, a null id is `null`.
     With compression gzip every record is a member. Line breaks within a URL become spaces. An empty table writes no record. Only the three named
     columns are read.
@@ -88,11 +90,23 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     )
-    records = rows.select(F.concat(lines, F.lit(MARK), body).alias("value"))
-    if compression == "gzip":
-        _write_members(records, path, records_per_file)
-        return
-    records.write.option("lineSep", MARK).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
+    records = rows.select(F.concat(lines, F.lit(MARK), body).alias("value"), "bytes")
+    small = file_bytes // records_per_file
+    most = pages.agg(F.max(F.octet_length(payload_col))).first()[0] or 0
+    parts = [(records.where(F.col("bytes") <= small), records_per_file)] if most > small else [(records, records_per_file)]
+    # Larger pages by powers of 16 of their size: at most eight writes more, and only those that have rows.
+    low = small
+    while low < most:
+        high = 16 * low
+        part = (F.col("bytes") > low) & (F.col("bytes") <= high)
+        if most <= high or not pages.where((F.octet_length(payload_col) > low) & (F.octet_length(payload_col) <= high)).isEmpty():
+            parts.append((records.where(part), max(1, file_bytes // high)))
+        low = high
+    for part, number in parts:
+        if compression == "gzip":
+            _write_members(part.select("value"), path, number)
+        else:
+            part.select("value").write.mode("append").option("lineSep", MARK).option("maxRecordsPerFile", number).option("compression", compression).text(path)
 
 
 def _write_members(records: DataFrame, path: str, records_per_file: int) -> None:
@@ -111,7 +125,7 @@ def _write_members(records: DataFrame, path: str, records_per_file: int) -> None
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     members = records.mapInArrow(work, "value binary").select(F.col("value").cast("string"))
-    members.write.option("lineSep", "\x00").option("maxRecordsPerFile", records_per_file).text(path)
+    members.write.mode("append").option("lineSep", "\x00").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def _head(data: bytes, at: int) -> tuple[dict[str, str], int] | None:

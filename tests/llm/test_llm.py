@@ -4,6 +4,7 @@ repeated rows, empty tables, extra columns with clashing names."""
 import base64
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -193,6 +194,24 @@ def words_in(text):
     return bpe.regex.findall(P.PATTERN, text)
 
 
+def test_long_pretokens_leave_the_trie_bounded(monkeypatch):
+    trie, r = token_counts.PieceTrie(P.path("byte_bpe_50k.tiktoken")), random.Random(8)
+    words = ["".join(r.choice("abcdeé ") for _ in range(r.randrange(1, 90))) for _ in range(60)] + ["ab" * 700, "the" * 500]
+    assert [trie.alone(w.encode()) for w in words] == [trie.insert(w) for w in words]
+    want = trie.count_all(collections.Counter(words))
+    fresh = token_counts.PieceTrie(P.path("byte_bpe_50k.tiktoken"))
+    monkeypatch.setattr(token_counts, "LONGEST", 20)
+    monkeypatch.setattr(token_counts, "NODES", 50)
+    assert fresh.count_all(collections.Counter(words)) == want and len(fresh.score) < 200
+
+
+def test_only_short_pretokens_are_remembered():
+    of = bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    text = "word " + "x" * 5000 + " " + "y" * 5000 + " word"
+    assert of.decode(of(text)).decode() == text and of(text) == of(text)
+    assert max(map(len, of.recent)) <= bpe.KEPT
+
+
 # 3 ----------------------------------------------------------------------------------------------------
 
 
@@ -252,6 +271,19 @@ def test_warc_salvage_of_gzip_members(spark, tmp_path):
         assert sum(r["problem"] is None for r in got) >= records and sum(r["problem"] is not None for r in got) == 1
 
 
+def test_archive_files_are_bounded(spark, tmp_path):
+    rows = [(i, "u", "x" * n + str(i)) for i, n in enumerate([10] * 60 + [3000] * 30 + [40_000] * 12 + [300_000] * 3)] + [(999, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    for compression in ("none", "gzip"):
+        warc.write_archives(pages, f"{tmp_path}/{compression}", records_per_file=16, file_bytes=64_000, compression=compression)
+        files = list((tmp_path / compression).glob("part-*"))
+        assert len(files) > 10 and max(f.stat().st_size for f in files) < 310_000
+        assert all(f.stat().st_size < 90_000 for f in files if f.read_bytes().count(b"WARC/1.1") > 1)
+        got = warc.read_archives(spark, f"{tmp_path}/{compression}").collect()
+        assert not any(r["problem"] for r in got)
+        assert sorted((r["record_id"], bytes(r["payload"]).decode()) for r in got) == sorted((f"<urn:page:{i}>", h or "") for i, _, h in rows)
+
+
 # 4 ----------------------------------------------------------------------------------------------------
 
 
@@ -459,6 +491,26 @@ def test_sharding(spark):
     assert shard_tree.shard_documents(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def plain_shard(key, nodes):
+    """The weighted draws of a key, recomputed level by level."""
+    seed = xxhash.xxh64_intdigest(b"" if key is None else int(key).to_bytes(8, "little", signed=True), 42) if key is not None else 42
+
+    def draw(n):
+        return -math.log(((xxhash.xxh64_intdigest(n.name.encode(), seed) >> 12) + 1) / 2**52) / n.weight
+
+    while True:
+        best = min(nodes, key=draw)
+        if best.shard is not None:
+            return best.shard
+        nodes = best.children
+
+
+def test_shards_equal_plain_draws(spark):
+    rows = [(i * 7919 - 300, "x") for i in range(400)] + [(None, "y"), (5, "long " * 50_000), (5, "x")]
+    got = {(r["doc_id"], r["shard"], r["grown_shard"]) for r in shard_tree.shard_documents(docs_of(spark, rows)).collect()}
+    assert got == {(i, plain_shard(i, shard_tree.tree_for(24)), plain_shard(i, shard_tree.tree_for(25))) for i, _ in rows}
+
+
 def test_movement_is_confined(spark):
     tree = shard_tree.tree_for(24)
     heavier = shard_tree.Node(tree[1].name, tree[1].weight * 2, tree[1].children)
@@ -479,8 +531,11 @@ def test_packing_covers_every_id(spark):
     pieces = collections.defaultdict(list)
     for r in got:
         pieces[r["doc_id"]].append(r)
+    # A repeated row: every piece twice.
+    twice = collections.Counter((r["start"], r["length"], r["ids_crc32"]) for r in pieces[5])
+    assert sum(n * k[1] for k, n in twice.items()) == 2 * (len(tok.encode("one two three", add_special_tokens=False).ids) + 1)
     for i, text in rows:
-        if i == 5:  # a repeated row
+        if i == 5:
             continue
         ids = [*tok.encode(text or "", add_special_tokens=False).ids, 1]
         at = 0
@@ -501,6 +556,45 @@ def test_packing_covers_every_id(spark):
     assert packing.pack_documents(docs_of(spark, rows).limit(0), *files, P.PATTERN).count() == 0
 
 
+def test_windows_take_the_best_neighbours():
+    """A packer against a plain one: each seed, the best unused neighbours that fit, and the best of the rest cut."""
+    rng = np.random.default_rng(3)
+    rests = [rng.integers(0, 60, int(n)) for n in rng.integers(40, 900, 60)]
+    df = np.bincount(np.concatenate([np.unique(r) for r in rests]), minlength=packing.VOCABULARY)
+    idf, mean = np.log(1 + (60 - df + 0.5) / (df + 0.5)), float(np.mean([len(r) for r in rests]))
+    packer = packing.Packer(idf, mean, 0)
+    for i, r in enumerate(rests):
+        packer.add(i, r)
+    packer.finish()
+    got = collections.defaultdict(list)
+    for doc, start, length, _, _, sequence, _ in packer.out:
+        got[sequence].append((doc, start, length))
+
+    def score(query, r):
+        tf = np.bincount(r, minlength=packing.VOCABULARY)
+        return sum(idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(r) / mean)) for t in np.unique(query))
+
+    table = [[score(q, r) for r in rests] for q in rests]
+    left, windows, now, room, seed = {i: len(r) for i, r in enumerate(rests)}, [], [], 2048, None
+    place = lambda i, n: (now.append((i, len(rests[i]) - left[i], n)), left.update({i: left[i] - n}))
+    while any(left.values()):
+        if not now:
+            seed = min(i for i in left if left[i])
+            room -= left[seed]
+            place(seed, left[seed])
+        order = sorted((i for i in left if left[i]), key=lambda i: (-round(table[seed][i], 9), i))
+        whole = next((i for i in order if left[i] <= room), None)
+        pick = order[0] if whole is None and order else whole
+        if pick is not None:
+            n = min(left[pick], room)
+            room -= n
+            place(pick, n)
+        if not room:
+            windows.append(now)
+            now, room = [], 2048
+    assert [got[k] for k in range(len(windows))] == windows
+
+
 def test_bm25_equals_formula():
     rng = np.random.default_rng(1)
     rests = [rng.integers(0, 40, n) for n in (30, 50, 20, 70)]
@@ -587,6 +681,49 @@ def test_windows_score_like_one(monkeypatch):
     assert model.score(rows) == pytest.approx(whole, rel=1e-5)
 
 
+def plain_score(model, rows):
+    """Embedding sums, every filter at every place, the greatest response, one output: written out."""
+    x = [model.table[r].sum(axis=0) for r in rows]
+    x += [np.zeros(toxicity.DIM, np.float32)] * (max(toxicity.WIDTHS) - len(x))
+    total = float(model.out_bias)
+    for j, kernel in enumerate(model.kernels):
+        w = kernel.shape[1]
+        for f in range(toxicity.FILTERS):
+            best = max(sum(float(x[p + k] @ kernel[:, k, f]) for k in range(w)) for p in range(len(x) - w + 1))
+            total += max(0.0, best + float(model.bias[j * toxicity.FILTERS + f])) * float(model.out[j * toxicity.FILTERS + f])
+    return 1 / (1 + math.exp(-total))
+
+
+def test_scores_equal_a_plain_convolution():
+    model = toxicity.TextCNN.fresh()
+    for text in ("", "one", "one two", prose(1, 60), "a" * 5000):
+        rows = toxicity.word_rows(text)
+        assert model.score(rows) == pytest.approx(plain_score(model, rows), abs=1e-5)
+
+
+def test_fit_lowers_the_loss():
+    rows = toxic_rows(120)
+    texts, y = [toxicity.word_rows(r[1]) for r in rows], np.array([r[3] for r in rows], np.float32)
+    model = toxicity.TextCNN.fresh()
+    loss = lambda: -np.mean([math.log(abs(1 - t - model.score(x)) + 1e-9) for x, t in zip(texts, y, strict=True)])
+    before = loss()
+    model.fit(texts, y)
+    assert loss() < before / 3
+
+
+def test_thresholds_and_scores_do_not_change_with_the_sample(spark, monkeypatch):
+    """A balanced sample of an unbalanced table: the mean score stays near the share of label 1."""
+    rows = [r for r in toxic_rows(1500) if not r[3] or r[0] % 5 == 0]
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows] + [(rows[0][0], "another text of the same id"), (99_999, "x " * 60_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows] + [(99_999, 1)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 60)
+    model = toxicity.calibrate(toxicity.fit_classifier(docs, labels), docs, labels)
+    assert set(model.thresholds) == {None} and 0 < model.thresholds[None] < 1
+    scores = [r["score"] for r in toxicity.score_documents(docs, model).collect()]
+    assert len(scores) == len(rows) + 2 and abs(np.mean(scores) - np.mean([r[3] for r in rows])) < 0.15
+    assert toxicity.best_cut({900: (0, 5), 100: (9, 0), 400: (1, 4)}) == pytest.approx(0.25)
+
+
 # Pipeline ---------------------------------------------------------------------------------------------
 
 
