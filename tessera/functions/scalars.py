@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import quantiles
+
 
 def bin_column(df: DataFrame, col: str, n_bins: int = 5, out: str = "bin") -> DataFrame:
     """Adds 1 + the number of interior quantiles (linear interpolation) at or below the value; null for null."""
     if n_bins < 2:
         return df.withColumn(out, F.when(F.col(col).isNotNull(), F.lit(1)))
-    cuts = df.agg(F.expr(f"percentile(`{col}`, array({', '.join(repr(i / n_bins) for i in range(1, n_bins))}))").alias("__cuts"))
-    return df.crossJoin(F.broadcast(cuts)).withColumn(out, F.when(F.col(col).isNotNull(), F.size(F.filter("__cuts", lambda q: q <= F.col(col))) + 1)).drop("__cuts")
+    # One row of n_bins - 1 numbers.
+    cuts = quantiles(df, col, [i / n_bins for i in range(1, n_bins)], out="__cuts")
+    return df.join(F.broadcast(cuts), how="left").withColumn(out, F.when(F.col(col).isNotNull(), F.size(F.filter("__cuts", lambda q: q <= F.col(col))) + 1)).drop("__cuts")
 
 
 def round_to_significant(x: Column, digits: int) -> Column:

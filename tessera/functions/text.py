@@ -12,6 +12,7 @@ from tessera.operators.ranking import running_sum
 STOP_WORDS = ("a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being", "between", "both", "but", "by", "can", "did", "do", "does", "during", "each", "for", "from", "had", "has", "have", "he", "her", "here", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "just", "me", "more", "most", "my", "no", "nor", "not", "now", "of", "off", "on", "once", "only", "or", "other", "our", "out", "over", "own", "same", "she", "should", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "you", "your")
 # Token patterns of molecule strings.
 SMILES_TOKEN = r"\[|]|Cl|Br|Si|Se|Na|Ca|Li|Mg|Zn|Fe|Cu|Mn|Hg|Sn|As|Bi|Cd|se|Cr|Sb|[A-Z]|[a-z]|[=#/\\().+\-:]|\d"
+DEEPSMILES_TOKEN = SMILES_TOKEN + r"|\)+|\(+"
 SELFIES_TOKEN = r"\[.*?]"
 PAD, UNKNOWN = "<pad>", "<unk>"
 #: What a word may consist of.

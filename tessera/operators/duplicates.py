@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import quantiles
 from tessera.session import materialize
 
 
@@ -44,21 +51,71 @@ def check_unit_error(df: DataFrame, key: str, value: str, tolerance: float = 0.0
 MAD_SCALE = 0.6745
 
 
+#: Keys of up to this many values are trimmed each in a task's memory; larger ones by rounds over the whole table.
+WHOLE = 1 << 20
+
+
+def _settle(values: np.ndarray, range_threshold: float, z_threshold: float, how: str) -> float | None:
+    """What the ordered values of a key come to after trimming (see _trimmed)."""
+    middle = lambda x: 0.5 * x[(len(x) - 1) // 2] + 0.5 * x[len(x) // 2]
+    while True:
+        if values[-1] - values[0] <= range_threshold:
+            return float({"mean": np.mean, "median": middle, "min": np.min, "max": np.max}[how](values))
+        away = np.abs(values - middle(values))
+        mad = middle(np.sort(away))
+        kept = values[away * MAD_SCALE <= z_threshold * mad] if mad else values
+        if len(kept) == len(values):
+            return None
+        values = kept
+
+
 def _trimmed(values: DataFrame, range_threshold: float, z_threshold: float, how: str) -> DataFrame:
     """(k, r): the value of each key after trimming, null where it cannot be resolved.
 
     Per round a key is settled if its values span at most range_threshold, by their mean, median, least
     or greatest; else values whose |0.6745 (x - median) / MAD| exceeds z_threshold go. A key that loses
-    none is settled as null, as is one whose MAD is 0. All keys advance together, one table a round.
+    none is settled as null, as is one whose MAD is 0. Keys of up to WHOLE values, which is all of most
+    tables, take one shuffle; for larger ones each round is a pass over the table.
     """
-    settle = {"mean": F.avg("v"), "median": F.expr("percentile(v, 0.5)"), "min": F.min("v"), "max": F.max("v")}[how]
+    large, _ = materialize(values.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE).select("k"), "mad-large")
+    some = not large.isEmpty()
+    small = values.join(F.broadcast(large), "k", "left_anti") if some else values
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            keys, numbers = batch.column(0), batch.column(1).to_numpy()
+            starts = [0, *(np.flatnonzero(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist()] if len(keys) else []
+            out = []
+            for start, stop in zip(starts, [*starts[1:], len(keys)], strict=True):
+                now = keys[start].as_py()
+                if held and now != key:
+                    out.append((key, _settle(np.concatenate(held), range_threshold, z_threshold, how)))
+                    held = []
+                key = now
+                held.append(numbers[start:stop])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], keys.type), pa.array([r[1] for r in out], pa.float64())], ["k", "r"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([key], keys.type), pa.array([_settle(np.concatenate(held), range_threshold, z_threshold, how)], pa.float64())], ["k", "r"])
+
+    kind = dict(values.dtypes)["k"]
+    settled = small.select("k", "v").repartition("k").sortWithinPartitions("k", "v").mapInArrow(work, f"k {kind}, r double")
+    if not some:
+        return settled
+    return settled.union(_trimmed_by_rounds(values.join(F.broadcast(large), "k", "left_semi"), range_threshold, z_threshold, how))
+
+
+def _trimmed_by_rounds(values: DataFrame, range_threshold: float, z_threshold: float, how: str) -> DataFrame:
+    """As _trimmed, for keys of any size: medians by ranks, all keys advance together, tables of a round written."""
+    settle = {"mean": F.avg("v"), "median": F.lit(None).cast("double"), "min": F.min("v"), "max": F.max("v")}[how]
     rows, done = values, []
     while True:
-        stats, _ = materialize(rows.groupBy("k").agg((F.max("v") - F.min("v")).alias("span"), F.expr("percentile(v, 0.5)").alias("mid"), settle.alias("r"), F.count("*").alias("n")), "mad-stats")
-        done.append(stats.where(F.col("span") <= range_threshold).select("k", "r"))
-        wide = stats.where(F.col("span") > range_threshold).select("k", "mid", "n")
-        away = rows.join(wide, "k").select("k", "v", "n", F.abs(F.col("v") - F.col("mid")).alias("d"))
-        mads = away.groupBy("k").agg(F.expr("percentile(d, 0.5)").alias("mad"))
+        wide = rows.groupBy("k").agg((F.max("v") - F.min("v")).alias("span"), settle.alias("r"), F.count("*").alias("n"))
+        middle = quantiles(rows, "v", [0.5], ("k",)).select("k", F.col("q")[0].alias("mid"))
+        stats, _ = materialize(wide.join(middle, "k"), "mad-stats")
+        done.append(stats.where(F.col("span") <= range_threshold).select("k", F.col("mid").alias("r") if how == "median" else "r"))
+        away, _ = materialize(rows.join(stats.where(F.col("span") > range_threshold).select("k", "mid", "n"), "k").select("k", "v", "n", F.abs(F.col("v") - F.col("mid")).alias("d")), "mad-away")
+        mads = quantiles(away, "d", [0.5], ("k",)).select("k", F.col("q")[0].alias("mad"))
         # Of every key some values are kept, so an empty table means that all keys are settled.
         kept, _ = materialize(away.join(mads, "k").where((F.col("mad") == 0) | (F.col("d") * MAD_SCALE <= z_threshold * F.col("mad"))).select("k", "v", "n"), "mad-kept")
         if kept.isEmpty():
@@ -66,10 +123,7 @@ def _trimmed(values: DataFrame, range_threshold: float, z_threshold: float, how:
         left = kept.groupBy("k").agg(F.count("*").alias("m"), F.max("n").alias("n"))
         done.append(left.where("m = n").select("k", F.lit(None).cast("double").alias("r")))
         rows = kept.join(left.where("m < n").select("k"), "k", "left_semi").select("k", "v")
-    out = done[0]
-    for part in done[1:]:
-        out = out.union(part)
-    return out
+    return reduce(DataFrame.union, done)
 
 
 def mad_duplicates(df: DataFrame, key: str = "dd_key", value: str = "pIC50", range_threshold: float = 1.0, z_threshold: float = 3.5) -> DataFrame:
@@ -120,7 +174,9 @@ def mad_censored_duplicates(df: DataFrame, key: str = "dd_key", value: str = "p_
 
 def trimmed_group_mean(df: DataFrame, key: str, value: str, width: float = 0.7) -> DataFrame:
     """(key, value): per key the mean of the values within median +- width * sample deviation."""
-    stats = df.groupBy(F.col(key).alias("k")).agg(F.expr(f"percentile(`{value}`, 0.5)").alias("mid"), F.stddev_samp(value).alias("dev"))
+    rows = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    middle = quantiles(rows, "v", [0.5], ("k",)).select(F.col("k").alias("m"), F.col("q")[0].alias("mid"))
+    stats = rows.groupBy("k").agg(F.stddev_samp("v").alias("dev")).join(middle, F.col("k").eqNullSafe(F.col("m"))).drop("m")
     stats, _ = materialize(stats, "trim-stats")
     near = df.join(stats, F.col(key) == F.col("k")).where(F.abs(F.col(value) - F.col("mid")) <= F.coalesce("dev", F.lit(0.0)) * width)
     return near.groupBy(key).agg(F.avg(value).alias(value))

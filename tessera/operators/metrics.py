@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import running_sum
+from tessera.operators.ranking import quantiles, running_sum
 
 CLASSIFICATION = ("TP", "FP", "FN", "TN", "Accuracy", "Recall", "Specificity", "Precision", "Balanced Accuracy", "GeomRS", "HarmRS", "F1 Score", "ROC AUC", "MCC", "PRC AUC", "Brier", "ECE")
 
@@ -95,7 +95,10 @@ def classification_metrics(df: DataFrame, y_true: str, y_score: str, weight: str
 
 def average_metrics(metrics: DataFrame, keys: tuple[str, ...] = ("Set", "Metric", "Group"), digits: int = 5) -> DataFrame:
     """Mean, Median and sample StdDev of Value by the keys, in their order."""
-    return metrics.groupBy(*keys).agg(F.bround(F.avg("Value"), digits).alias("Mean"), F.bround(F.expr("percentile(Value, 0.5)"), digits).alias("Median"), F.bround(F.stddev_samp("Value"), digits).alias("StdDev")).orderBy(*keys)
+    middle = quantiles(metrics, "Value", [0.5], keys, "__q").withColumnsRenamed({k: f"__{k}" for k in keys})
+    around = metrics.groupBy(*keys).agg(F.bround(F.avg("Value"), digits).alias("Mean"), F.bround(F.stddev_samp("Value"), digits).alias("StdDev"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return around.join(middle, same, "left").select(*keys, "Mean", F.bround(F.col("__q")[0], digits).alias("Median"), "StdDev").orderBy(*keys)
 
 
 def average_scores(scores: DataFrame, digits: int = 5) -> DataFrame:
@@ -134,3 +137,16 @@ def normalize_loss(losses: DataFrame, digits: int = 5) -> DataFrame:
     """(scope, name, loss): loss by weight; labels without weight have 0, other scopes null."""
     share = F.bround(F.try_divide("loss", "weight"), digits)
     return losses.select("scope", "name", F.when(F.col("scope") == "label", F.coalesce(share, F.lit(0.0))).otherwise(share).alias("loss"))
+
+
+def task_metrics(df: DataFrame, y_true: str, y_pred: str, weights: str | None = None, score=None) -> DataFrame:
+    """Metrics of a multi-task model over arrays of targets, predictions and weights: score's columns and Task.
+
+    Task is Total for all cells and Task_0, Task_1, ... for each position; cells whose target is null or NaN do
+    not count. score(frame, y_true, y_pred, weight column or None) is regression_metrics unless given.
+    """
+    score = score or regression_metrics
+    arrays = [F.col(c).cast("array<double>").alias(n) for c, n in ((y_true, "y_true"), (y_pred, "y_pred"), (weights, "y_wgts")) if c]
+    cells = df.select(F.posexplode(F.arrays_zip(*arrays)).alias("task", "c")).select("task", "c.*").where("y_true IS NOT NULL AND NOT isnan(y_true)")
+    parts = score(cells.withColumn("__task", F.concat(F.lit("Task_"), F.col("task"))), "y_true", "y_pred", "y_wgts" if weights else None, "__task")
+    return parts.withColumn("Task", F.when(F.col("Group") == "Overall", "Total").otherwise(F.col("Group"))).drop("Group")

@@ -84,19 +84,24 @@ def distance_matrix(queries: DataFrame, refs: DataFrame, metric: str = "jaccard"
 
 
 def near_pairs(df: DataFrame, threshold: float, metric: str = "jaccard", id_col: str = "id", features_col: str = "features") -> DataFrame:
-    """(src, dst, distance) with src < dst of the pairs at most `threshold` apart."""
+    """(src, dst, distance) with src < dst of the pairs at most `threshold` apart. Two blocks meet once."""
     rows = _rows(df, id_col, features_col)
     fitted = _fitted(rows, metric)
+    n = max(1, -(-rows.count() // BLOCK))
+    dealt = rows.withColumn("own", _part(n))
+    left = dealt.select(F.col("own").alias("qb"), F.explode(F.sequence("own", F.lit(n - 1))).alias("rb"), "id", "vec")
+    right = dealt.select(F.explode(F.sequence(F.lit(0), "own")).alias("qb"), F.col("own").alias("rb"), F.col("id").alias("id"), F.col("vec").alias("vec"))
 
-    def work(a: pa.Table, b: pa.Table) -> pa.Table:
+    def work(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         if not (a.num_rows and b.num_rows):
             return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
         x, y = a.column("id").to_numpy(), b.column("id").to_numpy()
         d = pairwise(metric, grid(a), grid(b), fitted)
-        i, j = np.nonzero((d <= threshold) & (x[:, None] < y[None, :]))
-        return pa.table({"src": x[i], "dst": y[j], "distance": d[i, j]})
+        near = d <= threshold
+        i, j = np.nonzero(near & (x[:, None] < y[None, :]) if key[0].as_py() == key[1].as_py() else near & (x[:, None] != y[None, :]))
+        return pa.table({"src": np.minimum(x[i], y[j]), "dst": np.maximum(x[i], y[j]), "distance": d[i, j]})
 
-    return by_blocks(rows, rows, work, "src long, dst long, distance double")
+    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(work, "src long, dst long, distance double")
 
 
 STATS = "query_id long, scope string, grp string, n long, total double, least double, most double, near array<double>, far array<double>"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,3 +29,25 @@ def running_sum(df: DataFrame, order: list[str | Column], value: str | Column, o
         same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
     summed = dealt.withColumn("__within", F.sum("__value").over(within))
     return summed.join(starts, same).withColumn(out, F.col("__before") + F.col("__within")).drop("__range", "__at", "__before", "__within", "__value", *[f"__by_{c}" for c in by])
+
+
+def quantiles(df: DataFrame, value: str, probabilities: list[float], by: tuple[str, ...] = (), out: str = "q") -> DataFrame:
+    """(by, out): the quantiles of value by linear interpolation between ranks, as an array; a row for each group.
+
+    Values are counted first, and a running sum of the counts tells which value has a rank, so no group's
+    values are ever together in one task. Nulls and NaN take no part; without other values there is no row.
+    """
+    known = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    counts = running_sum(known.groupBy(*by, "__v").agg(F.count("*").alias("__c")), ["__v"], "__c", "__upto", by)
+    counts, _ = materialize(counts, "quantile-ranks")
+    totals = counts.groupBy(*[F.col(c).alias(f"__g_{c}") for c in by]).agg(F.max("__upto").alias("__n"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in by]) if by else F.lit(True)
+    ranked = counts.join(totals if by else F.broadcast(totals), same)
+    ends = []
+    for i, p in enumerate(probabilities):
+        place = F.lit(p) * (F.col("__n") - 1)
+        for name, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            ends.append(F.max(F.when((F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank), F.col("__v"))).alias(f"__{name}{i}"))
+    found = ranked.groupBy(*by).agg(F.max("__n").alias("__n"), *ends).where("__n IS NOT NULL")
+    mixed = [F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (F.lit(p) * (F.col("__n") - 1) - F.floor(F.lit(p) * (F.col("__n") - 1))) for i, p in enumerate(probabilities)]
+    return found.select(*by, F.array(*mixed).alias(out))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import running_sum
+from tessera.operators.ranking import quantiles, running_sum
 
 
 def rank_biserial(u: Column, n1: Column, n2: Column) -> Column:
@@ -37,7 +37,8 @@ def mann_whitney(df: DataFrame, value: str, label: str, label_1: str, label_2: s
     below = F.col("upto") - F.col("b")
     ranked = running_sum(counts, ["v"], "b", "upto")
     sums = ranked.select("a", "b", t.alias("t"), (F.col("a") * (below + F.col("b") / 2)).alias("u")).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum("u").alias("u"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
-    side = lambda one, n: rows.where(f"one = {one}").agg(F.avg("v").alias(f"mean_{n}"), F.expr("percentile(v, 0.5)").alias(f"median_{n}"))
+    half = lambda one, n: quantiles(rows.where(f"one = {one}"), "v", [0.5]).agg(F.max(F.col("q")[0]).alias(f"median_{n}"))
+    side = lambda one, n: rows.where(f"one = {one}").agg(F.avg("v").alias(f"mean_{n}")).crossJoin(half(one, n))  # noqa: E731 (one row each)
     wide = sums.crossJoin(side(1, 1)).crossJoin(side(0, 2)).select(F.coalesce("n1", F.lit(0)).alias("n1"), F.coalesce("n2", F.lit(0)).alias("n2"), "u", "ties", "mean_1", "mean_2", "median_1", "median_2")
     enough = (F.col("n1") >= min_n) & (F.col("n2") >= min_n)
     n = (F.col("n1") + F.col("n2")).cast("double")

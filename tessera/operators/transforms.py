@@ -8,6 +8,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import quantiles
+
 #: Largest magnitude of a usable column.
 EXTREME = 1e12
 #: The range of the 5th to 95th percentile of a unit normal distribution.
@@ -60,8 +62,8 @@ def correlations(df: DataFrame, col: str, threshold: float) -> DataFrame:
     def sums(batches):
         total = None
         for batch in batches:
-            x = np.array(batch.column(0).to_pylist(), np.float64)
-            if len(x):
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
                 total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
@@ -118,7 +120,7 @@ def fit_selector(df: DataFrame, col: str, threshold: float = 1e-3) -> list[int]:
 
 def fit_scaler(df: DataFrame, col: str) -> tuple[list[float], list[float]]:
     """Medians, and the range of the 5th to 95th percentile over that of a unit normal; ranges of 0 count as 1."""
-    rows = _long(df, col).groupBy("i").agg(F.expr("percentile(x, array(0.05, 0.5, 0.95))").alias("q")).orderBy("i").collect()
+    rows = quantiles(_long(df, col), "x", [0.05, 0.5, 0.95], ("i",)).orderBy("i").collect()
     return [r["q"][1] for r in rows], [(r["q"][2] - r["q"][0]) / UNIT_RANGE or 1.0 for r in rows]
 
 

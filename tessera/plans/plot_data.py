@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import statistics
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.neighbours import k_neighbors_distance
@@ -69,16 +69,43 @@ def residuals(df: DataFrame, y_true: str, y_pred: str, fold_col: str | None = No
     return out if fold_col is None else out.withColumn("Set", F.when(F.col(fold_col) == test_fold, "Test").otherwise("Train"))
 
 
+# Coefficients of Acklam's rational approximation of the inverse normal distribution (relative error
+# 1.15e-9), from the highest power down, and where its tails begin.
+CENTRE_TOP = (-3.969683028665376e1, 2.209460984245205e2, -2.759285104469687e2, 1.383577518672690e2, -3.066479806614716e1, 2.506628277459239)
+CENTRE_BOTTOM = (-5.447609879822406e1, 1.615858368580409e2, -1.556989798598866e2, 6.680131188771972e1, -1.328068155288572e1, 1.0)
+TAIL_TOP = (-7.784894002430293e-3, -3.223964580411365e-1, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+TAIL_BOTTOM = (7.784695709041462e-3, 3.224671290700398e-1, 2.445134137142996, 3.754408661907416, 1.0)
+TAIL = 0.02425
+
+
+def normal_quantile(p: Column) -> Column:
+    """The inverse of the normal distribution, as an expression."""
+    horner = lambda coefficients, x: reduce(lambda a, c: a * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
+    q = p - 0.5
+    centre = horner(CENTRE_TOP, q * q) * q / horner(CENTRE_BOTTOM, q * q)
+    tail = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    out = horner(TAIL_TOP, tail) / horner(TAIL_BOTTOM, tail)
+    return F.when(p < TAIL, out).when(p > 1 - TAIL, -out).otherwise(centre)
+
+
 def qq_points(df: DataFrame, value: str, group: str) -> DataFrame:
     """(group, theoretical, observed): ordered values against normal quantiles at Filliben's positions."""
-    normal = statistics.NormalDist()
-    inverse = F.udf(lambda p: normal.inv_cdf(p), "double")
     rows = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("observed"))
     sizes = rows.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("n"))
     ranked = running_sum(rows, ["observed"], F.lit(1), "i", (group,)).join(sizes, F.col(group).eqNullSafe(F.col("__g")))
     last = F.pow(F.lit(0.5), 1 / F.col("n"))
     p = F.when(F.col("i") == F.col("n"), last).when(F.col("i") == 1, 1 - last).otherwise((F.col("i") - 0.3175) / (F.col("n") + 0.365))
-    return ranked.select(group, inverse(p).alias("theoretical"), "observed")
+    return ranked.select(group, normal_quantile(p).alias("theoretical"), "observed")
+
+
+def residual_vs_distance(train: DataFrame, test: DataFrame, y_true: str, y_pred: str, metric: str = "jaccard", k: int = 1, id_col: str = "id", features_col: str = "features") -> DataFrame:
+    """(id, residual, distance): each test row's residual beside its mean distance to its k nearest train rows.
+
+    Rows without a vector, or tests where there is no train row, have no distance.
+    """
+    near = k_neighbors_distance(test, train, metric, [k], [], id_col, features_col).select(F.col(id_col).alias("__id"), F.col(f"nearest_{k}").alias("distance"))
+    out = residuals(test, y_true, y_pred).select(id_col, "residual")
+    return out.join(near, F.col(id_col) == F.col("__id"), "left").drop("__id")
 
 
 def line(spark, lo: float, hi: float, slope: float = 1.0, intercept: float = 0.0, points: int = 100) -> DataFrame:

@@ -10,31 +10,10 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars, text
 from tessera.operators import clusters, duplicates, metrics, neighbours, splits, stats, transforms
 from tessera.plans import evaluation, plot_data
-from tessera.session import expose_package, load
+from tessera.registry import REGISTRY, query, rounded
+from tessera.session import load
 from tessera.sources import tables
 
-REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with SQL that gives the same rows."""
-
-    def register(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            expose_package(spark)
-            return f(spark, sf_dir)
-
-        run.__name__ = f.__name__
-        REGISTRY[f.__name__] = (run, sql)
-        return run
-
-    return register
-
-
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
 # Neighbours -------------------------------------------------------------------------------------------
 
 COSINE_PAIRS = """
@@ -214,13 +193,6 @@ def mad_dedupe(spark, d):
     return rounded(duplicates.mad_duplicates(rows, "l_partkey", "v").select("l_orderkey", "l_linenumber", "v"), "v")
 
 
-@query()
-def mad_censored(spark, d):
-    rel = F.when(F.col("event_type") == "view", ">").when(F.col("event_type") == "click", "<").otherwise("=")
-    rows = load(spark, d, "events").select("event_id", "user_id", F.log10(F.greatest("value", F.lit(1e-3))).alias("v"), rel.alias("relation"))
-    return rounded(duplicates.mad_censored_duplicates(rows, "user_id", "v", "relation"), "v")
-
-
 # Statistics and metrics -------------------------------------------------------------------------------
 
 
@@ -325,9 +297,9 @@ def correlated_positions(spark, d):
 # Text -------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: regexp_full_match(w, '[a-z]+') AND NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "], w)))::int AS n_words FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: regexp_full_match(w, '[a-z]+') AND NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "], w)))::int AS n_words FROM documents")
 def stop_words(spark, d):
-    return load(spark, d, "documents").where("lang = 'en'").select("doc_id", F.size(text.tokenize(F.col("text"))).alias("n_words"))
+    return load(spark, d, "documents").select("doc_id", F.size(text.tokenize(F.col("text"))).alias("n_words"))
 
 
 @query("""WITH t AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS token, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS pos FROM part),
@@ -379,11 +351,6 @@ def percent_hist(spark, d):
     return rounded(plot_data.percent_histogram(load(spark, d, "orders"), "o_orderstatus", "o_orderpriority"), "percent")
 
 
-@query()
-def qq_points(spark, d):
-    return rounded(plot_data.qq_points(load(spark, d, "events"), "value", "event_type"), "theoretical")
-
-
 @query("SELECT event_type, metric AS \"Metric\", v AS \"Value\" FROM (SELECT event_type, count(*)::double AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS top FROM events GROUP BY 1) UNPIVOT (v FOR metric IN (n, mean, top))")
 def unpivot_metrics(spark, d):
     wide = load(spark, d, "events").groupBy("event_type").agg(F.count("*").cast("double").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("top"))
@@ -403,6 +370,9 @@ def kfold_regression(spark, d):
     return mean
 
 
+from tessera import surface_queries  # noqa: E402, F401 (registers more)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in REGISTRY.items()}
 

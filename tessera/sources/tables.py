@@ -92,12 +92,20 @@ def preprocess_binding(df: DataFrame, activity: str = "IC50 (nM)", key: str = "L
     return _resolved(keyed, "dd_key", "pIC50", range_threshold, z_threshold)
 
 
-# Column names of an activity export and of the result; words that mark a protein variant.
+# Columns of an activity export that go, new names of those that stay, words that mark a protein variant.
+ACTIVITY_DROPPED = (
+    "Molecule Max Phase", "Molecular Weight", "#RO5 Violations", "AlogP", "Ligand Efficiency BEI", "Ligand Efficiency LE", "Ligand Efficiency LLE",
+    "Ligand Efficiency SEI", "Compound Key", "Source Description", "Document Journal", "Uo Units", "Cell ChEMBL ID", "Properties", "Action Type",
+    "Standard Text Value", "Value", "Potential Duplicate", "Comment", "BAO Format ID", "BAO Label", "Target Organism",
+)
 ACTIVITY_NAMES = {
     "Molecule ChEMBL ID": "ID_Mol", "Molecule Name": "Name", "Smiles": "SMILES", "Standard Relation": "Relation", "Standard Type": "Type",
     "Standard Value": "Value", "Standard Units": "Units", "Assay ChEMBL ID": "ID_Assay", "Target ChEMBL ID": "ID_Target",
     "pChEMBL Value": "pChEMBL_Value", "Assay Description": "Assay_Desc", "Assay Type": "Assay_Type", "Target Name": "Target",
-    "Data Validity Comment": "Validity", "Target Type": "Type_Target", "Document ChEMBL ID": "Document", "Assay Organism": "Assay_Organism",
+    "Document Year": "Year", "Data Validity Comment": "Validity", "Target Type": "Type_Target", "Document ChEMBL ID": "Document",
+    "Source ID": "ID_Source", "Assay Variant Accession": "Assay_Variant_Accession", "Assay Variant Mutation": "Assay_Variant_Mutation",
+    "Assay Tissue ChEMBL ID": "Assay_Tissue_ID", "Assay Tissue Name": "Assay_Tissue_Name", "Assay Subcellular Fraction": "Assay_Subcellular",
+    "Assay Parameters": "Assay_Parameters", "Assay Organism": "Assay_Organism", "Assay Cell Type": "Assay_Cell_Type",
 }
 VARIANT_WORDS = ("mutant", "mutation", "variant")
 
@@ -109,7 +117,9 @@ def preprocess_chembl(df: DataFrame, activity_type: str = "IC50", range_threshol
     row. The key is the molecule string and target; mistaken units are screened, repeats resolved. An
     empty result has the full schema.
     """
-    rows = blank_to_null(df.withColumnsRenamed({old: new for old, new in ACTIVITY_NAMES.items() if old in df.columns and new not in df.columns}))
+    if "Standard Value" in df.columns:
+        df = df.drop(*ACTIVITY_DROPPED)
+    rows = blank_to_null(df.withColumnsRenamed({old: new for old, new in ACTIVITY_NAMES.items() if old in df.columns}))
     rows = rows.withColumns({"Relation": F.regexp_replace("Relation", "^'+|'+$", ""), "Value": F.col("Value").try_cast("double"), "pChEMBL_Value": F.col("pChEMBL_Value").try_cast("double"), "Assay_Desc": F.lower(F.trim("Assay_Desc"))})
     kept = rows.where((F.col("Type") == activity_type) & (F.col("Relation") == "=") & F.col("Validity").isNull() & (F.col("Units") == "nM") & (F.col("Type_Target") == "SINGLE PROTEIN") & F.col("pChEMBL_Value").isNotNull() & (F.col("Assay_Organism") == "Homo sapiens"))
     plain = kept.where(~F.coalesce(F.col("Assay_Desc"), F.lit("")).rlike("|".join(VARIANT_WORDS)))

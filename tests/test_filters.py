@@ -24,8 +24,8 @@ def test_no_partner_is_missed(spark, bits):
 def test_scratch_scope_removes_all_but_the_kept(spark):
     kept, old = session.materialize(spark.range(3), "old")
     with session.scratch_scope(spark) as keep:
-        session.materialize(spark.range(5), "gone")
+        session.materialize(spark.range(5), "dropped-table")
         frame, path = session.materialize(spark.range(4), "kept")
         keep.append(path)
     assert frame.count() == 4 and kept.count() == 3
-    assert {p for p in session._written if p in (old, path)} == {old, path} and not any("gone-" in p for p in session._written)
+    assert {p for p in session._written if p in (old, path)} == {old, path} and not any("dropped-table" in p for p in session._written)
