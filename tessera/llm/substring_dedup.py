@@ -246,18 +246,23 @@ def grow(a: list[bytes], b: list[bytes]) -> tuple[int, int]:
     return i, equal
 
 
-def _spread(piece: bytes, offset: int, begin: int, stop: int) -> tuple[list[bytes], list[bytes], list[bytes], list[tuple[int, int]]]:
-    """Words before, in and behind a chain, in lower case, and the byte ranges of all of them in the text. A
-    first or last word that the margin may have cut is left out."""
-    data = np.frombuffer(piece, np.uint8)
-    starts, ends = runs(~_space[data])
-    if offset and len(starts) and starts[0] == 0:
-        starts, ends = starts[1:], ends[1:]
-    if len(starts) and ends[-1] == len(data) and offset + len(data) == stop + MARGIN:
-        starts, ends = starts[:-1], ends[:-1]
-    words = [piece[s:e].lower() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+def _words(piece: bytes, offset: int, begin: int, stop: int) -> tuple[list[bytes], list[bytes], list[bytes]]:
+    """Words before, in and behind a chain, in lower case. A first or last word that the margin may have cut is
+    left out."""
+    lowered = piece.lower()
+    left, right = lowered[: begin - offset].split(), lowered[stop - offset :].split()
+    if offset and left and not piece[:1].isspace():
+        left = left[1:]
+    if right and offset + len(piece) == stop + MARGIN and not piece[-1:].isspace():
+        right = right[:-1]
+    return left, lowered[begin - offset : stop - offset].split(), right
+
+
+def _bytes_of(piece: bytes, offset: int, begin: int, stop: int, before: int, behind: int) -> tuple[int, int]:
+    """The byte range in the text of a chain together with so many words before and behind it."""
+    starts, ends = runs(~_space[np.frombuffer(piece, np.uint8)])
     left, right = np.searchsorted(starts, begin - offset), np.searchsorted(starts, stop - offset)
-    return words[:left], words[left:right], words[right:], list(zip((starts + offset).tolist(), (ends + offset).tolist(), strict=True))
+    return int(starts[left - before]) + offset, int(ends[right + behind - 1]) + offset
 
 
 ALIGNED = ["own", "doc", "source", "word", "words", "begin", "stop", "equal"]
@@ -265,20 +270,21 @@ ALIGNED = ["own", "doc", "source", "word", "words", "begin", "stop", "equal"]
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chains with the texts around their two sides, as parts of passages: those of which enough words align."""
+    asked = ["own", "doc", "source", "pos", "begin", "stop", "src_begin", "src_stop", "at", "src_at", "piece", "src_piece"]
     for batch in batches:
         out = []
-        for r in batch.to_pylist():
-            left, core, right, ranges = _spread(r["piece"], max(0, r["begin"] - MARGIN), r["begin"], r["stop"])
-            src_left, src_core, src_right, _ = _spread(r["src_piece"], max(0, r["src_begin"] - MARGIN), r["src_begin"], r["src_stop"])
-            equal = align(core, src_core, r["at"], r["src_at"])
-            if 2 * equal < IDENTITY * (len(core) + len(src_core)):
-                continue
+        for own, doc, source, pos, begin, stop, src_begin, src_stop, at, src_at, piece, src_piece in zip(*(batch.column(c).to_pylist() for c in asked), strict=True):
+            left, core, right = _words(piece, max(0, begin - MARGIN), begin, stop)
+            src_left, src_core, src_right = _words(src_piece, max(0, src_begin - MARGIN), src_begin, src_stop)
             before, equal_before = grow(left[::-1], src_left[::-1])
             behind, equal_behind = grow(right, src_right)
             words = before + len(core) + behind
-            if words >= MIN_WORDS:
-                begin, stop = ranges[len(left) - before][0], ranges[len(left) + len(core) + behind - 1][1]
-                out.append((r["own"], r["doc"], r["source"], r["pos"] - before, words, begin, stop, equal_before + equal + equal_behind))
+            if words < MIN_WORDS:
+                continue
+            equal = align(core, src_core, at, src_at)
+            if 2 * equal >= IDENTITY * (len(core) + len(src_core)):
+                first, last = _bytes_of(piece, max(0, begin - MARGIN), begin, stop, before, behind)
+                out.append((own, doc, source, pos - before, words, first, last, equal_before + equal + equal_behind))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(ALIGNED))], ALIGNED)
 
 
