@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -246,9 +248,9 @@ def transformer_presets(spark, d):
 
 # Models -----------------------------------------------------------------------------------------------
 
-LINE = "l AS (SELECT l_orderkey, l_linenumber, l_quantity::double AS x, l_extendedprice::double AS y, l_discount::double AS g FROM lineitem)"
+LINE = "l AS (SELECT row_number() OVER () AS n, l_orderkey, l_linenumber, l_quantity::double AS x, l_extendedprice::double AS y, l_discount::double AS g FROM lineitem)"
 SCORES = """c AS (SELECT {keys}, 1 - sum((y - p) ^ 2) / sum((y - m) ^ 2) AS r2, avg(abs(y - p)) AS mae, sqrt(avg((y - p) ^ 2)) AS rmse FROM (SELECT *, avg(y) OVER (PARTITION BY {keys}) AS m FROM {source}) GROUP BY {keys})"""
-METRICS = """SELECT {keys}, 'R2' AS "Metric", round(r2, 3) AS "Value" FROM c UNION ALL SELECT {keys}, 'MAE', round(mae, 3) FROM c UNION ALL SELECT {keys}, 'RMSE', round(rmse, 3) FROM c"""
+METRICS = """SELECT {keys}, 'R2' AS "Metric", round(r2, 3) + 0.0 AS "Value" FROM c UNION ALL SELECT {keys}, 'MAE', round(mae, 3) FROM c UNION ALL SELECT {keys}, 'RMSE', round(rmse, 3) FROM c"""
 
 
 def _lines(spark, d) -> DataFrame:
@@ -266,7 +268,7 @@ def linear_train_test(spark, d):
     return rounded(evaluation.tt_evaluate(_unit(), rows), "Value", digits=3)
 
 
-FITS = f"""WITH {LINE}, t AS (SELECT l.*, k, l_orderkey % 3 = k AS held FROM l, (SELECT unnest([0, 1, 2]) AS k)),
+FITS = f"""WITH {LINE.replace('l AS', 'l AS MATERIALIZED')}, t AS (SELECT l.*, k, l_orderkey % 3 = k AS held FROM l, (SELECT unnest([0, 1, 2]) AS k)),
 f AS (SELECT k, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM t WHERE NOT held GROUP BY k)"""
 
 
@@ -280,13 +282,13 @@ def linear_folds(spark, d):
     return rounded(found.drop("Group"), "Value", digits=3)
 
 
-@query(f"""{FITS}, s AS (SELECT l_orderkey, l_linenumber, any_value(y) AS y, avg(a * x + b) AS p FROM t JOIN f USING (k) GROUP BY 1, 2), o AS (SELECT 'Overall' AS "Group", y, p FROM s), {SCORES.format(keys='"Group"', source="o")} {METRICS.format(keys='"Group"')}""")
+@query(f"""{FITS}, s AS (SELECT n, any_value(y) AS y, avg(a * x + b) AS p FROM t JOIN f USING (k) GROUP BY n), o AS (SELECT 'Overall' AS "Group", y, p FROM s), {SCORES.format(keys='"Group"', source="o")} {METRICS.format(keys='"Group"')}""")
 def linear_ensemble(spark, d):
     ensemble, _, _ = evaluation.kf_evaluate(_unit, _folds(spark, d))
     return rounded(ensemble.score(_lines(spark, d)), "Value", digits=3)
 
 
-@query(f"""{FITS} SELECT l_orderkey, l_linenumber, round(quantile_cont(a * x + b, 0.5), 3) AS y_pred FROM t JOIN f USING (k) GROUP BY 1, 2""")
+@query(f"""{FITS} SELECT any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenumber, round(quantile_cont(a * x + b, 0.5), 3) AS y_pred FROM t JOIN f USING (k) GROUP BY n""")
 def linear_ensemble_hard(spark, d):
     units = [_unit().fit(_folds(spark, d).where(F.col("Fold") != k)) for k in range(3)]
     return rounded(evaluation.Ensemble(units, "hard").predict(_lines(spark, d)).select("l_orderkey", "l_linenumber", "y_pred"), "y_pred", digits=3)
@@ -301,10 +303,10 @@ def parameter_grid(spark, d):
 @query("""WITH t AS (SELECT l_orderkey, unnest([l_discount, l_tax, CASE WHEN l_linenumber > 1 THEN l_quantity / 50 END])::double AS y, unnest([0.05, 0.04, 0.5])::double AS p, unnest([1, l_quantity, 2])::double AS w, unnest([0, 1, 2]) AS t FROM lineitem),
 a AS (SELECT 'Total' AS k, y, p, w FROM t UNION ALL SELECT 'Task_' || t, y, p, w FROM t), k AS (SELECT * FROM a WHERE y IS NOT NULL),
 c AS (SELECT k AS "Task", 1 - sum(w * (y - p) ^ 2) / (sum(w * y * y) - sum(w * y) ^ 2 / sum(w)) AS r2, sum(w * abs(y - p)) / sum(w) AS mae, sqrt(sum(w * (y - p) ^ 2) / sum(w)) AS rmse FROM k GROUP BY k)
-SELECT "Task", 'R2' AS "Metric", round(r2, 4) AS "Value" FROM c UNION ALL SELECT "Task", 'MAE', round(mae, 4) FROM c UNION ALL SELECT "Task", 'RMSE', round(rmse, 4) FROM c""")
+SELECT "Task", 'R2' AS "Metric", round(r2, 4) + 0.0 AS "Value" FROM c UNION ALL SELECT "Task", 'MAE', round(mae, 4) FROM c UNION ALL SELECT "Task", 'RMSE', round(rmse, 4) FROM c""")
 def multi_task_metrics(spark, d):
     rows = load(spark, d, "lineitem").select(F.array("l_discount", "l_tax", F.when(F.col("l_linenumber") > 1, F.col("l_quantity") / 50)).alias("y"), F.array(F.lit(0.05), F.lit(0.04), F.lit(0.5)).alias("p"), F.array(F.lit(1.0), F.col("l_quantity"), F.lit(2.0)).alias("w"))
-    return rounded(metrics.task_metrics(rows, "y", "p", "w"), "Value", digits=4)
+    return rounded(metrics.task_metrics(rows, "y", "p", "w", partial(metrics.regression_metrics, digits=9)), "Value", digits=4)
 
 
 LOSSES = """WITH t AS (SELECT 'l_tax' AS task, l_quantity * (l_tax - 0.04) ^ 2 AS l, l_quantity AS w, l_returnflag AS tag FROM lineitem),
@@ -340,7 +342,7 @@ def figure_line(spark, d):
 
 
 @query("""WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS s, min(value) AS lo, max(value) AS hi FROM events), g AS (SELECT lo + i * ((hi - lo) / 99) AS x, m, s FROM range(100) t(i), s)
-SELECT round(x, 5) AS x, round(exp(-((x - m) / s) ^ 2 / 2) / (s * sqrt(2 * pi())), 8) AS y FROM g""")
+SELECT round(x, 5) AS x, round(exp(-0.5 * ((x - m) / s) ^ 2) / (s * sqrt(2 * pi())), 8) AS y FROM g""")
 def figure_normal(spark, d):
     return plot_data.normal_curve(load(spark, d, "events"), "value").select(F.round("x", 5).alias("x"), F.round("y", 8).alias("y"))
 
