@@ -755,6 +755,29 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, d).count() > 0
 
 
+def test_stages_take_odd_and_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node long, own long, key string"
+    odd = [(i, t, None if k % 2 else "en", "s", 1, 2, 3, "x") for k, (i, t) in enumerate([*EDGE, (11, prose(3, 80)), (12, prose(3, 80)), (13, prose(3, 79) + " other"), (None, prose(3, 80))])]
+    for name, rows, labels in (("odd", odd, [(1, 0), (7, 1), (None, 1), (9, None)]), ("empty", [], [])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            out = f(spark, docs, d)
+            assert k == 4 or out.columns == docs.columns, stage
+            out.write.parquet(f"{d}/{k}")
+            docs = spark.read.parquet(f"{d}/{k}")
+            got = collections.Counter(r["doc_id"] for r in docs.collect())
+            if name == "empty":
+                assert not got
+            elif stage == "exact dedup":
+                # Of the empty texts the larger id stays, of the equal ones the largest, a null id never before another.
+                assert got[1] == 0 and got[2] == got[3] == got[4] == got[5] == got[12] == got[13] == 1 and got[11] == got[None] == 0
+            elif stage == "near dedup":
+                assert got[12] == 1 and got[13] == 0 and got[2] == got[3] == 1
+
+
 def test_every_operator_is_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
