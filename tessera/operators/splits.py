@@ -25,6 +25,10 @@ def validate_frame(df: DataFrame, *columns: str | None) -> None:
         raise KeyError(f"no such columns: {missing}")
 
 
+#: Ranges of the hash in which rows are ranked, a power of two: a task ranks the rows of some of these.
+PARTS = 1024
+
+
 def _order(id_col: str, seed: int) -> list[Column]:
     return [F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)]
 
@@ -32,12 +36,12 @@ def _order(id_col: str, seed: int) -> list[Column]:
 def _ranked(df: DataFrame, id_col: str, seed: int, *by: str) -> DataFrame:
     """Adds __rn, the place of a row in hash order within `by`, without one task for the whole table.
 
-    Rows are dealt into 64 parts by ranges of the hash; a row's place is its place in the part plus the
+    Rows are dealt into PARTS parts by ranges of the hash; a row's place is its place in the part plus the
     rows of the parts before, which are one row a part.
     """
 
     h = F.xxhash64(F.lit(seed), F.col(id_col))
-    dealt = df.withColumn("__part", (F.shiftright(h, 58) + 32).cast("int"))
+    dealt = df.withColumn("__part", F.shiftright(h, 64 - PARTS.bit_length() + 1).cast("int"))
     groups = [F.col(c) for c in by]
     n = dealt.groupBy(*groups, "__part").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,7 +87,8 @@ def minimal_train_test_split(df: DataFrame, fraction: float, tolerance: float =
         held += size * partial
     if held > most:
         raise InfeasibleSplit(f"the smallest clusters reach {held} rows, at most {most} are allowed")
-    at = sizes.where(F.col("__n") == last).select(cluster_col, "__n").orderBy(cluster_col).limit(partial)
+    # Clusters of the last size may be many: they are numbered over ranges.
+    at = running_sum(sizes.where(F.col("__n") == last).select(cluster_col), [cluster_col], F.lit(1), "__k").where(F.col("__k") <= partial)
     test = sizes.where(F.col("__n") < last).select(cluster_col).union(at.select(cluster_col)).withColumn("__t", F.lit(1))
     return df.join(test, cluster_col, "left").withColumn("Set", F.when(F.col("__t") == 1, "Test").otherwise("Train")).drop("__t")
 

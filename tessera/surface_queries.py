@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars, smiles, text, vectors
-from tessera.operators import batches, clusters, duplicates, metrics, neighbours, splits, transforms
+from tessera.operators import batches, clusters, duplicates, metrics, neighbours, splits, stats, transforms
 from tessera.plans import evaluation, plot_data
 from tessera.registry import query, rounded
 from tessera.session import load, scratch_path
@@ -542,6 +542,80 @@ def molecule_checks(spark, d):
     return checked.select("p_partkey", F.col("Filtered").isNotNull().alias("organic"), F.col("Issues").alias("issue"), F.col("CanSMILES").alias("largest"))
 
 
+#: A molecule for each part, with what the filters and flags say: (text, metals, uncommon, all allowed, without stereo marks).
+FLAGGED = (
+    ("F/C=C/F", "", "", True, "FC=CF"),
+    ("C[Zn]C", "Zn", "Zn", True, "C[Zn]C"),
+    ("N[C@@H](C)C(=O)O", "", "", True, "N[CH](C)C(=O)O"),
+    ("[Fe].[Cu].CC[K]", "Cu | Fe", "Cu | Fe | K", True, "[Fe].[Cu].CC[K]"),
+    ("C[Hg]C", "", "Hg", False, "C[Hg]C"),
+    ("[Se]1C=CC=C1", "", "", True, "[Se]1C=CC=C1"),
+)
+
+
+@query("SELECT p_partkey, " + ", ".join("[" + ", ".join(f"'{m[i]}'" for m in FLAGGED) + f"][1 + p_partkey % 6] AS {name}" for i, name in ((1, "metals"), (2, "uncommon"), (4, "plain"))) + ", CASE WHEN [" + ", ".join(str(m[3]).lower() for m in FLAGGED) + "][1 + p_partkey % 6] THEN [" + ", ".join(f"'{m[0]}'" for m in FLAGGED) + "][1 + p_partkey % 6] END AS allowed FROM part")
+def molecule_flags(spark, d):
+    names = F.array(*[F.lit(m[0]) for m in FLAGGED])
+    rows = load(spark, d, "part").select("p_partkey", F.get(names, F.col("p_partkey") % 6).alias("SMILES"))
+    out = smiles.filter_uncommon(smiles.flag_uncommon(smiles.flag_organometallics(rows)))
+    return out.select("p_partkey", F.col("Organometallics").alias("metals"), F.col("Uncommon").alias("uncommon"), smiles.strip_stereo(F.col("SMILES")).alias("plain"), F.col("Filtered").alias("allowed"))
+
+
+@query("SELECT p_partkey, p_size BETWEEN 10 AND 40 AND p_retailprice <= 1500 AS kept, CASE WHEN NOT (p_size BETWEEN 10 AND 40 AND p_retailprice <= 1500) THEN concat_ws(' | ', CASE WHEN p_size < 10 THEN printf('Size: %.2f < 10', p_size::double) WHEN p_size > 40 THEN printf('Size: %.2f > 40', p_size::double) END, CASE WHEN p_retailprice > 1500 THEN printf('Price: %.2f > 1500', p_retailprice::double) END) END AS message FROM part")
+def property_bounds(spark, d):
+    kept, message = smiles.within_bounds({"Size": "p_size", "Price": "p_retailprice"}, {"Size": (10, 40), "Price": (0, 1500)})
+    return load(spark, d, "part").select("p_partkey", kept.alias("kept"), message.alias("message"))
+
+
+@query("SELECT p_partkey, p_name AS title, p_brand AS journal, '' AS doi, p_size::varchar AS year, p_brand || ' ' || p_type AS abstract, list_sort(list_distinct([p_type, p_brand, p_type])) AS keywords, '17' || p_partkey AS pmid FROM part")
+def article_table(spark, d):
+    """Articles in XML with the parts' columns in their fields, and an id service's answer."""
+    xml = F.format_string("<article><journal-title>%s</journal-title><article-title>%s</article-title><pub-date><year>%s</year></pub-date><abstract><p>%s</p> <p>%s</p></abstract><kwd>%s</kwd><kwd>%s</kwd><kwd>%s</kwd></article>", "p_brand", "p_name", F.col("p_size").cast("string"), "p_brand", "p_type", "p_type", "p_brand", "p_type")
+    answer = F.format_string('{"records": [{"pmid": "17%s", "pmcid": "PMC1"}]}', F.col("p_partkey").cast("string"))
+    out = tables.article_fields(load(spark, d, "part").select("p_partkey", xml.alias("xml"), answer.alias("answer")))
+    return out.select("p_partkey", "title", "journal", "doi", "year", "abstract", "keywords", tables.id_conversion(F.col("answer"))["pmid"].alias("pmid"))
+
+
+@query("SELECT p_partkey, list_filter(string_split(lower(p_name), ' '), lambda w: regexp_full_match(w, '[a-z]+') AND NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "], w)) AS tokens, list_sort(list_distinct([p_brand, p_type])) AS keywords FROM part")
+def article_words(spark, d):
+    rows = load(spark, d, "part").select("p_partkey", F.col("p_name").alias("abstract"), F.array("p_brand", "p_type", "p_brand").alias("keywords"))
+    return tables.article_tokens(rows).select("p_partkey", "tokens", "keywords")
+
+
+@query("""WITH b AS (SELECT 'S' || l_suppkey AS k, l_returnflag AS t, CASE WHEN l_linenumber % 4 = 0 THEN '>' ELSE '=' END AS rel, -log10((l_quantity + 20) * 10 / 1000 / 1e6) AS p FROM lineitem WHERE l_linenumber <> 5),
+g AS (SELECT k || '|' || t AS dd_key, avg(p) AS p, max(p) - min(p) AS span FROM b WHERE rel = '=' GROUP BY 1) SELECT dd_key, round(p, 6) AS p FROM g WHERE span <= 1""")
+def binding_export(spark, d):
+    """Lines written in the columns of a binding table: molecules are suppliers, targets are return flags."""
+    shown = F.concat(F.when(F.col("l_linenumber") % 4 == 0, ">").otherwise(""), ((F.col("l_quantity") + 20) * 10).cast("string"))
+    lines = load(spark, d, "lineitem")
+    rows = lines.select(F.when(F.col("l_linenumber") == 5, "").otherwise(shown).alias("IC50 (nM)"), F.concat(F.lit("S"), "l_suppkey").alias("Ligand InChI Key"), F.col("l_returnflag").alias("Target Name"))
+    found = tables.preprocess_binding(rows)
+    exact = lines.where("l_linenumber % 4 <> 0 AND l_linenumber <> 5").groupBy(F.concat_ws("|", F.concat(F.lit("S"), "l_suppkey"), "l_returnflag").alias("k")).agg((F.max(F.log10(F.col("l_quantity") + 20)) - F.min(F.log10(F.col("l_quantity") + 20))).alias("span"))
+    return found.join(exact.where("span <= 1"), F.col("dd_key") == F.col("k"), "left_semi").select("dd_key", F.round("pIC50", 6).alias("p"))
+
+
+@query("SELECT s_suppkey, round(-abs(s_acctbal) / 100, 2) AS score, 's' || s_suppkey || '.pdb' AS protein FROM supplier")
+def docking_logs(spark, d):
+    """A log of each supplier, written as files of text and read again."""
+    path = scratch_path(spark, "logs")
+    log = F.format_string("< protein_path > : < s%s.pdb >\n< key > : < %s >\nAffinity: %s (kcal/mol)\nAffinity: 1.5 (kcal/mol)", F.col("s_suppkey").cast("string"), F.col("s_suppkey").cast("string"), F.round(-F.abs("s_acctbal") / 100, 2).cast("decimal(12,2)").cast("string"))
+    load(spark, d, "supplier").select(log.alias("value")).repartition("value").write.option("maxRecordsPerFile", 1).text(path)
+    found = tables.read_dock_logs(spark, path)
+    return found.select(F.col("parameters")["key"].cast("long").alias("s_suppkey"), "score", F.col("parameters")["protein_path"].alias("protein"))
+
+
+@query("""SELECT 'o_totalprice ~ o_orderstatus + (1 | o_orderpriority)' AS formula, 'one' AS dropped""")
+def model_formula(spark, d):
+    formula, dropped = stats.mixed_formula(load(spark, d, "orders").withColumn("one", F.lit(1)), "o_totalprice", ["o_orderstatus", "one"], ["o_orderpriority"])
+    return spark.createDataFrame([(formula, ",".join(dropped))], "formula string, dropped string")
+
+
+@query("""SELECT p_partkey, regexp_extract_all(s, '\\[|\\]|Cl|Br|Na|[A-Z]|[a-z]|[=#/()+-]|[0-9]') AS tokens FROM (SELECT p_partkey, ['CCO', 'C(Cl)(Br)=O', '[Na+]', 'c1ccccc1-N#N'][1 + p_partkey % 4] AS s FROM part)""")
+def molecule_tokens(spark, d):
+    names = F.array(*[F.lit(x) for x in ("CCO", "C(Cl)(Br)=O", "[Na+]", "c1ccccc1-N#N")])
+    return load(spark, d, "part").select("p_partkey", text.split_tokens(F.get(names, F.col("p_partkey") % 4)).alias("tokens"))
+
+
 # Repeated censored values -----------------------------------------------------------------------------
 
 
