@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the bitmap of hashed keys, which bounds what is broadcast: 16 MB, however many keys there are. With n keys a
-#: row without a partner is moved in vain with probability 1 - exp(-n / BITS) at most.
-BITS = 1 << 27
+#: Bits of the bitmap of hashed keys, which bounds what is broadcast: 4 MB, or 16 MB where MANY is asked for, however many
+#: keys there are. With n keys a row without a partner is moved in vain with probability 1 - exp(-n / bits) at most.
+BITS, MANY = 1 << 25, 1 << 27
 #: Bits that bitmap_construct_agg puts into one value.
 CHUNK = 1 << 15
 
