@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
-from tessera.operators.filters import join_few, possibly_in
+from tessera.operators.filters import MANY, join_few, possibly_in
 from tessera.session import materialize, remove, scratch_scope
 
 RADIUS = 2
@@ -133,7 +133,7 @@ def near_duplicate_groups(docs: DataFrame, width: int = 3, id_col: str = "doc_id
 STAGE_WIDTH = 5
 #: Shingles are ordered by how many documents have one of their bucket. Any order that is the same for all
 #: documents gives the same pairs; one from rare to frequent gives the shortest lists.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 
 
 def shingle_set(text: str | None, width: int = STAGE_WIDTH) -> np.ndarray:
@@ -187,20 +187,20 @@ def _bucket_counts(noded: DataFrame) -> np.ndarray:
 
 
 def _prefix_postings(noded: DataFrame) -> DataFrame:
-    """(key, node, n, pos): the prefix shingles of every node, with their places in the order."""
+    """(key, node, n, part, pos): the prefix shingles of every node, with their places in the order."""
     shared = noded.sparkSession.sparkContext.broadcast(_bucket_counts(noded))
-    names = ["key", "node", "n", "pos"]
+    names = ["key", "node", "n", "part", "pos"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                keys = [prefix(s.values.to_numpy().view(np.uint64), shared.value) for s in part.column(2)]
+                keys = [prefix(s.values.to_numpy().view(np.uint64), shared.value) for s in part.column(3)]
                 lengths = [len(x) for x in keys]
                 of = lambda c: np.repeat(part.column(c).to_numpy(), lengths)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(of(0)), pa.array(of(1)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(of(0)), pa.array(of(1)), pa.array(of(2)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]))], names)
 
-    return noded.select("node", "n", "shingles").mapInArrow(work, "key long, node long, n int, pos int")
+    return noded.select("node", "n", "part", "shingles").mapInArrow(work, "key long, node long, n int, part long, pos int")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
@@ -226,14 +226,14 @@ def _met(one: DataFrame, other: DataFrame) -> DataFrame:
     return pairs.select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
 
 
-def _in_parts(postings: DataFrame, parts: DataFrame) -> DataFrame:
-    """postings with the component of their node, itself if it is in none. Nodes without links are not moved."""
-    alone = postings.withColumn("part", F.col("node"))
+def _in_parts(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of nodes with their node's component as part, the node itself if it is in none. Nodes without links are
+    not moved."""
 
     def named(few: DataFrame) -> DataFrame:
-        return few.drop("part").join(parts, F.col("node") == F.col("id"), "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("part"))
+        return few.join(parts, F.col("node") == F.col("id"), "left").withColumn("part", F.coalesce("component", "node")).drop("id", "component")
 
-    return join_few(alone, [F.col("node")], parts.select("id"), named)
+    return join_few(nodes.withColumn("part", F.col("node")), [F.col("node")], parts.select("id"), named)
 
 
 def _near_fingerprints(classes: DataFrame) -> DataFrame:
@@ -258,11 +258,10 @@ def _links(classes: DataFrame, noded: DataFrame) -> DataFrame:
     prints, _ = materialize(_near_fingerprints(classes), "set-near")
     near, _ = materialize(_verified(prints, classes, noded), "set-links")
     parts, _ = materialize(connected_components(near), "set-parts")
-    postings = _in_parts(_prefix_postings(noded), parts)
-    postings, at = materialize(postings, "set-postings")
+    postings, at = materialize(_prefix_postings(_in_parts(noded.select("node", "n", "shingles"), parts)), "set-postings")
     shared, _ = materialize(postings.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key"), "set-shared")
     # Most keys are of one component only; the postings of the others go on.
-    open_lists, _ = materialize(possibly_in(postings, [F.col("key")], shared).where("__maybe").drop("__maybe").distinct(), "set-open")
+    open_lists, _ = materialize(possibly_in(postings, [F.col("key")], shared, MANY).where("__maybe").drop("__maybe").distinct(), "set-open")
     remove(postings.sparkSession, at)
     best = F.struct(((F.col("n") - F.col("pos")) / F.col("n")).alias("share"), (-F.col("n")).alias("less"), "node", "n", "pos", "part")
     heads, _ = materialize(open_lists.groupBy("key").agg(F.max(best).alias("head")).select("key", "head.node", "head.n", "head.pos", "head.part"), "set-heads")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.wordhash import Spans, mixed, runs
-from tessera.operators.filters import join_few, possibly_in
+from tessera.operators.filters import MANY, join_few, possibly_in
 from tessera.operators.ranking import running_sum
 from tessera.session import materialize, scratch_scope
 
@@ -319,7 +319,7 @@ def _parts(texts: DataFrame) -> DataFrame:
     shared = seed_table(texts).select("h", "own").groupBy("h").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("h")
     shared, _ = materialize(shared, "seeds-shared")
     # Seeds are made again rather than written: most are in one text only, and these go here.
-    seeds = possibly_in(seed_table(texts), [F.col("h")], shared).where("__maybe").drop("__maybe")
+    seeds = possibly_in(seed_table(texts), [F.col("h")], shared, MANY).where("__maybe").drop("__maybe")
     seeds, _ = materialize(seeds, "seeds")
     single = seeds.join(_firsts(seeds, "h", *PLACE), "h").where("own <> a.own")
     single = single.select("own", F.col("a.own").alias("src"), "doc", F.col("a.doc").alias("source"), "pos", F.col("a.pos").alias("src_pos"), "begin", "stop", F.col("a.begin").alias("src_begin"), F.col("a.stop").alias("src_stop"))

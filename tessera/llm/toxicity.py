@@ -43,7 +43,7 @@ def word_rows(text: str | None) -> np.ndarray:
     begin, end = runs(_letters[data])
     spans = Spans(data)
     forms = [spans.hashes(begin, end)] + [spans.hashes(begin, np.minimum(begin + n, end)) + np.uint64(n) for n in STEMS]
-    return np.stack([(h >> np.uint64(64 - 16)).astype(np.int64) for h in forms], axis=1)
+    return np.stack([(h >> np.uint64(64 - 16)).astype(np.uint16) for h in forms], axis=1)
 
 
 @dataclass
@@ -208,7 +208,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
         model.out_bias = share(counts.get(1, 0), counts.get(0, 0)) if counts else share(0, 1)
         return model
     texts = [word_rows(r["__t"]) for r in rows]
-    texts = [t if len(t) else np.zeros((1, 1 + len(STEMS)), np.int64) for t in texts]
+    texts = [t if len(t) else np.zeros((1, 1 + len(STEMS)), np.uint16) for t in texts]
+    del rows
     model.fit(texts, y)
     model.out_bias += share(counts[1], counts[0]) - share(y.sum(), len(y) - y.sum())
     return model
