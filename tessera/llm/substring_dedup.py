@@ -46,35 +46,49 @@ _lower[65:91] += 32
 _odd = np.uint64(0x9E3779B97F4A7C15)
 
 
-def seeds_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, word position, first byte, byte behind) of the seeds of a text in UTF-8.
+def seeds_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(number of the text, hash, word position, first byte, byte behind) of the seeds of texts in UTF-8, in order.
 
     Words are runs of bytes other than white space, A-Z in lower case. Texts of fewer than K words
-    have no seed, and those of fewer than K + WINDOW - 1 words have their least one.
+    have no seed, and those of fewer than K + WINDOW - 1 words have their least one. The texts are gone
+    through as one array, with a space between them.
     """
-    lowered = _lower[np.frombuffer(data, np.uint8)]
-    begin, end = runs(~_space[lowered])
-    n = len(begin) - K + 1
-    if n < 1:
-        return (np.empty(0, np.int64),) * 4
-    words = Spans(lowered).hashes(begin, end)
+    data = _lower[np.frombuffer(b" ".join(texts), np.uint8)]
+    offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)))[:-1]
+    begin, end = runs(~_space[data])
+    words = Spans(data).hashes(begin, end)
+    text = np.searchsorted(offsets, begin, side="right") - 1
+    per_text = np.bincount(text, minlength=len(texts))
+    first_word = np.cumsum(per_text) - per_text
+    # K-mers of words of one text, numbered from the word that begins them.
+    n = max(0, len(words) - K + 1)
     grams = np.zeros(n, np.uint64)
     for i in range(K):
         grams = mixed(grams * _odd + words[i : i + n])
-    span = min(WINDOW, n)
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(n - span + 1))
-    return grams[at].view(np.int64), at, begin[at], end[at + K - 1]
-
-
-def runs_of(h: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each seed of a text the number of the seed that ends its run, len(h) if there is none, and the run's hash:
-    of its first and last seed, of all seeds between, and of its length."""
+    whole = np.flatnonzero(text[:n] == text[K - 1 : K - 1 + n])
+    grams, of = grams[whole], text[whole]
+    found = []
+    if len(grams) >= WINDOW:
+        starts = np.flatnonzero(of[: len(of) - WINDOW + 1] == of[WINDOW - 1 :])
+        found.append(np.lib.stride_tricks.sliding_window_view(grams, WINDOW)[starts].argmin(axis=1) + starts)
+    counts = np.bincount(of, minlength=len(texts))
+    ends = np.cumsum(counts)
+    found += [ends[t] - counts[t] + grams[ends[t] - counts[t] : ends[t]].argmin(keepdims=True) for t in np.flatnonzero((counts > 0) & (counts < WINDOW))]
+    at = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    word, of = whole[at], of[at]
+    return of, grams[at].view(np.int64), word - first_word[of], begin[word] - offsets[of], end[word + K - 1] - offsets[of]
+
+
+def runs_of(of: np.ndarray, h: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each seed whether no run begins with it, else the number of the seed that ends its run, and the run's
+    hash: of its first and last seed, of all seeds between, and of its length."""
     seeds = h.view(np.uint64)
-    last = np.searchsorted(pos, pos + SPAN)
+    place = of * (int(pos.max(initial=0)) + SPAN + 1) + pos
+    to = np.minimum(np.searchsorted(place, place + SPAN), max(0, len(h) - 1))
+    none = (of[to] != of) | (pos[to] - pos < SPAN)
     sums = np.concatenate(([np.uint64(0)], np.cumsum(mixed(seeds), dtype=np.uint64)))
-    to = np.minimum(last, max(0, len(h) - 1))
     between = (sums[to] - sums[: len(h)]) * _odd
-    return last, mixed(mixed(seeds * _odd + seeds[to]) + between + (pos[to] - pos).astype(np.uint64)).view(np.int64)
+    return none, to, mixed(mixed(seeds * _odd + seeds[to]) + between + (pos[to] - pos).astype(np.uint64)).view(np.int64)
 
 
 SEED = "h long, doc long, own long, pos int, begin int, stop int, run long, pos2 int, begin2 int, stop2 int"
@@ -85,21 +99,14 @@ def seed_table(texts: DataFrame) -> DataFrame:
     there is none."""
     names = [c.split()[0] for c in SEED.split(", ")]
 
-    def fields(text: bytes) -> list[np.ndarray]:
-        h, pos, begin, stop = seeds_of(text)
-        last, run = runs_of(h, pos)
-        to = np.minimum(last, max(0, len(h) - 1))
-        return [h, pos, begin, stop, run, pos[to], begin[to], stop[to], last == len(h)]
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                found = [fields(t.as_py()) for t in part.column(2)]
-                h, pos, begin, stop, run, pos2, begin2, stop2, none = (np.concatenate(c) for c in zip(*found, strict=True))
-                doc, own = (np.repeat(part.column(i).to_numpy(), [len(f[0]) for f in found]) for i in (0, 1))
-                columns = [pa.array(x, pa.int64()) for x in (h, doc, own)] + [pa.array(x, pa.int32()) for x in (pos, begin, stop)]
-                columns += [pa.array(run, pa.int64(), mask=none)] + [pa.array(x, pa.int32(), mask=none) for x in (pos2, begin2, stop2)]
+                of, h, pos, begin, stop = seeds_of(part.column(2).to_pylist())
+                none, to, run = runs_of(of, h, pos)
+                columns = [pa.array(x, pa.int64()) for x in (h, part.column(0).to_numpy()[of], part.column(1).to_numpy()[of])] + [pa.array(x, pa.int32()) for x in (pos, begin, stop)]
+                columns += [pa.array(run, pa.int64(), mask=none)] + [pa.array(x[to], pa.int32(), mask=none) for x in (pos, begin, stop)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return texts.select("doc", "own", "txt").mapInArrow(work, SEED)

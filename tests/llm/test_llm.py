@@ -160,9 +160,9 @@ def test_chains_are_optimal():
 
 def test_shared_run_has_a_shared_seed():
     run = prose(5, substring_dedup.K + substring_dedup.WINDOW - 1)
-    a = set(substring_dedup.seeds_of(f"{prose(6, 50)} {run} {prose(7, 50)}".encode())[0].tolist())
-    b = set(substring_dedup.seeds_of(f"{prose(8, 9)}\n{run.upper()} {prose(9, 3)}".encode())[0].tolist())
-    assert a & b and not len(substring_dedup.seeds_of(b"a b c d")[0]) and len(substring_dedup.seeds_of(b"a b c d e")[0]) == 1
+    a = set(substring_dedup.seeds_of([f"{prose(6, 50)} {run} {prose(7, 50)}".encode()])[1].tolist())
+    b = set(substring_dedup.seeds_of([f"{prose(8, 9)}\n{run.upper()} {prose(9, 3)}".encode()])[1].tolist())
+    assert a & b and not len(substring_dedup.seeds_of([b"a b c d"])[1]) and len(substring_dedup.seeds_of([b"a b c d e"])[1]) == 1
 
 
 # 2 ----------------------------------------------------------------------------------------------------
