@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.llm.wordhash import Spans, mixed, runs
 from tessera.operators.filters import MANY, join_few, possibly_in
 from tessera.operators.ranking import running_sum
-from tessera.session import materialize, scratch_scope
+from tessera.session import materialize, remove, scratch_scope
 
 #: Words of a seed, and the window of which the least seed is kept: a run of K + WINDOW - 1 shared words
 #: always has a common seed.
@@ -300,13 +300,6 @@ def _own(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.encode(text_col, "UTF-8"))
 
 
-def _firsts(table: DataFrame, key: str, *fields: str) -> DataFrame:
-    """(key, a): of each key that two texts have, the first holder: the least id, the row and the place there."""
-    first = table.groupBy(key).agg(F.min(F.struct("doc", "own", *fields)).alias("a"), F.min("own").alias("lo"), F.max("own").alias("hi"))
-    # Written: the join with it is then of two plain shuffles, and a key of a third of the texts can be split.
-    return materialize(first.where("lo <> hi").select(key, "a"), "seeds-first")[0]
-
-
 PLACE = ["pos", "begin", "stop"]
 
 
@@ -327,40 +320,52 @@ def _parts(texts: DataFrame) -> DataFrame:
     shared, _ = materialize(shared, "seeds-shared")
     # Seeds are made again rather than written: most are in one text only, and these go here.
     seeds = possibly_in(seed_table(texts), [F.col("h")], shared, MANY).where("__maybe").drop("__maybe")
-    seeds, _ = materialize(seeds, "seeds")
-    single = seeds.join(_firsts(seeds, "h", *PLACE), "h").where("own <> a.own")
+    seeds, seeds_at = materialize(seeds, "seeds")
+    # A seed that only its own text has, which the bitmap lets through, meets nothing but itself.
+    first, first_at = materialize(seeds.groupBy("h").agg(F.min(F.struct("doc", "own", *PLACE)).alias("a")), "seeds-first")
+    single = seeds.select("h", "own", "doc", *PLACE).join(first, "h").where("own <> a.own")
     single = single.select("own", F.col("a.own").alias("src"), "doc", F.col("a.doc").alias("source"), "pos", F.col("a.pos").alias("src_pos"), "begin", "stop", F.col("a.begin").alias("src_begin"), F.col("a.stop").alias("src_stop"))
     whole = [*PLACE, "pos2", "begin2", "stop2"]
-    coupled = seeds.where("run IS NOT NULL")
-    coupled, _ = materialize(coupled.join(_firsts(coupled, "run", *whole), "run").select("run", "doc", "own", F.struct(*whole).alias("m"), "a"), "seeds-runs")
-    found, _ = materialize(_aligned_chains(texts, single.union(_as_matches(coupled.where("own <> a.own")))), "parts")
+    coupled = seeds.where("run IS NOT NULL").drop("h")
+    heads = coupled.groupBy("run").agg(F.min(F.struct("doc", "own", *whole)).alias("a"), F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi")
+    # Written: the join with it is then of two plain shuffles, and a run of a third of the texts can be split.
+    heads, heads_at = materialize(heads.select("run", "a"), "runs-first")
+    coupled, coupled_at = materialize(coupled.join(heads, "run").select("run", "doc", "own", F.struct(*whole).alias("m"), "a"), "seeds-runs")
+    found = _aligned_chains(texts, single.union(_as_matches(coupled.where("own <> a.own"))))
+    for path in (seeds_at, first_at, heads_at):
+        remove(texts.sparkSession, path)
 
     # A run's holders in the order of their ids, each with the one before it. Numbers are unique, so no run is a hot key.
-    holders = running_sum(coupled.groupBy("run", "doc", "own").agg(F.min("m").alias("m"), F.first("a.own").alias("first")), ["run", "doc", "own"], F.lit(1), "nth")
-    holders, _ = materialize(holders, "seeds-holders")
+    with scratch_scope(texts.sparkSession) as keep:
+        holders = running_sum(coupled.groupBy("run", "doc", "own").agg(F.min("m").alias("m"), F.first("a.own").alias("first")), ["run", "doc", "own"], F.lit(1), "nth")
+        holders, path = materialize(holders, "seeds-holders")
+        keep.append(path)
+    remove(texts.sparkSession, coupled_at)
     before = holders.select((F.col("nth") + 1).alias("nth"), F.col("run").alias("of"), F.struct("doc", "own", "m.*").alias("a"))
     second = holders.join(before, "nth").where("run = of AND a.own <> first").select("own", "doc", "m", "a")
     # A text has one row of its parts, which are as many as its passages.
     known = found.groupBy(F.col("own").alias("of")).agg(F.collect_list(F.struct("word", (F.col("word") + F.col("words")).alias("end"))).alias("known"))
     inside = F.exists("known", lambda x: (x["word"] <= F.col("m.pos")) & (F.col("m.pos2") + K <= x["end"]))
     fresh = second.join(known, F.col("own") == F.col("of"), "left").where(F.col("known").isNull() | ~inside).select("own", "doc", "m", "a")
-    more, _ = materialize(_aligned_chains(texts, _as_matches(fresh)), "parts")
-    return found.union(more)
+    return found.union(_aligned_chains(texts, _as_matches(fresh)))
 
 
 def _aligned_chains(texts: DataFrame, matches: DataFrame) -> DataFrame:
-    """ALIGNED columns of the chains of these matches."""
-    dealt = matches.repartition("own").sortWithinPartitions("own", "src", "pos", "src_pos")
-    chains, _ = materialize(dealt.mapInArrow(_chains, CHAIN_KINDS), "chains")
-    # Both sides of a chain are cut out of their texts in one join; texts without a chain are not moved.
-    key = ["own", "src", "pos", "src_pos"]
-    sides = F.array(*[F.struct(F.lit(n).alias("side"), F.col(own).alias("at"), F.col(b).alias("from"), F.col(s).alias("to")) for n, own, b, s in ((0, "own", "begin", "stop"), (1, "src", "src_begin", "src_stop"))])
-    wanted, _ = materialize(chains.select(*key, F.explode(sides).alias("w")).select(*key, "w.*"), "chain-sides")
-    held = possibly_in(texts.select(F.col("own").alias("held"), "txt"), [F.col("held")], wanted.select("at")).where("__maybe").select("held", "txt").dropDuplicates(["held"])
-    piece = F.expr(f"substring(txt, cast(greatest(0, `from` - {MARGIN}) + 1 as int), cast(`to` + {MARGIN} - greatest(0, `from` - {MARGIN}) as int))")
-    cut, _ = materialize(wanted.join(held, F.col("at") == F.col("held")).select(*key, "side", piece.alias("piece")), "chain-texts")
-    one = chains.join(cut.where("side = 0").drop("side"), key).join(cut.where("side = 1").drop("side").withColumnRenamed("piece", "src_piece"), key)
-    return one.mapInArrow(_aligned, ", ".join(f"{c} long" for c in ALIGNED)).distinct()
+    """ALIGNED columns of the chains of these matches, as a written table."""
+    with scratch_scope(texts.sparkSession) as keep:
+        dealt = matches.repartition("own").sortWithinPartitions("own", "src", "pos", "src_pos")
+        chains, _ = materialize(dealt.mapInArrow(_chains, CHAIN_KINDS), "chains")
+        # Both sides of a chain are cut out of their texts in one join; texts without a chain are not moved.
+        key = ["own", "src", "pos", "src_pos"]
+        sides = F.array(*[F.struct(F.lit(n).alias("side"), F.col(own).alias("at"), F.col(b).alias("from"), F.col(s).alias("to")) for n, own, b, s in ((0, "own", "begin", "stop"), (1, "src", "src_begin", "src_stop"))])
+        wanted, _ = materialize(chains.select(*key, F.explode(sides).alias("w")).select(*key, "w.*"), "chain-sides")
+        held = possibly_in(texts.select(F.col("own").alias("held"), "txt"), [F.col("held")], wanted.select("at")).where("__maybe").select("held", "txt").dropDuplicates(["held"])
+        piece = F.expr(f"substring(txt, cast(greatest(0, `from` - {MARGIN}) + 1 as int), cast(`to` + {MARGIN} - greatest(0, `from` - {MARGIN}) as int))")
+        cut, _ = materialize(wanted.join(held, F.col("at") == F.col("held")).select(*key, "side", piece.alias("piece")), "chain-texts")
+        one = chains.join(cut.where("side = 0").drop("side"), key).join(cut.where("side = 1").drop("side").withColumnRenamed("piece", "src_piece"), key)
+        parts, path = materialize(one.mapInArrow(_aligned, ", ".join(f"{c} long" for c in ALIGNED)).distinct(), "parts")
+        keep.append(path)
+    return parts
 
 
 def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
