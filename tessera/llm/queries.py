@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, packing, shard_tree, simhash, substring_dedup, token_counts, topk, toxicity, warc
+from tessera.llm import bpe, exact_dedup, merkle, packing, shard_tree, simhash, substring_dedup, token_counts, topk, toxicity, warc, word_bpe
 from tessera.session import expose_package, load, spread
 
 
@@ -55,6 +55,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(spread(load(spark, sf_dir, "documents")), load(spark, sf_dir, "labels"))
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.round_trip(spread(load(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    more = F.when(chosen, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
+    return merkle.manifest(load(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", tampered={"n_chars": more.cast("decimal(20,0)")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def ready(query):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         run.__name__ = query.__name__
         return run
 
-    return {f.__name__: ready(f) for f in (op1_substring_dedup, op2_token_counts, op3_warc, op4_bpe, op5_topk, op6_simhash, op7_sharding, op8_packing, op9_exact_dedup, op10_toxicity)}
+    return {f.__name__: ready(f) for f in (op1_substring_dedup, op2_token_counts, op3_warc, op4_bpe, op5_topk, op6_simhash, op7_sharding, op8_packing, op9_exact_dedup, op10_toxicity, op11_word_bpe, op12_merkle)}
 
 
 #: Equal texts are joined by value; DuckDB compares strings byte by byte.
@@ -96,5 +106,31 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+#: Trees as lists of digests, level by level; proofs and folds go up one level at a time. The CRC-32 of an id is taken bit
+#: by bit, as SQL has none.
+OP12_SQL = """
+WITH RECURSIVE f AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(strlen(doc_id::varchar) || ':' || doc_id::varchar, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+  n_chars, coalesce(strlen(text) || ':' || text, '-') AS z, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+   lambda x, y: list_reduce(list_prepend(xor(x, y), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda v, w: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::bigint) ELSE v >> 1 END)) AS crc FROM documents),
+h AS MATERIALIZED (SELECT *, sha256(a || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || z) AS leaf,
+  sha256(a || coalesce(strlen((n_chars + (xor(crc, 4294967295::bigint) % 7 = 0)::int)::varchar) || ':' || (n_chars + (xor(crc, 4294967295::bigint) % 7 = 0)::int), '-') || z) AS forged FROM f),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM h),
+s(lang, level, nodes) AS (SELECT lang, 0, list(leaf ORDER BY pos) FROM l GROUP BY lang
+  UNION ALL SELECT lang, level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(array_to_string(nodes[i + 1 : i + 2], ''))) FROM s WHERE len(nodes) > 1),
+b AS MATERIALIZED (SELECT lang, nodes[1] AS subroot, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM s WHERE len(nodes) = 1),
+t(level, nodes) AS (SELECT 0, list(subroot ORDER BY pos) FROM b
+  UNION ALL SELECT level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(array_to_string(nodes[i + 1 : i + 2], ''))) FROM t WHERE len(nodes) > 1),
+u AS MATERIALIZED (SELECT s.lang, s.level, s.nodes, 0 AS base FROM s WHERE len(nodes) > 1 UNION ALL SELECT b.lang, b.height + t.level, t.nodes, b.height FROM b, t WHERE len(t.nodes) > 1),
+p(r, lang, level, pos, height, crown, proof, fold) AS (SELECT l.r, l.lang, 0, l.pos, b.height, b.pos, '', l.forged FROM l JOIN b ON l.lang IS NOT DISTINCT FROM b.lang
+  UNION ALL SELECT q.r, q.lang, q.level + 1, q.k // 2, q.height, q.crown, q.proof || coalesce(q.nodes[q.k + (CASE WHEN q.k % 2 = 0 THEN 2 ELSE 0 END)], ''),
+   sha256(CASE WHEN q.k % 2 = 0 THEN q.fold || coalesce(q.nodes[q.k + 2], '') ELSE q.nodes[q.k] || q.fold END)
+   FROM (SELECT p.*, u.nodes, CASE WHEN p.level = p.height THEN p.crown ELSE p.pos END AS k FROM p JOIN u ON p.lang IS NOT DISTINCT FROM u.lang AND p.level = u.level) q),
+e AS (SELECT r, arg_max(proof, level) AS proof, arg_max(fold, level) AS fold FROM p GROUP BY r),
+x AS (SELECT arg_max(nodes[1], level) AS root FROM t)
+SELECT l.doc_id, l.leaf, b.subroot, x.root, sha256(e.proof) AS proof_sha256, e.fold AS folded_root, e.fold = x.root AS verified
+FROM l JOIN e USING (r) JOIN b ON l.lang IS NOT DISTINCT FROM b.lang, x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op5_topk": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op3_warc": OP3_SQL, "op5_topk": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op12_merkle": OP12_SQL}
