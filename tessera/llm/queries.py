@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, merkle, packing, shard_tree, simhash, substring_dedup, token_counts, topk, toxicity, warc, word_bpe
+from tessera.llm import bpe, exact_dedup, lexical_search, merkle, packing, shard_tree, simhash, substring_dedup, token_counts, topk, toxicity, warc, word_bpe
 from tessera.session import expose_package, load, spread
 
 
@@ -65,6 +65,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(load(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", tampered={"n_chars": more.cast("decimal(20,0)")})
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(load(spark, sf_dir, "benchmark"), spread(load(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def ready(query):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         run.__name__ = query.__name__
         return run
 
-    return {f.__name__: ready(f) for f in (op1_substring_dedup, op2_token_counts, op3_warc, op4_bpe, op5_topk, op6_simhash, op7_sharding, op8_packing, op9_exact_dedup, op10_toxicity, op11_word_bpe, op12_merkle)}
+    return {f.__name__: ready(f) for f in (op1_substring_dedup, op2_token_counts, op3_warc, op4_bpe, op5_topk, op6_simhash, op7_sharding, op8_packing, op9_exact_dedup, op10_toxicity, op11_word_bpe, op12_merkle, op13_lexical_search)}
 
 
 #: Equal texts are joined by value; DuckDB compares strings byte by byte.
@@ -131,6 +135,18 @@ SELECT l.doc_id, l.leaf, b.subroot, x.root, sha256(e.proof) AS proof_sha256, e.f
 FROM l JOIN e USING (r) JOIN b ON l.lang IS NOT DISTINCT FROM b.lang, x
 """
 
+#: Every score of every item; rows are numbered, as ids may repeat.
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT q, item_id, unnest(list_distinct(w)) AS t FROM (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark)),
+s AS MATERIALIZED (SELECT count(*)::bigint AS big_n, sum(len(w))::bigint AS big_l FROM d WHERE len(w) > 0),
+p AS MATERIALIZED (SELECT r, doc_id, t, len(w) AS n, count(*)::bigint AS tf FROM (SELECT r, doc_id, w, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, doc_id, t, n),
+f AS (SELECT t, floor(1000 * ln((2 * big_n + 2)::double / (2 * count(*) + 1)))::bigint AS w FROM p, s GROUP BY t, big_n),
+x AS (SELECT q.q, q.item_id, p.r, p.doc_id, sum(f.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * p.n * s.big_n) // s.big_l))))::bigint AS score FROM q JOIN p USING (t) JOIN f USING (t), s GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST)::int AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op5_topk": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op12_merkle": OP12_SQL}
+    return {"op3_warc": OP3_SQL, "op5_topk": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op12_merkle": OP12_SQL, "op13_lexical_search": OP13_SQL}

@@ -1,7 +1,10 @@
 """The operators of joined encodings, manifests and threshold search, against their definitions."""
 
+import collections
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import public_tokenizers as P
@@ -9,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import merkle, word_bpe
+from tessera.llm import lexical_search, merkle, word_bpe
 
 WORD_FILE = P.path("word_bpe_49k.json")
 
@@ -142,3 +145,75 @@ def test_merkle_of_one_and_of_no_row(spark):
     df = spark.createDataFrame([row], "doc_id long, source string, lang string, n_chars long, text string")
     assert [tuple(r) for r in merkle.manifest(df, VALUES, "lang", "doc_id").collect()] == [(7, leaf_of(row), leaf_of(row), leaf_of(row), hexdigest(""), leaf_of(row), True)]
     assert merkle.manifest(df.limit(0), VALUES, "lang", "doc_id").count() == 0
+
+
+# 13 ---------------------------------------------------------------------------------------------------
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms_of(text):
+    return TERM.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def ranked(items, docs, k):
+    words = [terms_of(t) for _, t in docs]
+    rows, total = sum(map(bool, words)), sum(map(len, words))
+    counts = [collections.Counter(w) for w in words]
+    df = collections.Counter(t for c in counts for t in c)
+    out = []
+    for item, text in items:
+        scores = []
+        for (doc, _), w, c in zip(docs, words, counts, strict=True):
+            m = 50 + 50 * len(w) * rows // max(total, 1)
+            score = sum(math.floor(1000 * math.log((2 * rows + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 20 * m)) for t in set(terms_of(text)) if t in c)
+            if score > 0:
+                scores.append((-score, doc is not None, doc or 0))
+        out += [(item, rank, doc if known else None, -score) for rank, (score, known, doc) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out, key=str)
+
+
+def searched(spark, items, docs, k, report=None):
+    clash = {c: F.lit("x") for c in ("row", "doc", "term", "tf", "n", "q", "t", "part", "score", "rank")}
+    of = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string").withColumns(clash)
+    got = lexical_search.search(of(items, "item_id"), of(docs, "doc_id").repartition(3), k, report=report)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    return sorted(map(tuple, got.collect()), key=str)
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_lexical_search_equals_all_scores(spark, k):
+    r = random.Random(k)
+    words = [f"w{i}" for i in range(60)] + ["été", "ÉTÉ", "漢字", "İx", "it's", "a_b", "1\x7f2", "THE", "The", "the"]
+    weights = [1 / (i + 1) for i in range(len(words))]
+    docs = [(i // 2 if i % 9 == 0 else i, " ".join(["the", *r.choices(words, weights, k=r.randint(0, 80))])) for i in range(150)]
+    docs += [(500, None), (501, ""), (502, " \n-_"), (None, "w1 w2 w3 the"), (503, "w50 w51 w52"), (503, "w50 w51 w52"), (504, "w50 " * 3000 + "w51")] + [(600 + i, "w1 w40 same") for i in range(60)]
+    items = [(i, " ".join(r.choices(words, k=12))) for i in range(6)] + [(6, None), (7, ""), (8, "nowhere"), (9, "same"), (9, "w40 W40 the"), (None, "w50 w51")]
+    assert searched(spark, items, docs, k) == ranked(items, docs, k)
+
+
+def test_lexical_search_of_nothing(spark):
+    assert searched(spark, [(1, "a")], [], 5) == [] and searched(spark, [], [(1, "a")], 5) == []
+
+
+def test_lists_are_read_to_a_threshold_only(spark):
+    r = random.Random(9)
+    docs = [(i, " ".join(r.choices([f"c{j}" for j in range(30)], k=60))) for i in range(600)]
+    docs += [(1000 + i, " ".join([f"rare{j}" for j in range(8)] + r.choices([f"c{j}" for j in range(30)], k=20))) for i in range(12)]
+    items = [(1, " ".join([f"rare{j}" for j in range(8)] + [f"c{j}" for j in range(10)]))]
+    report = {}
+    assert searched(spark, items, docs, 5, report) == ranked(items, docs, 5)
+    assert report["fetched"] < report["postings"] / 10 and report["candidates"] <= 12
+
+
+def test_thresholds_are_the_greatest_that_hold(spark):
+    r = random.Random(3)
+    queries = [([r.randint(1, 40) for _ in range(r.randint(1, 6))], r.randint(1, 90)) for _ in range(40)]
+    queries = [(tops, min(least, sum(tops))) for tops, least in queries]
+    wanted = spark.createDataFrame([(q, t, top) for q, (tops, _) in enumerate(queries) for t, top in enumerate(tops)], "q long, t long, top long")
+    least = spark.createDataFrame([(q, least) for q, (_, least) in enumerate(queries) if q % 5], "q long, least long")
+    got = {row["q"]: (row["cut"], row["rest"]) for row in lexical_search.thresholds(wanted, least).collect()}
+    for q, (tops, score) in enumerate(queries):
+        rest = lambda cut: sum(min(cut - 1, t) for t in tops)  # noqa: B023, E731
+        cut = max([c for c in range(1, 100) if rest(c) < score] or [1]) if q % 5 else 1
+        assert got[q] == (cut, rest(cut))
