@@ -1,7 +1,7 @@
 """Ranked lexical search over term-partitioned postings, by three phases with one threshold a query.
 
-The heads of the lists give each query a score that its k best rows reach at least. No row whose part in every
-list is below a threshold can reach it; so every list returns its entries from that threshold on. Bounds
+The heads of the lists name rows whose scores give each query a bound that its k best rows reach. No row whose part in
+every list is below a threshold can reach it; so every list returns its entries from that threshold on. Bounds
 of what the rows found may have in other lists leave few candidates, whose exact scores are looked up.
 """
 
@@ -27,6 +27,8 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else
 #: Bits of the bitmap of query terms' checksums (1 MB), which bounds what tasks get. With more terms than bits more postings are
 #: written in vain; the join with the terms decides.
 BITS = 1 << 23
+#: Rows for each of the k results that are looked up for the first bound. The bound is the better the more there are.
+SEEDS = 4
 #: Postings of an Arrow batch.
 FLUSH = 1 << 18
 
@@ -100,6 +102,11 @@ class Index:
         tops = self.postings.groupBy("t").agg(F.max("part").alias("top"))
         self.terms_, _ = materialize(weights.join(tops, "t").select("term", "t", "top"), "lexical-tops")
 
+    def scores(self, pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+        """(q, row, score) of pairs (q, row), looked up in all lists of the query; only postings of such rows are shuffled."""
+        looked = possibly_in(self.postings, [F.col("row")], pairs.select("row")).where("__maybe").drop("__maybe")
+        return pairs.join(wanted.select("q", "t"), "q").join(looked, ["t", "row"]).groupBy("q", "row").agg(F.sum("part").alias("score"))
+
 
 def _kth(scores: DataFrame, k: int, by: str, score: str, out: str) -> DataFrame:
     """(by, out): the k-th greatest score, for those that have k. Tasks pass on their k greatest."""
@@ -112,14 +119,14 @@ def thresholds(wanted: DataFrame, least: DataFrame) -> DataFrame:
 
     A row with less than `cut` in every list has no more than rest = sum of min(cut - 1, top) in all, and cut is the greatest
     for which that is below `least`. With tops in order, the sum for a cut is the least over i of the i least tops plus
-    (cut - 1) for each other list; so the greatest cut comes from the best i. Without `least` every entry counts.
+    (cut - 1) for each other list; so the greatest cut comes from the best i. Without `least` it is 1 and every entry counts.
     """
     upto = Window.partitionBy("q").orderBy("top", "t")
     placed = wanted.withColumns({"before": F.sum("top").over(upto.rowsBetween(Window.unboundedPreceding, -1)), "others": F.count("*").over(Window.partitionBy("q")) - F.row_number().over(upto) + 1})
     bound = F.expr("CASE WHEN least > coalesce(before, 0) THEN (least - 1 - coalesce(before, 0)) div others ELSE 0 END")
-    cuts = placed.join(least, "q", "left").groupBy("q").agg(F.max(F.coalesce(bound, F.lit(0))).alias("below"))
+    cuts = placed.join(least, "q", "left").groupBy("q").agg(F.max(F.coalesce(bound, F.lit(0))).alias("below"), F.coalesce(F.first("least"), F.lit(1)).alias("least"))
     rest = F.sum(F.least("top", "below")).over(Window.partitionBy("q"))
-    return wanted.join(cuts, "q").select("q", "t", "top", (F.col("below") + 1).alias("cut"), rest.alias("rest"))
+    return wanted.join(cuts, "q").select("q", "t", "top", (F.col("below") + 1).alias("cut"), rest.alias("rest"), "least")
 
 
 def search(items: DataFrame, docs: DataFrame, k: int = 50, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text", report: dict | None = None) -> DataFrame:
@@ -142,22 +149,30 @@ def search(items: DataFrame, docs: DataFrame, k: int = 50, item_col: str = "item
         index = Index(docs, vocabulary, id_col, text_col)
         wanted, _ = materialize(asked.join(index.terms_, "term").select("q", "t", "top"), "lexical-wanted")
 
-        # Heads of the lists, and the score that k rows have by these alone.
+        # Heads of the lists, and the score that the k best of the rows leading in them have.
         place = F.row_number().over(Window.partitionBy("t").orderBy(F.desc("part"), "row"))
         heads = index.postings.withColumn("place", place).where(F.col("place") <= k)
         partial = wanted.join(heads, "t").groupBy("q", "row").agg(F.sum("part").alias("score"))
-        cut, _ = materialize(thresholds(wanted, _kth(partial, k, "q", "score", "least")), "lexical-cuts")
-
-        # Every list from the query's threshold on.
-        met = cut.join(index.postings, "t").where("part >= cut")
-        seen = met.groupBy("q", "row").agg(F.sum("part").alias("score"), F.count("*").alias("lists"), F.first("cut").alias("cut"), F.first("rest").alias("rest"))
-        seen, _ = materialize(seen.select("q", "row", "score", (F.col("score") + F.col("rest") - (F.col("cut") - 1) * F.col("lists")).alias("most")), "lexical-seen")
-        near = seen.join(_kth(seen, k, "q", "score", "least"), "q", "left").where("most >= coalesce(least, 1)")
-        near, _ = materialize(near.select("q", "row"), "lexical-candidates")
-
-        # Exact scores of the candidates: rows that are none are not shuffled.
-        looked = possibly_in(index.postings, [F.col("row")], near.select("row")).where("__maybe").drop("__maybe")
-        exact = near.join(wanted.select("q", "t"), "q").join(looked, ["t", "row"]).groupBy("q", "row").agg(F.sum("part").alias("score"))
+        first = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "row"))
+        leading, _ = materialize(partial.withColumn("place", first).where(F.col("place") <= SEEDS * k).select("q", "row"), "lexical-heads")
+        known, _ = materialize(index.scores(leading, wanted), "lexical-known")
+        cut, _ = materialize(thresholds(wanted, _kth(known, k, "q", "score", "least")), "lexical-cuts")
+
+        # Every list from its queries' thresholds on. Entries go to their row's task once, whatever queries share them.
+        floors = cut.groupBy("t").agg(F.min("cut").alias("floor"))
+        sent = index.postings.join(floors, "t").where("part >= floor").select("t", "part", "row").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row")
+        met = sent.join(cut, "t").where("part >= cut")
+        seen = met.groupBy("q", "row").agg(F.sum("part").alias("score"), F.sum(F.expr("cut - 1")).alias("bound"), F.first("rest").alias("rest"), F.first("least").alias("least"))
+        # What a row may have in lists that did not send it: no more than the cut allows in each.
+        seen = seen.select("q", "row", "score", (F.col("score") + F.col("rest") - F.col("bound")).alias("most"), "least").where("most >= least")
+        seen, _ = materialize(seen, "lexical-seen")
+        better = _kth(seen, k, "q", "score", "more")
+        near, _ = materialize(seen.join(better, "q", "left").where("most >= coalesce(more, 1)").select("q", "row", "score"), "lexical-candidates")
+
+        # Exact scores: the entries of candidates below the thresholds, from the rows that are any.
+        left = possibly_in(index.postings, [F.col("row")], near.select("row")).where("__maybe").join(cut, "t").where("part < cut")
+        below = left.select("q", "row", "part").join(near.select("q", "row"), ["q", "row"], "left_semi")
+        exact = near.union(below).groupBy("q", "row").agg(F.sum("score").alias("score"))
         named = exact.join(index.rows, "row")
         order = Window.partitionBy("q").orderBy(F.desc("score"), "doc", "row")
         best = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -167,6 +182,6 @@ def search(items: DataFrame, docs: DataFrame, k: int = 50, item_col: str = "item
         if report is not None:
             report["postings"] = wanted.join(index.postings.groupBy("t").count(), "t").agg(F.sum("count")).first()[0] or 0
             report["fetched"] = cut.join(index.postings, "t").where("part >= cut").count()
-            report["seen"], report["candidates"] = seen.count(), near.count()
+            report["candidates"] = near.count()
         keep.append(path)
     return out
