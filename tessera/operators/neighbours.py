@@ -83,8 +83,47 @@ def distance_matrix(queries: DataFrame, refs: DataFrame, metric: str = "jaccard"
     return by_blocks(q, r, work, "query_id long, ref_id long, distance double")
 
 
-def near_pairs(df: DataFrame, threshold: float, metric: str = "jaccard", id_col: str = "id", features_col: str = "features") -> DataFrame:
-    """(src, dst, distance) with src < dst of the pairs at most `threshold` apart. Two blocks meet once."""
+def _first_forest(u: np.ndarray, v: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The edges, as places in u and v, of the forest that takes edges in this order unless they close a cycle.
+
+    Borůvka's rounds on arrays: every component takes its first edge; edges within a component go.
+    """
+    u, v = u[order], v[order]
+    label, left, taken = np.arange(max(u.max(), v.max()) + 1), np.arange(len(u)), []
+    while len(left):
+        a, b = label[u[left]], label[v[left]]
+        apart = a != b
+        left, a, b = left[apart], a[apart], b[apart]
+        if not len(left):
+            break
+        first = np.full(len(label), -1)
+        # Of several writes to a place the last counts, which is the first edge in order.
+        both, ends = np.concatenate([left, left]), np.concatenate([a, b])
+        back = np.argsort(-both, kind="stable")
+        first[ends[back]] = both[back]
+        roots = np.nonzero(first >= 0)[0]
+        edge = first[roots]
+        taken.append(np.unique(edge))
+        other = np.where(label[u[edge]] == roots, label[v[edge]], label[u[edge]])
+        parent = np.arange(len(label))
+        parent[roots] = other
+        mutual = (parent[parent] == np.arange(len(label))) & (np.arange(len(label)) < parent)
+        parent[mutual] = np.nonzero(mutual)[0]
+        while True:
+            further = parent[parent]
+            if (further == parent).all():
+                break
+            parent = further
+        label = parent[label]
+    return order[np.concatenate(taken)] if taken else np.empty(0, np.int64)
+
+
+def near_pairs(df: DataFrame, threshold: float, metric: str = "jaccard", id_col: str = "id", features_col: str = "features", spanning: bool = False) -> DataFrame:
+    """(src, dst, distance) with src < dst of the pairs at most `threshold` apart. Two blocks meet once.
+
+    With `spanning` two blocks give only a least spanning forest of their near pairs, as many edges as they have rows at
+    most: for any lower threshold, too, it links what all near pairs link.
+    """
     rows = _rows(df, id_col, features_col)
     fitted = _fitted(rows, metric)
     n = max(1, -(-rows.count() // BLOCK))
@@ -99,7 +138,12 @@ def near_pairs(df: DataFrame, threshold: float, metric: str = "jaccard", id_col:
         d = pairwise(metric, grid(a), grid(b), fitted)
         near = d <= threshold
         i, j = np.nonzero(near & (x[:, None] < y[None, :]) if key[0].as_py() == key[1].as_py() else near & (x[:, None] != y[None, :]))
-        return pa.table({"src": np.minimum(x[i], y[j]), "dst": np.maximum(x[i], y[j]), "distance": d[i, j]})
+        src, dst, d = np.minimum(x[i], y[j]), np.maximum(x[i], y[j]), d[i, j]
+        if spanning and len(src):
+            _, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+            kept = _first_forest(ends[: len(src)], ends[len(src) :], np.lexsort((dst, src, d)))
+            src, dst, d = src[kept], dst[kept], d[kept]
+        return pa.table({"src": src, "dst": dst, "distance": d})
 
     return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(work, "src long, dst long, distance double")
 

@@ -8,7 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.distributions import normal_tail
 from tessera.operators.ranking import quantiles, running_sum
+from tessera.session import materialize
 
 
 def rank_biserial(u: Column, n1: Column, n2: Column) -> Column:
@@ -20,16 +22,42 @@ def effect_label(r: Column) -> Column:
     return F.when(size <= 0.1, "Negligible").when(size <= 0.3, "Small").when(size <= 0.5, "Medium").otherwise("Large")
 
 
-def _tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+#: Cells n1 * n2 up to which the distribution of U is counted where it can be.
+COUNTED = 10_000_000
+
+
+def u_tail(u: float, n1: int, n2: int) -> float:
+    """P(U >= u) under the null hypothesis, without ties.
+
+    The arrangements with statistic u are counted by a recurrence in the size of the smaller sample: those of i values
+    are those of i - 1, less what would need more than n2 others, plus those of i with i less. Half of the symmetric
+    distribution is enough.
+    """
+    least, most = sorted((n1, n2))
+    top = least * most
+    if u <= top / 2:
+        return 1.0 - u_tail(top - math.ceil(u) + 1, n1, n2) if u > 0 else 1.0
+    want = top - math.ceil(u)  # by symmetry P(U <= want)
+    if want < 0:
+        return 0.0
+    ways = np.zeros(want + 1)
+    ways[0] = 1.0
+    for i in range(1, least + 1):
+        reach = most + i
+        if reach <= want:
+            ways[reach:] -= ways[:-reach].copy()
+        for begin in range(min(i, want + 1)):
+            ways[begin::i] = np.cumsum(ways[begin::i])
+    return float(math.exp(math.log(ways.sum()) - math.lgamma(least + most + 1) + math.lgamma(least + 1) + math.lgamma(most + 1)))
 
 
 def mann_whitney(df: DataFrame, value: str, label: str, label_1: str, label_2: str, min_n: int = 3, alpha: float = 0.05, alternative: str = "two-sided") -> DataFrame:
     """One row comparing the values of two labels: sizes, means, medians, U, p, rank-biserial r, effect, outcome.
 
-    Values are counted first, so ranks are running sums over distinct values. p is the tie-corrected
-    normal approximation with continuity correction; with fewer than min_n values on a side U, p and what
-    follows from them are null.
+    Values are counted first, so ranks are running sums over distinct values. With at most 8 values on a side and no ties
+    p is that of the counted distribution of U (up to 10 million cells n1 * n2), else the tie-corrected normal
+    approximation with continuity correction. With fewer than min_n values on a side U, p and what follows from them
+    are null.
     """
     rows = df.where(F.col(label).isin(label_1, label_2) & F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), (F.col(label) == label_1).cast("long").alias("one")).where(~F.isnan("v"))
     counts = rows.groupBy("v").agg(F.sum("one").alias("a"), F.sum(1 - F.col("one")).alias("b"))
@@ -40,16 +68,21 @@ def mann_whitney(df: DataFrame, value: str, label: str, label_1: str, label_2: s
     half = lambda one, n: quantiles(rows.where(f"one = {one}"), "v", [0.5]).agg(F.max(F.col("q")[0]).alias(f"median_{n}"))
     side = lambda one, n: rows.where(f"one = {one}").agg(F.avg("v").alias(f"mean_{n}")).crossJoin(half(one, n))  # noqa: E731 (one row each)
     wide = sums.crossJoin(side(1, 1)).crossJoin(side(0, 2)).select(F.coalesce("n1", F.lit(0)).alias("n1"), F.coalesce("n2", F.lit(0)).alias("n2"), "u", "ties", "mean_1", "mean_2", "median_1", "median_2")
+    wide, _ = materialize(wide, "rank-test")  # one row
+    one = wide.first()
     enough = (F.col("n1") >= min_n) & (F.col("n2") >= min_n)
     n = (F.col("n1") + F.col("n2")).cast("double")
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
     mid = F.col("n1") * F.col("n2") / 2.0
     shift = {"two-sided": F.abs(F.col("u") - mid), "greater": F.col("u") - mid, "less": mid - F.col("u")}[alternative]
     z = F.try_divide(shift - 0.5, sd)
-    factor = 2.0 if alternative == "two-sided" else 1.0
-    p_of = F.udf(lambda x: None if x is None else min(1.0, factor * _tail(x)), "double")  # one row
+    p = F.least(F.lit(1.0), (2.0 if alternative == "two-sided" else 1.0) * normal_tail(z))
+    n1, n2, u = one["n1"], one["n2"], one["u"]
+    if 0 < min(n1, n2) <= 8 and not one["ties"] and n1 * n2 <= COUNTED:
+        tail = u_tail({"two-sided": max(u, n1 * n2 - u), "greater": u, "less": n1 * n2 - u}[alternative], n1, n2)
+        p = F.lit(min(1.0, 2 * tail) if alternative == "two-sided" else tail)
     r = rank_biserial(F.col("u"), F.col("n1"), F.col("n2"))
-    done = wide.select(F.lit(label_1).alias("label_1"), F.lit(label_2).alias("label_2"), "n1", "n2", "mean_1", "mean_2", "median_1", "median_2", F.when(enough, F.col("u")).alias("u"), F.when(enough, p_of(z)).alias("p"), F.when(enough, r).alias("rbc"), F.when(enough, effect_label(r)).alias("effect"))
+    done = wide.select(F.lit(label_1).alias("label_1"), F.lit(label_2).alias("label_2"), "n1", "n2", "mean_1", "mean_2", "median_1", "median_2", F.when(enough, F.col("u")).alias("u"), F.when(enough, p).alias("p"), F.when(enough, r).alias("rbc"), F.when(enough, effect_label(r)).alias("effect"))
     outcome = F.when(F.col("p").isNull(), None).when((F.col("p") >= alpha) | (F.col("rbc") == 0), f"{label_1} ~ {label_2}").when(F.col("rbc") > 0, f"{label_1} > {label_2}").otherwise(f"{label_1} < {label_2}")
     return done.withColumn("alpha", F.lit(alpha)).withColumn("alternative", F.lit(alternative)).withColumn("low_n", (F.col("n1") < min_n) | (F.col("n2") < min_n)).withColumn("outcome", outcome)
 

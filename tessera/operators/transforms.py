@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import quantiles
+from tessera.operators.ranking import vector_quantiles
 
 #: Largest magnitude of a usable column.
 EXTREME = 1e12
@@ -120,8 +120,8 @@ def fit_selector(df: DataFrame, col: str, threshold: float = 1e-3) -> list[int]:
 
 def fit_scaler(df: DataFrame, col: str) -> tuple[list[float], list[float]]:
     """Medians, and the range of the 5th to 95th percentile over that of a unit normal; ranges of 0 count as 1."""
-    rows = quantiles(_long(df, col), "x", [0.05, 0.5, 0.95], ("i",)).orderBy("i").collect()
-    return [r["q"][1] for r in rows], [(r["q"][2] - r["q"][0]) / UNIT_RANGE or 1.0 for r in rows]
+    rows = vector_quantiles(df, col, [0.05, 0.5, 0.95]).values()
+    return [mid for _, mid, _ in rows], [(high - low) / UNIT_RANGE or 1.0 for low, _, high in rows]
 
 
 def apply_scaler(col: str, medians: list[float], scales: list[float]) -> Column:

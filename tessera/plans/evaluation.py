@@ -12,10 +12,10 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.clusters import _numbered
-from tessera.operators.components import connected_components
+from tessera.operators.components import connected_components, minimum_spanning_forest
 from tessera.operators.metrics import average_metrics, classification_metrics, regression_metrics
-from tessera.operators.neighbours import near_pairs
+from tessera.operators.neighbours import BLOCK, near_pairs
+from tessera.operators.ranking import running_sum
 from tessera.operators.splits import InfeasibleSplit, are_folds_balanced, group_kfold_split, minimal_train_test_split
 from tessera.operators.transforms import FeatureTransformer, pick, preset
 from tessera.session import materialize
@@ -176,12 +176,25 @@ def sequential_selection(make_unit, df: DataFrame, features_col: str, n_features
 
 
 def threshold_clusters(df: DataFrame, thresholds: list[float], metric: str = "jaccard", id_col: str = "id", features_col: str = "features"):
-    """(threshold, clusters) in rising order: the pairs are computed once, at the largest threshold."""
-    pairs, _ = materialize(near_pairs(df, max(thresholds), metric, id_col, features_col), "sweep-pairs")
-    for t in sorted(thresholds):
-        parts = connected_components(pairs.where(F.col("distance") <= t))
-        members = df.select(F.col(id_col).cast("long").alias("id")).join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("root"))
-        yield t, _numbered(members, "root").select(F.col("id").alias(id_col), "Cluster")
+    """(threshold, clusters) in rising order, all from one spanning forest.
+
+    The forest of the largest threshold has fewer edges than there are rows, and its edges up to a threshold link the
+    clusters of that. Components of all thresholds are found at once, on rows named by threshold and id.
+    """
+    levels = sorted(thresholds)
+    pairs, _ = materialize(near_pairs(df, levels[-1], metric, id_col, features_col, spanning=True), "sweep-pairs")
+    ids = df.select(F.col(id_col).cast("long").alias("id"))
+    if ids.count() > BLOCK:
+        pairs, _ = materialize(minimum_spanning_forest(pairs), "sweep-forest")
+    level = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("t")) for k, t in enumerate(levels)])).alias("level")
+    edges = pairs.select("*", level).where("distance <= level.t").select(F.struct("level.k", F.col("src").alias("id")).alias("src"), F.struct("level.k", F.col("dst").alias("id")).alias("dst"))
+    parts = connected_components(edges).select(F.col("id.k").alias("k"), F.col("id.id").alias("id"), F.col("component.id").alias("root"))
+    members = ids.select("id", F.explode(F.array(*[F.lit(k) for k in range(len(levels))])).alias("k")).join(parts, ["k", "id"], "left").select("k", "id", F.coalesce("root", "id").alias("root"))
+    members, _ = materialize(members, "sweep-members")
+    numbers = running_sum(members.select("k", "root").distinct(), ["root"], F.lit(1), "__n", ("k",)).select("k", "root", (F.col("__n") - 1).cast("int").alias("Cluster"))
+    numbered, _ = materialize(members.join(numbers, ["k", "root"]), "sweep-clusters")
+    for k, t in enumerate(levels):
+        yield t, numbered.where(F.col("k") == k).select(F.col("id").alias(id_col), "Cluster")
 
 
 def threshold_sweep(df: DataFrame, thresholds: list[float], fraction: float = 0.2, tolerance: float = 0.05, metric: str = "jaccard", id_col: str = "id", features_col: str = "features", evaluate=None, n_folds: int | None = None) -> DataFrame:

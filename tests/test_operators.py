@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import scalars, smiles, text, vectors
+from tessera.functions import distributions, scalars, smiles, text, vectors
 from tessera.functions.distances import METRICS, pairwise
 from tessera.operators import batches, clusters, components, duplicates, metrics, neighbours, ranking, splits, stats, topics, transforms
 from tessera.plans import evaluation, plot_data
@@ -158,6 +158,33 @@ def test_mann_whitney_small_sample(spark):
     assert r["u"] == 400.0 and r["outcome"] == "a > b" and r["effect"] == "Large" and r["p"] < 1e-5
 
 
+def test_u_is_counted_without_ties(spark):
+    from itertools import combinations
+
+    for n1 in range(1, 9):
+        for n2 in range(1, 6):
+            every = [sum(r - k for k, r in enumerate(pick)) for pick in combinations(range(n1 + n2), n1)]
+            for u in range(n1 * n2 + 1):
+                assert stats.u_tail(u, n1, n2) == pytest.approx(sum(x >= u for x in every) / len(every), abs=1e-12)
+    assert stats.u_tail(8 * 5000 * 0.9, 8, 5000) == pytest.approx(stats.u_tail(8 * 5000 * 0.9, 5000, 8)) and 0 < stats.u_tail(8 * 5000, 8, 5000) < 1e-20
+    a, b = [1.1, 2.2, 3.3, 9.0], [4.0, 5.0, 6.0, 7.0, 8.0]
+    df = spark.createDataFrame([("a", v) for v in a] + [("b", v) for v in b], "g string, v double")
+    u = sum(x > y for x in a for y in b)
+    every = [sum(r - k for k, r in enumerate(pick)) for pick in combinations(range(9), 4)]
+    low = sum(x <= u for x in every) / len(every)
+    assert stats.mann_whitney(df, "v", "g", "a", "b").first()["p"] == pytest.approx(2 * low)
+    assert stats.mann_whitney(df, "v", "g", "a", "b", alternative="less").first()["p"] == pytest.approx(low)
+    assert stats.mann_whitney(df, "v", "g", "a", "b", alternative="greater").first()["p"] == pytest.approx(sum(x >= u for x in every) / len(every))
+
+
+def test_normal_tail(spark):
+    from statistics import NormalDist
+
+    zs = [-9.0, -3.1, -3.0, -1.2, -1e-9, 0.0, 0.5, 1.0, 2.9, 2.999, 3.0, 3.001, 5.0, 8.0, 20.0]
+    got = [r[0] for r in spark.createDataFrame([(z,) for z in zs], "z double").select(distributions.normal_tail(F.col("z"))).collect()]
+    assert got == pytest.approx([math.erfc(z / math.sqrt(2)) / 2 for z in zs], rel=1e-11) and NormalDist().cdf(-1.0) == pytest.approx(got[7])
+
+
 def test_random_intercept_recovers(spark):
     rng = np.random.default_rng(0)
     data = [(g, float(x), float(2 + 0.5 * x + b + rng.normal(0, 0.5))) for g, b in enumerate(rng.normal(0, 1.0, 60)) for x in rng.random(20) * 4]

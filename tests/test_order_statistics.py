@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import duplicates, neighbours
-from tessera.operators.ranking import quantiles
-from tessera.plans import plot_data
+from tessera.operators import components, duplicates, neighbours
+from tessera.operators.ranking import quantiles, vector_quantiles
+from tessera.plans import evaluation, plot_data
 
 
 def test_quantiles_equal_numpy(spark):
@@ -50,3 +50,52 @@ def test_normal_quantile(spark):
     ps = [1e-6, 0.01, 0.02425, 0.3, 0.5, 0.77, 0.98, 0.999999]
     got = [r[0] for r in spark.createDataFrame([(p,) for p in ps], "p double").select(plot_data.normal_quantile(F.col("p"))).collect()]
     assert got == pytest.approx([statistics.NormalDist().inv_cdf(p) for p in ps], abs=1e-7)
+
+
+def test_digits_find_the_quantiles(spark):
+    r = random.Random(4)
+    rows = [[r.gauss(0, 1e-3), r.choice((-0.0, 0.0, -1.5)), None if i % 3 else r.uniform(-1e300, 1e300), float("nan"), float(i), 5e-324 * (i % 4)] for i in range(500)] + [None, []]
+    df = spark.createDataFrame([(v,) for v in rows], "v array<double>").repartition(3)
+    ps = [0.0, 0.05, 0.37, 0.5, 0.95, 1.0]
+    got = vector_quantiles(df, "v", ps)
+    assert sorted(got) == [0, 1, 2, 4, 5]
+    for i in got:
+        assert got[i] == pytest.approx(np.quantile([v[i] for v in rows if v and v[i] is not None], ps), rel=1e-12, abs=1e-320)
+    assert vector_quantiles(df.where("size(v) = 0"), "v", ps) == {}
+    assert vector_quantiles(spark.createDataFrame([([7.5],)], "v array<double>"), "v", [0.25]) == {0: [7.5]}
+
+
+def test_forests_link_what_all_pairs_link(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 9)
+    monkeypatch.setattr(evaluation, "BLOCK", 9)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(60, 2)), 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    every = sorted((float(np.linalg.norm(x[i] - x[j])), i, j) for i in range(60) for j in range(i + 1, 60))
+    every = [e for e in every if e[0] <= 0.6]
+
+    def kruskal(edges):
+        root, kept = list(range(60)), []
+        for w, i, j in edges:
+            a, b = i, j
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                kept.append((w, i, j))
+        return kept
+
+    pairs = neighbours.near_pairs(df, 0.6, "euclidean", spanning=True)
+    forest = components.minimum_spanning_forest(pairs)
+    want = kruskal(every)
+    assert sorted((r["src"], r["dst"]) for r in forest.collect()) == sorted((i, j) for _, i, j in want)
+    assert pairs.count() < len(every)
+    whole = components.minimum_spanning_forest(spark.createDataFrame(every, "distance double, src long, dst long"))
+    assert sorted(r["distance"] for r in whole.collect()) == pytest.approx([w for w, _, _ in want])
+    assert components.minimum_spanning_forest(spark.createDataFrame([], "distance double, src long, dst long")).count() == 0
+    for t, clusters in evaluation.threshold_clusters(df, [0.3, 0.6, 0.15], "euclidean"):
+        sizes = 60 - len([w for w, _, _ in want if w <= t])
+        got = [r["Cluster"] for r in clusters.collect()]
+        assert len(got) == 60 and len(set(got)) == sizes and max(got) == sizes - 1
