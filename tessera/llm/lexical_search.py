@@ -83,8 +83,9 @@ def _counted(docs: DataFrame, wanted: bytes, id_col: str, text_col: str) -> Data
 
 
 class Index:
-    """Postings (t, part, row) of the terms that `vocabulary` has, dealt over ranges of (t, part) from the greatest part on; a
-    frequent term's list is in several. terms_ is (term, t, top), top the greatest part; rows is (row, doc)."""
+    """Postings (t, part, row, unit) of the terms that `vocabulary` has, dealt over ranges of (t, part) from the greatest part on;
+    a frequent term's list is in several. A part is at least the term's weight w times the row's unit, which is what one
+    occurrence counts there. terms_ is (term, t, w, top), top the greatest part; rows is (row, doc)."""
 
     def __init__(self, docs: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str) -> None:
         counted, _ = materialize(_counted(docs, _bitmap(vocabulary), id_col, text_col), "lexical-counts")
@@ -97,10 +98,11 @@ class Index:
         weights, _ = materialize(found.select("term", F.monotonically_increasing_id().alias("t"), weight.alias("w")), "lexical-terms")
         long = F.expr(f"50 + (50 * n * {total['rows']}L) div {max(total['terms'], 1)}L")
         part = F.expr("w * ((1000000000 * tf) div (1000 * tf + 20 * m))")
-        scored = held.join(weights, "term").withColumn("m", long).select("t", part.alias("part"), "row").where("part > 0")
+        unit = F.expr("cast(1000000000 div (1000 + 20 * m) as int)").alias("unit")
+        scored = held.join(weights, "term").withColumn("m", long).select("t", part.alias("part"), "row", unit).where("part > 0")
         self.postings, _ = materialize(scored.repartitionByRange("t", F.desc("part"), "row"), "lexical-postings")
         tops = self.postings.groupBy("t").agg(F.max("part").alias("top"))
-        self.terms_, _ = materialize(weights.join(tops, "t").select("term", "t", "top"), "lexical-tops")
+        self.terms_, _ = materialize(weights.join(tops, "t").select("term", "t", "w", "top"), "lexical-tops")
 
     def scores(self, pairs: DataFrame, wanted: DataFrame) -> DataFrame:
         """(q, row, score) of pairs (q, row), looked up in all lists of the query; only postings of such rows are shuffled."""
@@ -147,7 +149,7 @@ def search(items: DataFrame, docs: DataFrame, k: int = 50, item_col: str = "item
         asked, _ = materialize(asked.select("q", "item", F.explode("terms").alias("term")), "lexical-asked")
         vocabulary, _ = materialize(asked.select("term").distinct(), "lexical-vocabulary")
         index = Index(docs, vocabulary, id_col, text_col)
-        wanted, _ = materialize(asked.join(index.terms_, "term").select("q", "t", "top"), "lexical-wanted")
+        wanted, _ = materialize(asked.join(index.terms_, "term").select("q", "t", "w", "top"), "lexical-wanted")
 
         # Heads of the lists, and the score that the k best of the rows leading in them have.
         place = F.row_number().over(Window.partitionBy("t").orderBy(F.desc("part"), "row"))
@@ -156,16 +158,20 @@ def search(items: DataFrame, docs: DataFrame, k: int = 50, item_col: str = "item
         first = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "row"))
         leading, _ = materialize(partial.withColumn("place", first).where(F.col("place") <= SEEDS * k).select("q", "row"), "lexical-heads")
         known, _ = materialize(index.scores(leading, wanted), "lexical-known")
-        cut, _ = materialize(thresholds(wanted, _kth(known, k, "q", "score", "least")), "lexical-cuts")
+        cut, _ = materialize(thresholds(wanted.select("q", "t", "top"), _kth(known, k, "q", "score", "least")).join(wanted.select("q", "t", "w"), ["q", "t"]), "lexical-cuts")
 
         # Every list from its queries' thresholds on. Entries go to their row's task once, whatever queries share them.
         floors = cut.groupBy("t").agg(F.min("cut").alias("floor"))
-        sent = index.postings.join(floors, "t").where("part >= floor").select("t", "part", "row").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row")
+        sent = index.postings.join(floors, "t").where("part >= floor").select("t", "part", "row", "unit").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row")
         met = sent.join(cut, "t").where("part >= cut")
-        seen = met.groupBy("q", "row").agg(F.sum("part").alias("score"), F.sum(F.expr("cut - 1")).alias("bound"), F.first("rest").alias("rest"), F.first("least").alias("least"))
-        # What a row may have in lists that did not send it: no more than the cut allows in each.
-        seen = seen.select("q", "row", "score", (F.col("score") + F.col("rest") - F.col("bound")).alias("most"), "least").where("most >= least")
-        seen, _ = materialize(seen, "lexical-seen")
+        seen = met.groupBy("q", "row").agg(F.sum("part").alias("score"), F.sum(F.expr("cut - 1")).alias("bound"), F.first("rest").alias("rest"), F.first("least").alias("least"), F.first("cut").alias("cut"), F.first("unit").alias("unit"))
+        # What a row may have in lists that did not send it: no more than the cut allows in each, and nothing where one
+        # occurrence would have been sent.
+        seen = seen.where("score + rest - bound >= least")
+        lists = cut.groupBy("q").agg(F.collect_list(F.struct("w", F.expr("least(top, cut - 1)").alias("most"))).alias("lists"))
+        silent = F.aggregate("lists", F.lit(0).cast("long"), lambda a, x: a + F.when(x["w"] * F.col("unit") < F.col("cut"), x["most"]).otherwise(F.lit(0)))
+        seen = seen.join(lists, "q").select("q", "row", "score", (F.col("score") + F.least(F.col("rest") - F.col("bound"), silent)).alias("most"), "least").where("most >= least")
+        seen, _ = materialize(seen.drop("least"), "lexical-seen")
         better = _kth(seen, k, "q", "score", "more")
         near, _ = materialize(seen.join(better, "q", "left").where("most >= coalesce(more, 1)").select("q", "row", "score"), "lexical-candidates")
 
