@@ -29,6 +29,8 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else
 BITS = 1 << 23
 #: Rows for each of the k results that are looked up for the first bound. The bound is the better the more there are.
 SEEDS = 4
+#: The greatest unit there is (of a row much shorter than the mean), and the width of the steps in which bounds regard it.
+UNITS, STEP = 500_000, 4_000
 #: Postings of an Arrow batch.
 FLUSH = 1 << 18
 
@@ -168,9 +170,11 @@ def search(items: DataFrame, docs: DataFrame, k: int = 50, item_col: str = "item
         # What a row may have in lists that did not send it: no more than the cut allows in each, and nothing where one
         # occurrence would have been sent.
         seen = seen.where("score + rest - bound >= least")
-        lists = cut.groupBy("q").agg(F.collect_list(F.struct("w", F.expr("least(top, cut - 1)").alias("most"))).alias("lists"))
-        silent = F.aggregate("lists", F.lit(0).cast("long"), lambda a, x: a + F.when(x["w"] * F.col("unit") < F.col("cut"), x["most"]).otherwise(F.lit(0)))
-        seen = seen.join(lists, "q").select("q", "row", "score", (F.col("score") + F.least(F.col("rest") - F.col("bound"), silent)).alias("most"), "least").where("most >= least")
+        # For each step of units, from its least on: a list is silent in a row where one occurrence counts below the cut.
+        steps = F.array(*[F.sum(F.when(F.col("w") * (i * STEP) < F.col("cut"), F.expr("least(top, cut - 1)")).otherwise(F.lit(0))) for i in range(UNITS // STEP + 1)])
+        silent = cut.groupBy("q").agg(steps.alias("steps"))
+        most = F.col("score") + F.least(F.col("rest") - F.col("bound"), F.get("steps", F.expr(f"unit div {STEP}").cast("int")))
+        seen = seen.join(silent, "q").select("q", "row", "score", most.alias("most"), "least").where("most >= least")
         seen, _ = materialize(seen.drop("least"), "lexical-seen")
         better = _kth(seen, k, "q", "score", "more")
         near, _ = materialize(seen.join(better, "q", "left").where("most >= coalesce(more, 1)").select("q", "row", "score"), "lexical-candidates")
@@ -188,6 +192,6 @@ def search(items: DataFrame, docs: DataFrame, k: int = 50, item_col: str = "item
         if report is not None:
             report["postings"] = wanted.join(index.postings.groupBy("t").count(), "t").agg(F.sum("count")).first()[0] or 0
             report["fetched"] = cut.join(index.postings, "t").where("part >= cut").count()
-            report["candidates"] = near.count()
+            report["seen"], report["candidates"] = seen.count(), near.count()
         keep.append(path)
     return out
