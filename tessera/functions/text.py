@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.stemming import stems
 from tessera.operators.ranking import running_sum
 
 #: A short list of frequent English function words (fixed values).
@@ -19,14 +20,15 @@ PAD, UNKNOWN = "<pad>", "<unk>"
 KINDS = {"alpha": r"^[a-z]+$", "alnum": r"^[a-z0-9]+$", "ascii": r"^[\x00-\x7f]+$"}
 
 
-def tokenize(text: Column, chars: str | None = "alpha", pattern: str | None = None, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
-    """Lower-case words of the text without stop words, of the given kind, and matching pattern if given."""
+def tokenize(text: Column, chars: str | None = "alpha", pattern: str | None = None, stop_words: tuple[str, ...] = STOP_WORDS, stem: bool = False) -> Column:
+    """Lower-case words of the text without stop words, of the given kind, and matching pattern if given; their stems if asked."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     stop = F.array(*[F.lit(w) for w in stop_words])
     out = F.filter(words, lambda w: ~F.array_contains(stop, w)) if stop_words else words
     if chars:
         out = F.filter(out, lambda w: w.rlike(KINDS[chars]))
-    return F.filter(out, lambda w: w.rlike(pattern)) if pattern else out
+    out = F.filter(out, lambda w: w.rlike(pattern)) if pattern else out
+    return stems(out) if stem else out
 
 
 def split_tokens(text: Column, pattern: str = SMILES_TOKEN) -> Column:

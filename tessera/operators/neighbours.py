@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.distances import pairwise
+from tessera.session import materialize
 
 #: Rows of a block. Two blocks of 64-bit components and their matrix fit a task.
 BLOCK = 2_048
@@ -118,18 +119,105 @@ def _first_forest(u: np.ndarray, v: np.ndarray, order: np.ndarray) -> np.ndarray
     return order[np.concatenate(taken)] if taken else np.empty(0, np.int64)
 
 
-def near_pairs(df: DataFrame, threshold: float, metric: str = "jaccard", id_col: str = "id", features_col: str = "features", spanning: bool = False) -> DataFrame:
+#: Rows that cells are built around, at most.
+PIVOTS = 128
+
+
+def _by_pivots(rows: DataFrame, metric: str, threshold: float, blocks: int) -> DataFrame:
+    """rows with `own`, their block, and `partners`, the blocks that may hold a row within the threshold.
+
+    Every row belongs to the nearest of some rows, one a block and PIVOTS at most; a cell has the radius of its furthest row. By the triangle
+    inequality a row has no near row in a cell whose pivot is further than radius plus threshold. Cosine distances are
+    half the squared euclidean ones of unit vectors. At the driver are the pivots and two numbers for each.
+    """
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, blocks)).select("vec").collect()
+    unit = lambda x: _safe_unit(x) if metric == "cosine" else x
+    pivots = np.unique(unit(np.array([r["vec"] for r in chosen], np.float64)), axis=0)
+    reach = (np.sqrt(2 * max(threshold, 0.0)) if metric == "cosine" else threshold) + 1e-7
+
+    def placed(batches):
+        for batch in batches:
+            if batch.num_rows:
+                d = pairwise("euclidean", unit(grid(pa.Table.from_batches([batch]))), pivots)
+                yield d, d.argmin(axis=1), batch
+
+    def radii(batches):
+        for d, cell, _ in placed(batches):
+            own = d[np.arange(len(d)), cell]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots))), pa.array([float(own[cell == c].max(initial=-1.0)) for c in range(len(pivots))]), pa.array(np.bincount(cell, minlength=len(pivots)))], ["cell", "radius", "n"])
+
+    found = {r["cell"]: r for r in rows.mapInArrow(radii, "cell long, radius double, n long").groupBy("cell").agg(F.max("radius").alias("radius"), F.sum("n").alias("n")).collect()}
+    radius = np.array([found[c]["radius"] if c in found else -1.0 for c in range(len(pivots))])
+    parts = np.array([max(1, -(-found[c]["n"] // BLOCK)) if c in found else 1 for c in range(len(pivots))])
+    begin = np.concatenate([[0], np.cumsum(parts)])
+
+    def dealt(batches):
+        for d, cell, batch in placed(batches):
+            ids = batch.column(0).to_numpy()
+            own = begin[cell] + (ids * 2654435761 % 2**32 // 7) % parts[cell]
+            near = (d <= radius + reach) & (radius >= 0)
+            near[np.arange(len(d)), cell] = True
+            partners = [np.concatenate([np.arange(begin[c], begin[c + 1]) for c in np.nonzero(row)[0]]) for row in near]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int32()), pa.array(partners, pa.list_(pa.int32()))], ["id", "vec", "own", "partners"])
+
+    return rows.select("id", "vec").mapInArrow(dealt, "id long, vec array<double>, own int, partners array<int>")
+
+
+def _by_sizes(rows: DataFrame, metric: str, threshold: float) -> DataFrame:
+    """As _by_pivots for 0/1 vectors under jaccard or dice: blocks are ranges of the number of ones.
+
+    Vectors of s and S >= s ones are at least 1 - s / S (jaccard) or 1 - 2 s / (s + S) (dice) apart. At the driver is a count
+    for each number of ones, as many as vectors have components at most.
+    """
+    sized = rows.withColumn("size", F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).cast("int"))
+    least = 1 - threshold if metric == "jaccard" else (1 - threshold) / (1 + threshold)
+    cells, held = [], 0  # (first size, last size, rows)
+    for r in sized.groupBy("size").count().orderBy("size").collect():
+        if cells and held + r["count"] <= BLOCK:
+            cells[-1] = (cells[-1][0], r["size"], held + r["count"])
+        else:
+            cells.append((r["size"], r["size"], r["count"]))
+        held = cells[-1][2]
+    parts = [max(1, -(-n // BLOCK)) for _, _, n in cells]
+    begin = np.concatenate([[0], np.cumsum(parts)])
+    meets = lambda a, b: min(a[1], b[1]) + 1e-9 >= least * max(a[0], b[0])
+    lists = [[int(k) for j, b in enumerate(cells) if meets(a, b) for k in range(begin[j], begin[j + 1])] for a in cells]
+    table = rows.sparkSession.createDataFrame([(a[0], a[1], int(begin[i]), parts[i], lists[i]) for i, a in enumerate(cells)], "low int, high int, at int, parts int, partners array<int>")
+    placed = sized.join(F.broadcast(table), (F.col("size") >= F.col("low")) & (F.col("size") <= F.col("high")))
+    return placed.select("id", "vec", (F.col("at") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("own"), "partners")
+
+
+def _safe_unit(x: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size == 0, 1, size)
+
+
+def near_pairs(df: DataFrame, threshold: float, metric: str = "jaccard", id_col: str = "id", features_col: str = "features", spanning: bool = False, report: dict | None = None) -> DataFrame:
     """(src, dst, distance) with src < dst of the pairs at most `threshold` apart. Two blocks meet once.
 
-    With `spanning` two blocks give only a least spanning forest of their near pairs, as many edges as they have rows at
-    most: for any lower threshold, too, it links what all near pairs link.
+    Where a bound exists (euclidean, cosine, jaccard, dice) and the table has several blocks, blocks are cells of like rows,
+    and a row is sent only to blocks that may hold a near one; otherwise every two blocks meet. With `spanning` two
+    blocks give only a least spanning forest of their near pairs, as many edges as they have rows at most: for any
+    lower threshold, too, it links what all near pairs link. `report` gets the numbers of pairs visited and of all.
     """
     rows = _rows(df, id_col, features_col)
     fitted = _fitted(rows, metric)
-    n = max(1, -(-rows.count() // BLOCK))
-    dealt = rows.withColumn("own", _part(n))
-    left = dealt.select(F.col("own").alias("qb"), F.explode(F.sequence("own", F.lit(n - 1))).alias("rb"), "id", "vec")
-    right = dealt.select(F.explode(F.sequence(F.lit(0), "own")).alias("qb"), F.col("own").alias("rb"), F.col("id").alias("id"), F.col("vec").alias("vec"))
+    total = rows.count()
+    n = max(1, -(-total // BLOCK))
+    if n > 1 and metric in ("euclidean", "cosine"):
+        dealt = _by_pivots(rows, metric, threshold, n)
+    elif n > 1 and metric in ("jaccard", "dice") and 0 <= threshold < 1:
+        dealt = _by_sizes(rows, metric, threshold)
+    else:
+        dealt = rows.withColumns({"own": _part(n), "partners": F.sequence(F.lit(0), F.lit(n - 1))})
+    if n > 1:
+        dealt, _ = materialize(dealt, "near-blocks")
+    left = dealt.select(F.col("own").alias("qb"), F.explode(F.filter("partners", lambda b: b >= F.col("own"))).alias("rb"), "id", "vec")
+    right = dealt.select(F.explode(F.filter("partners", lambda b: b <= F.col("own"))).alias("qb"), F.col("own").alias("rb"), F.col("id").alias("id"), F.col("vec").alias("vec"))
+    if report is not None:
+        met = left.groupBy("qb", "rb").agg(F.count("*").alias("a")).join(right.groupBy("qb", "rb").agg(F.count("*").alias("b")), ["qb", "rb"])
+        report["all"] = total * (total - 1) // 2
+        report["visited"] = int(met.agg(F.sum(F.when(F.col("qb") == F.col("rb"), F.col("a") * (F.col("a") - 1) / 2).otherwise(F.col("a") * F.col("b")))).first()[0] or 0)
 
     def work(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         if not (a.num_rows and b.num_rows):

@@ -18,13 +18,14 @@ from tessera.operators.neighbours import BLOCK, near_pairs
 from tessera.operators.ranking import running_sum
 from tessera.operators.splits import InfeasibleSplit, are_folds_balanced, group_kfold_split, minimal_train_test_split
 from tessera.operators.transforms import FeatureTransformer, pick, preset
+from tessera.plans.nearest import KNeighborsClassifier, KNeighborsRegressor
 from tessera.session import materialize
 
-MODELS = {"RandomForestClassifier": RandomForestClassifier, "GradientBoostingClassifier": GBTClassifier, "LogisticRegression": LogisticRegression, "LinearSVC": LinearSVC, "RandomForestRegressor": RandomForestRegressor, "GradientBoostingRegressor": GBTRegressor, "LinearRegression": LinearRegression}
+MODELS = {"RandomForestClassifier": RandomForestClassifier, "GradientBoostingClassifier": GBTClassifier, "LogisticRegression": LogisticRegression, "LinearSVC": LinearSVC, "RandomForestRegressor": RandomForestRegressor, "GradientBoostingRegressor": GBTRegressor, "LinearRegression": LinearRegression, "KNeighborsClassifier": KNeighborsClassifier, "KNeighborsRegressor": KNeighborsRegressor}
 #: Metrics of which less is better.
 MINIMIZED = ("MAE", "RMSE", "Brier", "ECE")
 #: Search spaces by model: lists are choices, pairs of numbers are ranges.
-SPACES = {"RandomForestClassifier": {"numTrees": [20, 50, 100], "maxDepth": (3, 12)}, "RandomForestRegressor": {"numTrees": [20, 50, 100], "maxDepth": (3, 12)}, "GradientBoostingClassifier": {"maxIter": [10, 20, 40], "maxDepth": (2, 6)}, "GradientBoostingRegressor": {"maxIter": [10, 20, 40], "maxDepth": (2, 6)}, "LogisticRegression": {"regParam": (0.0, 1.0)}, "LinearSVC": {"regParam": (0.0, 1.0)}, "LinearRegression": {"regParam": (0.0, 1.0)}}
+SPACES = {"RandomForestClassifier": {"numTrees": [20, 50, 100], "maxDepth": (3, 12)}, "RandomForestRegressor": {"numTrees": [20, 50, 100], "maxDepth": (3, 12)}, "GradientBoostingClassifier": {"maxIter": [10, 20, 40], "maxDepth": (2, 6)}, "GradientBoostingRegressor": {"maxIter": [10, 20, 40], "maxDepth": (2, 6)}, "LogisticRegression": {"regParam": (0.0, 1.0)}, "LinearSVC": {"regParam": (0.0, 1.0)}, "LinearRegression": {"regParam": (0.0, 1.0)}, "KNeighborsClassifier": {"k": (1, 15)}, "KNeighborsRegressor": {"k": (1, 15)}}
 
 
 def get_model(name: str, **params):
@@ -63,11 +64,11 @@ class Unit:
             scored = scored.withColumn("y_score", vector_to_array("probability")[1] if "probability" in scored.columns else 1 / (1 + F.exp(-margin)))
         return scored.select(*df.columns, F.col("y_pred").alias(out), *(["y_score"] if self.classifies else []))
 
-    def score(self, df: DataFrame, groups: str | None = None) -> DataFrame:
+    def score(self, df: DataFrame, groups: str | None = None, digits: int = 5) -> DataFrame:
         scored = self.predict(df)
         if self.classifies:
-            return classification_metrics(scored, self.target, "y_score", self.weights, groups)
-        return regression_metrics(scored, self.target, "y_pred", self.weights, groups)
+            return classification_metrics(scored, self.target, "y_score", self.weights, groups, digits=digits)
+        return regression_metrics(scored, self.target, "y_pred", self.weights, groups, digits=digits)
 
 
 class Ensemble:
@@ -116,14 +117,14 @@ def tt_evaluate(unit: Unit, df: DataFrame, set_col: str = "Set", groups: str | N
     return unit.score(train, groups).withColumn("Set", F.lit("Training")).union(unit.score(test, groups).withColumn("Set", F.lit("Testing")))
 
 
-def kf_evaluate(make_unit, df: DataFrame, fold_col: str = "Fold", groups: str | None = None) -> tuple[Ensemble, DataFrame, DataFrame]:
+def kf_evaluate(make_unit, df: DataFrame, fold_col: str = "Fold", groups: str | None = None, digits: int = 5) -> tuple[Ensemble, DataFrame, DataFrame]:
     """For each fold fit on the others: (ensemble, metrics by fold, averaged metrics)."""
     units, parts = [], []
     for fold in sorted(r[0] for r in df.select(fold_col).distinct().collect()):
         train, test = df.where(F.col(fold_col) != fold), df.where(F.col(fold_col) == fold)
         unit = make_unit().fit(train)
         units.append(unit)
-        parts += [unit.score(x, groups).withColumns({"Set": F.lit(s), "Unit": F.lit(fold)}) for s, x in (("Training", train), ("Testing", test))]
+        parts += [unit.score(x, groups, digits).withColumns({"Set": F.lit(s), "Unit": F.lit(fold)}) for s, x in (("Training", train), ("Testing", test))]
     metrics, _ = materialize(reduce(DataFrame.union, parts), "kf-metrics")
     return Ensemble(units), metrics, average_metrics(metrics)
 

@@ -357,11 +357,6 @@ def unpivot_metrics(spark, d):
     return wide.unpivot(["event_type"], ["n", "mean", "top"], "Metric", "Value")
 
 
-@query()
-def threshold_sweep(spark, d):
-    return evaluation.threshold_sweep(load(spark, d, "embeddings"), [0.55, 0.6, 0.65, 0.7], 0.2, 0.05, "cosine", "vec_id", "embedding")
-
-
 @query()
 def kfold_regression(spark, d):
     rows = load(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), F.array("l_quantity", "l_discount", "l_tax").alias("x"), F.col("l_extendedprice").alias("y"))
@@ -370,7 +365,7 @@ def kfold_regression(spark, d):
     return mean
 
 
-from tessera import surface_queries  # noqa: E402, F401 (registers more)
+from tessera import method_queries, surface_queries  # noqa: E402, F401 (register more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,6 +16,9 @@ def query(sql: str | None = None):
     """Register a query under its function's name, with SQL that gives the same rows."""
 
     def register(f):
+        if f.__name__ in REGISTRY:
+            raise ValueError(f"{f.__name__} is registered already")
+
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             expose_package(spark)
             return f(spark, sf_dir)

@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Bytes of the batches that Python workers get, so that long texts do not come by the thousand.
 BATCH_BYTES = 8 << 20
-#: Scratch tables that this process has written and not removed.
-_written: list[str] = []
+#: Scratch tables written and not removed, one list for each open scope of this thread (or task of its context).
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -50,7 +51,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete all scratch tables of this application. Frames that read them are void from then on."""
+    """Delete all scratch tables of this application, for the end of a session or of a batch of queries whose results have
+    been read or written. Frames that read scratch tables are void from then on."""
     remove(spark, f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}")
 
 
@@ -62,7 +64,8 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    _written.append(path)
+    for scope in _scopes.get()[-1:]:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -72,25 +75,37 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    if path in _written:
-        _written.remove(path)
+    for scope in _scopes.get():
+        if path in scope:
+            scope.remove(path)
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
-    """Remove at the end every scratch table written within, but for the paths put into the yielded list.
+    """Remove at the end every scratch table written within by this thread, but for the paths put into the yielded list.
 
-    Frames that read the removed tables are void then, so what a caller gets back must read kept ones only.
+    Frames that read the removed tables are void then, so what a caller gets back must read kept ones only; these belong to the
+    scope around, if there is one. After an exception nothing is kept.
     """
-    before, keep = set(_written), []
-    yield keep
-    for path in [p for p in _written if p not in before and p not in keep]:
-        remove(spark, path)
+    own: list[str] = []
+    keep: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
+    failed = True
+    try:
+        yield keep
+        failed = False
+    finally:
+        _scopes.reset(token)
+        for path in list(own):
+            if failed or path not in keep:
+                remove(spark, path)
+            elif _scopes.get():
+                _scopes.get()[-1].append(path)
 
 
 def expose_package(spark: SparkSession) -> None:
     """Let Python workers import this package even if the driver found it by sys.path alone, and get batches of at
-    most BATCH_BYTES, unless the session has a bound of its own."""
+    most BATCH_BYTES, unless the session has a bound of its own. Both settings of the session stay for good."""
     root = str(Path(__file__).resolve().parent.parent)
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)

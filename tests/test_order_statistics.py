@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.distances import pairwise
 from tessera.operators import components, duplicates, neighbours
 from tessera.operators.ranking import quantiles, vector_quantiles
 from tessera.plans import evaluation, plot_data
@@ -91,7 +92,7 @@ def test_forests_link_what_all_pairs_link(spark, monkeypatch):
     forest = components.minimum_spanning_forest(pairs)
     want = kruskal(every)
     assert sorted((r["src"], r["dst"]) for r in forest.collect()) == sorted((i, j) for _, i, j in want)
-    assert pairs.count() < len(every)
+    assert pairs.count() <= len(every)
     whole = components.minimum_spanning_forest(spark.createDataFrame(every, "distance double, src long, dst long"))
     assert sorted(r["distance"] for r in whole.collect()) == pytest.approx([w for w, _, _ in want])
     assert components.minimum_spanning_forest(spark.createDataFrame([], "distance double, src long, dst long")).count() == 0
@@ -99,3 +100,26 @@ def test_forests_link_what_all_pairs_link(spark, monkeypatch):
         sizes = 60 - len([w for w, _, _ in want if w <= t])
         got = [r["Cluster"] for r in clusters.collect()]
         assert len(got) == 60 and len(set(got)) == sizes and max(got) == sizes - 1
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "jaccard", "dice", "cityblock"])
+def test_bounds_lose_no_near_pair(spark, monkeypatch, metric):
+    monkeypatch.setattr(neighbours, "BLOCK", 12)
+    monkeypatch.setattr(neighbours, "PIVOTS", 10)
+    rng = np.random.default_rng(6)
+    if metric in ("jaccard", "dice"):
+        sizes = np.repeat([2, 6, 15, 28], 30)
+        x = np.array([np.isin(np.arange(40), rng.permutation(32)[:s]) for s in sizes], float)
+        x[::7] = x[(np.arange(0, 120, 7) + 3) % 120]
+        x[5] = 0
+    else:
+        x = np.repeat(rng.normal(size=(10, 6)) * 9, 12, axis=0) + rng.normal(size=(120, 6)) * 0.4
+        x[7] = 0
+    df = spark.createDataFrame([(int(i * 31 - 60), v.tolist()) for i, v in enumerate(x)] + [(9999, None)], "id long, features array<double>")
+    threshold = {"euclidean": 1.0, "cosine": 0.01, "jaccard": 0.45, "dice": 0.3, "cityblock": 2.0}[metric]
+    d = pairwise(metric, x, x)
+    want = sorted((i * 31 - 60, j * 31 - 60) for i in range(120) for j in range(i + 1, 120) if d[i, j] <= threshold)
+    report = {}
+    got = sorted((r["src"], r["dst"]) for r in neighbours.near_pairs(df, threshold, metric, report=report).collect())
+    assert got == want and want and report["all"] == 120 * 119 // 2
+    assert report["visited"] == report["all"] if metric == "cityblock" else report["visited"] < report["all"] * 0.7
