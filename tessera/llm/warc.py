@@ -128,6 +128,10 @@ def _write_members(records: DataFrame, path: str, records_per_file: int) -> None
     members.write.mode("append").option("lineSep", "\x00").option("maxRecordsPerFile", records_per_file).text(path)
 
 
+#: A block's length; other digits, or more than any file has, are damage.
+LENGTH = re.compile("[0-9]{1,18}")
+
+
 def _head(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     """The header fields (names in lower case) of the record at that place, and where its block begins."""
     line = VERSION.match(data, at)
@@ -149,7 +153,7 @@ def _checked(data: bytes, at: int) -> tuple[dict | None, int, str]:
     if found is None:
         return None, at, "no record header"
     fields, begin = found
-    if not fields.get("content-length", "").isdigit():
+    if not LENGTH.fullmatch(fields.get("content-length", "")):
         return None, at, "no content length"
     end = begin + int(fields["content-length"])
     if data[end : end + 4] != b"\r\n\r\n":

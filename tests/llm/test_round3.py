@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import lexical_search, merkle, word_bpe
+from tessera.llm import lexical_search, merkle, warc, word_bpe
 
 WORD_FILE = P.path("word_bpe_49k.json")
 
@@ -217,3 +217,32 @@ def test_thresholds_are_the_greatest_that_hold(spark):
         rest = lambda cut: sum(min(cut - 1, t) for t in tops)  # noqa: B023, E731
         cut = max([c for c in range(1, 100) if rest(c) < score] or [1]) if q % 5 else 1
         assert got[q] == (cut, rest(cut))
+
+
+# 3, once more -----------------------------------------------------------------------------------------
+
+
+def test_salvage_survives_damage_at_every_byte(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 3 if i < 3 else "page 1 " * 3) for i in range(4)], "page_id long, url string, html string").coalesce(1)
+    for compression, read in (("none", warc.salvage), ("gzip", warc.salvage_zipped)):
+        warc.write_archives(pages, f"{tmp_path}/{compression}", compression=compression)
+        data = next((tmp_path / compression).glob("part-*")).read_bytes()
+        key = lambda r: (r["record_id"], r["payload"], r["refers_to_id"])
+        whole = list(read(data))
+        assert len(whole) == 4 and not any(r["problem"] for r in whole)
+        if compression == "none":
+            spans = [(r["start"], r["end"]) for r in whole]
+        else:
+            starts = [m[0] for m in warc.unzip(data)]
+            spans = list(zip(starts, [*starts[1:], len(data)], strict=True))
+        for at in range(len(data)):
+            for damaged in (data[:at] + bytes([data[at] ^ 0x45]) + data[at + 1 :], data[:at] + data[at + 1 :], data[:at] + "²9\r\n".encode() + data[at:]):
+                got = {key(r) for r in read(damaged) if not r["problem"]}
+                assert {key(r) for r, (begin, end) in zip(whole, spans, strict=True) if not begin <= at < end} <= got, (compression, at)
+
+
+def test_lengths_that_are_no_numbers_are_damage():
+    for length in ("²", "9" * 5000, "-1", "", "٣"):
+        record = f"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: {length}\r\n\r\nabc\r\n\r\n".encode()
+        good = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+        assert [r["problem"] for r in warc.salvage(record + good)] == ["no content length", None]
