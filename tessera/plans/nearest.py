@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,9 +61,7 @@ class KNeighborsModel:
         out = numbered.join(scored, "__row", "left").drop("__row")
         if not p["classes"]:
             return out.withColumn(p["predictionCol"], F.col("__mean")).drop("__mean")
-        from pyspark.ml.functions import array_to_vector
-
-        both = array_to_vector(F.when(F.col("__mean").isNotNull(), F.array(1 - F.col("__mean"), F.col("__mean"))))
+        both = F.when(F.col("__mean").isNotNull(), array_to_vector(F.array(1 - F.col("__mean"), F.col("__mean"))))
         return out.withColumns({"rawPrediction": both, "probability": both, p["predictionCol"]: (F.col("__mean") > 0.5).cast("double")}).drop("__mean")
 
 

@@ -389,3 +389,28 @@ def test_vocabulary_is_numbered_over_ranges(spark):
     order = sorted(seen, key=lambda w: (-seen[w][0], seen[w][1]))
     want = {"<pad>": 0, "<unk>": len(order) + 1} | {w: k for k, w in enumerate(order, 1)}
     assert {r["token"]: r["id"] for r in got.collect()} == want
+
+
+def test_nearest_neighbour_models(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(90, 3)), 1)
+    y = (x[:, 0] > 0).astype(float)
+    rows = [(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame([*rows, (1000, None, 1.0)], "id long, x array<double>, y double").coalesce(1)
+    train, test = df.where("id % 3 <> 0 AND x IS NOT NULL"), df.where("id % 3 = 0 AND id < 90")
+    known = [i for i in range(90) if i % 3]
+    for weights in ("uniform", "distance"):
+        unit = evaluation.Unit("KNeighborsRegressor", "x", "y", k=4, weights=weights).fit(train)
+        for r in unit.predict(test).collect():
+            d = np.linalg.norm(x[known] - x[r["id"]], axis=1)
+            best = np.lexsort((known, d))[:4]
+            w = np.ones(4) if weights == "uniform" else (d[best] == 0).astype(float) if (d[best] == 0).any() else 1 / d[best]
+            assert r["y_pred"] == pytest.approx((w * y[known][best]).sum() / w.sum())
+    chosen = evaluation.Unit("KNeighborsClassifier", "x", "y", k=3).fit(train)
+    scored = {r["id"]: r for r in chosen.predict(test).collect()}
+    assert len(scored) == 30 and all(r["y_pred"] == float(r["y_score"] > 0.5) for r in scored.values())
+    accuracy = chosen.score(test).where("Metric = 'Accuracy' AND `Group` = 'Overall'").first()["Value"]
+    assert accuracy == pytest.approx(np.mean([scored[i]["y_pred"] == y[i] for i in scored]), abs=1e-5) and accuracy > 0.7
+    with pytest.raises(ValueError, match="uniform"):
+        evaluation.get_model("KNeighborsClassifier", weights="other")

@@ -11,7 +11,7 @@ from tessera import queries as core
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-FAST = ["knn_cross_euclidean", "pairs_jaccard", "random_split", "temporal_split", "minimal_split", "bin_quantile", "collate_strat", "duplicated_mask", "unit_error_screen", "mwu_by_type", "ece", "regression_by_priority", "masked_loss_total_task_group", "robust_scaler", "stop_words", "token_encode_pad", "html_fields", "percent_hist", "metric_canberra", "metric_yule", "fold_manager", "clipped_vectors", "multi_task_metrics", "property_bounds", "article_table", "molecule_flags", "collated_graphs"]
+FAST = ["knn_cross_euclidean", "pairs_jaccard", "random_split", "temporal_split", "minimal_split", "bin_quantile", "collate_strat", "duplicated_mask", "unit_error_screen", "mwu_by_type", "ece", "regression_by_priority", "masked_loss_total_task_group", "robust_scaler", "stop_words", "token_encode_pad", "html_fields", "percent_hist", "metric_canberra", "metric_yule", "fold_manager", "clipped_vectors", "multi_task_metrics", "property_bounds", "article_table", "molecule_flags", "collated_graphs", "term_tests", "mwu_small_samples", "molecule_properties", "logistic_score_equations", "whole_group_folds"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the standard tables are not here")
 
