@@ -29,6 +29,8 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else
 BITS = 1 << 23
 #: Rows for each of the k results that are looked up for the first bound. The bound is the better the more there are.
 SEEDS = 4
+#: Terms of queries, with repeats, that are broadcast: 6 MB of numbers, and as much for the steps of their queries' bounds.
+BROADCAST = 100_000
 #: The greatest unit there is (of a row much shorter than the mean), and the width of the steps in which bounds regard it.
 UNITS, STEP = 500_000, 4_000
 #: Postings of an Arrow batch.
@@ -162,10 +164,12 @@ def search(items: DataFrame, docs: DataFrame, k: int = 50, item_col: str = "item
         known, _ = materialize(index.scores(leading, wanted), "lexical-known")
         cut, _ = materialize(thresholds(wanted.select("q", "t", "top"), _kth(known, k, "q", "score", "least")).join(wanted.select("q", "t", "w"), ["q", "t"]), "lexical-cuts")
 
+        # The terms of all queries go to every task if they are few, so that entries stay with their rows; else by a plain join.
+        small = F.broadcast if cut.count() <= BROADCAST else lambda df: df
         # Every list from its queries' thresholds on. Entries go to their row's task once, whatever queries share them.
         floors = cut.groupBy("t").agg(F.min("cut").alias("floor"))
-        sent = index.postings.join(floors, "t").where("part >= floor").select("t", "part", "row", "unit").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row")
-        met = sent.join(cut, "t").where("part >= cut")
+        sent = index.postings.join(small(floors), "t").where("part >= floor").select("t", "part", "row", "unit").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row")
+        met = sent.join(small(cut), "t").where("part >= cut")
         seen = met.groupBy("q", "row").agg(F.sum("part").alias("score"), F.sum(F.expr("cut - 1")).alias("bound"), F.first("rest").alias("rest"), F.first("least").alias("least"), F.first("cut").alias("cut"), F.first("unit").alias("unit"))
         # What a row may have in lists that did not send it: no more than the cut allows in each, and nothing where one
         # occurrence would have been sent.
@@ -174,13 +178,13 @@ def search(items: DataFrame, docs: DataFrame, k: int = 50, item_col: str = "item
         steps = F.array(*[F.sum(F.when(F.col("w") * (i * STEP) < F.col("cut"), F.expr("least(top, cut - 1)")).otherwise(F.lit(0))) for i in range(UNITS // STEP + 1)])
         silent = cut.groupBy("q").agg(steps.alias("steps"))
         most = F.col("score") + F.least(F.col("rest") - F.col("bound"), F.get("steps", F.expr(f"unit div {STEP}").cast("int")))
-        seen = seen.join(silent, "q").select("q", "row", "score", most.alias("most"), "least").where("most >= least")
+        seen = seen.join(small(silent), "q").select("q", "row", "score", most.alias("most"), "least").where("most >= least")
         seen, _ = materialize(seen.drop("least"), "lexical-seen")
         better = _kth(seen, k, "q", "score", "more")
         near, _ = materialize(seen.join(better, "q", "left").where("most >= coalesce(more, 1)").select("q", "row", "score"), "lexical-candidates")
 
         # Exact scores: the entries of candidates below the thresholds, from the rows that are any.
-        left = possibly_in(index.postings, [F.col("row")], near.select("row")).where("__maybe").join(cut, "t").where("part < cut")
+        left = possibly_in(index.postings, [F.col("row")], near.select("row")).where("__maybe").join(small(cut), "t").where("part < cut")
         below = left.select("q", "row", "part").join(near.select("q", "row"), ["q", "row"], "left_semi")
         exact = near.union(below).groupBy("q", "row").agg(F.sum("score").alias("score"))
         named = exact.join(index.rows, "row")
