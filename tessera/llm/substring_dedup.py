@@ -34,8 +34,11 @@ SPAN = MIN_WORDS - K + 1 - WINDOW - (WINDOW - 1)
 #: Cost of a word of gap in either document; chains are cut at gaps of more than this many words, so an
 #: alignment between two seeds is of LONGEST_GAP + K words at most.
 GAP_COST, LONGEST_GAP = 0.05, 48
-#: Bytes on both sides of a chain into which the alignment may grow.
-MARGIN = 640
+#: Bytes on both sides of a chain into which the alignment may grow: the first of these that holds enough words, else
+#: all that the text has. The seeds of a passage may lie up to WINDOW + K - 2 words inside it; three more words are
+#: asked for, as the first and the last may be cut and white space may come first.
+MARGINS = (640, 10_240, 163_840)
+ENOUGH = r"^(?:[^\x09-\x0D ]*+[\x09-\x0D ]++){%d}" % (WINDOW + K + 1)
 #: Passages that touch are one, also over up to this many words.
 BRIDGE = 5
 
@@ -253,14 +256,14 @@ def grow(a: list[bytes], b: list[bytes]) -> tuple[int, int]:
     return i, equal
 
 
-def _words(piece: bytes, offset: int, begin: int, stop: int) -> tuple[list[bytes], list[bytes], list[bytes]]:
+def _words(piece: bytes, offset: int, more: bool, begin: int, stop: int) -> tuple[list[bytes], list[bytes], list[bytes]]:
     """Words before, in and behind a chain, in lower case. A first or last word that the margin may have cut is
-    left out."""
+    left out; more tells that the text goes on behind the piece."""
     lowered = piece.lower()
     left, right = lowered[: begin - offset].split(), lowered[stop - offset :].split()
     if offset and left and not piece[:1].isspace():
         left = left[1:]
-    if right and offset + len(piece) == stop + MARGIN and not piece[-1:].isspace():
+    if right and more and not piece[-1:].isspace():
         right = right[:-1]
     return left, lowered[begin - offset : stop - offset].split(), right
 
@@ -277,12 +280,12 @@ ALIGNED = ["own", "doc", "source", "word", "words", "begin", "stop", "equal"]
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chains with the texts around their two sides, as parts of passages: those of which enough words align."""
-    asked = ["own", "doc", "source", "pos", "begin", "stop", "src_begin", "src_stop", "at", "src_at", "piece", "src_piece"]
+    asked = ["own", "doc", "source", "pos", "begin", "stop", "src_begin", "src_stop", "at", "src_at", "piece", "offset", "more", "src_piece", "src_offset", "src_more"]
     for batch in batches:
         out = []
-        for own, doc, source, pos, begin, stop, src_begin, src_stop, at, src_at, piece, src_piece in zip(*(batch.column(c).to_pylist() for c in asked), strict=True):
-            left, core, right = _words(piece, max(0, begin - MARGIN), begin, stop)
-            src_left, src_core, src_right = _words(src_piece, max(0, src_begin - MARGIN), src_begin, src_stop)
+        for own, doc, source, pos, begin, stop, src_begin, src_stop, at, src_at, piece, offset, more, src_piece, src_offset, src_more in zip(*(batch.column(c).to_pylist() for c in asked), strict=True):
+            left, core, right = _words(piece, offset, more, begin, stop)
+            src_left, src_core, src_right = _words(src_piece, src_offset, src_more, src_begin, src_stop)
             before, equal_before = grow(left[::-1], src_left[::-1])
             behind, equal_behind = grow(right, src_right)
             words = before + len(core) + behind
@@ -290,7 +293,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             equal = align(core, src_core, at, src_at)
             if 2 * equal >= IDENTITY * (len(core) + len(src_core)):
-                first, last = _bytes_of(piece, max(0, begin - MARGIN), begin, stop, before, behind)
+                first, last = _bytes_of(piece, offset, begin, stop, before, behind)
                 out.append((own, doc, source, pos - before, words, first, last, equal_before + equal + equal_behind))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(ALIGNED))], ALIGNED)
 
@@ -350,6 +353,24 @@ def _parts(texts: DataFrame) -> DataFrame:
     return found.union(_aligned_chains(texts, _as_matches(fresh)))
 
 
+def _margin(there: Column, piece) -> Column:
+    """Bytes of the first of MARGINS that holds enough words, given the bytes there are and piece(bytes)."""
+    chosen = there
+    for n in reversed(MARGINS):
+        chosen = F.when((there <= n) | piece(F.lit(n)).cast("string").rlike(ENOUGH), F.least(there, F.lit(n))).otherwise(chosen)
+    return chosen.cast("int")
+
+
+def _around(sides: DataFrame, key: list[str]) -> DataFrame:
+    """key, side, piece, offset, more: the range `from` to `to` of txt with its margins, where that begins, and whether the
+    text goes on behind it."""
+    begin, stop = F.col("from").cast("int"), F.col("to").cast("int")
+    before = _margin(begin, lambda n: F.substring("txt", F.greatest(begin - n, F.lit(0)) + 1, F.least(n, begin)))
+    behind = _margin(F.octet_length("txt") - stop, lambda n: F.substring("txt", stop + 1, n))
+    wide = sides.select(*key, "side", "txt", (begin - before).alias("offset"), (stop + behind).alias("end"))
+    return wide.select(*key, "side", F.substring("txt", F.col("offset") + 1, F.col("end") - F.col("offset")).alias("piece"), "offset", (F.col("end") < F.octet_length("txt")).alias("more"))
+
+
 def _aligned_chains(texts: DataFrame, matches: DataFrame) -> DataFrame:
     """ALIGNED columns of the chains of these matches, as a written table."""
     with scratch_scope(texts.sparkSession) as keep:
@@ -360,9 +381,9 @@ def _aligned_chains(texts: DataFrame, matches: DataFrame) -> DataFrame:
         sides = F.array(*[F.struct(F.lit(n).alias("side"), F.col(own).alias("at"), F.col(b).alias("from"), F.col(s).alias("to")) for n, own, b, s in ((0, "own", "begin", "stop"), (1, "src", "src_begin", "src_stop"))])
         wanted, _ = materialize(chains.select(*key, F.explode(sides).alias("w")).select(*key, "w.*"), "chain-sides")
         held = possibly_in(texts.select(F.col("own").alias("held"), "txt"), [F.col("held")], wanted.select("at")).where("__maybe").select("held", "txt").dropDuplicates(["held"])
-        piece = F.expr(f"substring(txt, cast(greatest(0, `from` - {MARGIN}) + 1 as int), cast(`to` + {MARGIN} - greatest(0, `from` - {MARGIN}) as int))")
-        cut, _ = materialize(wanted.join(held, F.col("at") == F.col("held")).select(*key, "side", piece.alias("piece")), "chain-texts")
-        one = chains.join(cut.where("side = 0").drop("side"), key).join(cut.where("side = 1").drop("side").withColumnRenamed("piece", "src_piece"), key)
+        cut, _ = materialize(_around(wanted.join(held, F.col("at") == F.col("held")), key), "chain-texts")
+        source = cut.where("side = 1").select(*key, *[F.col(c).alias(f"src_{c}") for c in ("piece", "offset", "more")])
+        one = chains.join(cut.where("side = 0").drop("side"), key).join(source, key)
         parts, path = materialize(one.mapInArrow(_aligned, ", ".join(f"{c} long" for c in ALIGNED)).distinct(), "parts")
         keep.append(path)
     return parts
@@ -394,6 +415,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A document is an id with a text: rows that repeat an id with another text are documents of their
     own, in the order of a hash (source_id may then be the id itself), and rows that repeat both are one.
+    Words may have any length. Chains are cut where LONGEST_GAP words in a row hold no common seed, so a fuzzy copy is
+    lost if every stretch between such gaps has fewer than MIN_WORDS words.
     Where several places of a source fit, the first is taken. Null and short texts have no passages,
     and rows without an id take no part. A text may be as long as Arrow's batches hold; its seeds and
     matches are held in one task. An empty table gives no rows. Other columns are ignored.

@@ -54,6 +54,19 @@ def test_passages_found_and_clean_documents_left(spark):
     assert got[41]["n_words"] >= 100
 
 
+def test_words_of_any_length_are_found_whole(spark):
+    """Exact copies of 55 words of 1 to 2,000 bytes, in texts of such words, are found and reported whole."""
+    r = random.Random(12)
+    for size in (1, 8, 80, 200, 2_000):
+        word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyzäöü", k=max(3, size)) if size > 1 else r.choices("abcdefghijklmnopqrstuvwxyz0123456789äöüßéèàç", k=1))  # noqa: B023, E731
+        around = lambda n: [word() for _ in range(n)]  # noqa: B023, E731
+        passages = [around(55) for _ in range(20)]
+        rows = [(i, " ".join(around(30) + p + around(30))) for i, p in enumerate(passages)] + [(100 + i, " \n".join([*around(20), " ".join(p), *around(40)])) for i, p in enumerate(passages)]
+        got = {g["doc_id"]: g for g in substring_dedup.repeated_passages(docs_of(spark, rows)).collect()}
+        assert set(got) == {100 + i for i in range(20)}, size
+        assert all(g["source_id"] == g["doc_id"] - 100 and g["n_words"] >= 55 for g in got.values()), size
+
+
 def test_chance_holders_of_phrases_do_not_hide_a_passage(spark):
     shared = prose(110, 50).split()
     rows = [(i, " ".join([prose(500 + i, 40), *shared[i : i + 5], prose(600 + i, 40)])) for i in range(46)]
