@@ -20,8 +20,10 @@ from tessera.session import materialize
 LEVELS = (1, 4, 16)
 #: Rows of a candidate block and of a query block: a task holds one of each.
 CANDIDATES, QUERIES = 65_536, 2_048
-#: Pairs that a task looks at together.
-PAIRS = 1 << 17
+#: Pairs whose bounds a task holds together; a 64th of them is scored together.
+PAIRS = 1 << 20
+#: At each level this many times k candidates of a query, those with the highest bounds, are scored first.
+PROBES = 4
 
 
 def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
@@ -34,39 +36,64 @@ def segment_features(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def search_block(query_rows: np.ndarray, q: np.ndarray, cand_rows: np.ndarray, cand_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _products(q: np.ndarray, c: np.ndarray, qi: np.ndarray, ci: np.ndarray) -> np.ndarray:
+    """The inner products of the pairs of rows (qi, ci), exact."""
+    out = np.empty(len(qi), np.int64)
+    for at in range(0, len(qi), PAIRS >> 6):
+        part = slice(at, at + (PAIRS >> 6))
+        out[part] = np.einsum("ij,ij->i", q[qi[part]], c[ci[part]])
+    return out
+
+
+def _reached(q: np.ndarray, c: np.ndarray, kept: np.ndarray, bound: np.ndarray, k: int) -> np.ndarray:
+    """A score that k candidates of each query reach: the k-th of the exact scores of those with the highest bounds."""
+    n = min(PROBES * k, len(kept))
+    if n < k:
+        return np.full(len(q), -np.inf)
+    best = np.argpartition(-bound, n - 1, axis=1)[:, :n]
+    score = np.einsum("qd,qnd->qn", q, c[kept[best]]).astype(np.float64)
+    score[np.isneginf(np.take_along_axis(bound, best, axis=1))] = -np.inf
+    return np.partition(score, n - k, axis=1)[:, n - k]
+
+
+def search_block(query_rows: np.ndarray, q: np.ndarray, cand_rows: np.ndarray, cand_ids: np.ndarray, c: np.ndarray, k: int, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate id, score): the k best candidates of each query within this block. A row is no
-    candidate of itself."""
-    order = np.argsort(cand_ids, kind="stable")
-    cand_rows, cand_ids, c = cand_rows[order], cand_ids[order], c[order]
-    features = [(segment_features(q, s), segment_features(c, s)) for s in LEVELS if s < q.shape[1]]
+    candidate of itself.
+
+    At each level the candidates with the highest bounds are scored exactly, which gives a score that k of them reach;
+    those whose bound is below it go, and the next level looks at the others only. `left`, if given, is an array
+    of len(LEVELS) + 1 numbers to which the pairs at the start and those left after each level are added.
+    """
+    width = q.shape[1]
+    levels = [s for s in LEVELS if s < width] or [1] * min(1, width)
+    features = [(segment_features(q, s), segment_features(c, s)) for s in levels]
     slack = 1.0 + 1e-9 * np.sqrt((q.astype(np.float64) ** 2).sum(1).max(initial=0) * (c.astype(np.float64) ** 2).sum(1).max(initial=0))
-    kth = np.full(len(q), -np.inf)
-    best_q, best_c, best_s = (np.empty(0, np.int64) for _ in range(3))
-    step = max(k, PAIRS // max(1, len(q)))
-    for at in range(0, len(c), step):
-        stop = min(at + step, len(c))
-        qi, ci = (x.ravel() for x in np.meshgrid(np.arange(len(q)), np.arange(at, stop), indexing="ij"))
-        other = query_rows[qi] != cand_rows[ci]
-        qi, ci = qi[other], ci[other]
+    found = []
+    # Queries that are looked at together: neither their bounds nor the vectors they probe take much memory.
+    step = max(1, PAIRS // max(1, len(c), PROBES * k * width >> 3))
+    for at in range(0, len(q), step):
+        own, asks = q[at : at + step], query_rows[at : at + step]
+        kept, alive = np.arange(len(c)), asks[:, None] != cand_rows[None, :]
+        reached = np.full(len(own), -np.inf)
+        counts = [int(alive.sum())]
         for fq, fc in features:
-            if at == 0:
-                break
-            keep = np.einsum("ij,ij->i", fq[qi], fc[ci]) + slack >= kth[qi]
-            qi, ci = qi[keep], ci[keep]
-        score = np.einsum("ij,ij->i", q[qi], c[ci])
-        # Candidates come in the order of their ids, so an equal score found later ranks behind.
-        keep = score > kth[qi]
-        all_q, all_c, all_s = (np.concatenate(x) for x in ((best_q, qi[keep]), (best_c, ci[keep]), (best_s, score[keep])))
-        rank = np.lexsort((all_c, -all_s, all_q))
-        all_q, all_c, all_s = all_q[rank], all_c[rank], all_s[rank]
-        first = np.searchsorted(all_q, all_q, side="left")
-        place = np.arange(len(all_q)) - first
-        top = place < k
-        best_q, best_c, best_s, place = all_q[top], all_c[top], all_s[top], place[top]
-        full = place == k - 1
-        kth[best_q[full]] = best_s[full]
-    return query_rows[best_q], cand_ids[best_c], best_s
+            bound = np.where(alive, fq[at : at + step] @ fc[kept].T + slack, -np.inf)
+            reached = np.maximum(reached, _reached(own, c, kept, bound, k))
+            # An equal score may win by its id, so only those below go.
+            alive &= bound >= reached[:, None]
+            counts.append(int(alive.sum()))
+            some = alive.any(axis=0)
+            kept, alive = kept[some], alive[:, some]
+        if left is not None:
+            left += counts + counts[-1:] * (len(left) - len(counts))
+        qi, ci = np.nonzero(alive)
+        ci = kept[ci]
+        score = _products(own, c, qi, ci)
+        rank = np.lexsort((cand_ids[ci], -score, qi))
+        qi, ci, score = qi[rank], ci[rank], score[rank]
+        top = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") < k
+        found.append((asks[qi[top]], cand_ids[ci[top]], score[top]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.empty(0, np.int64) for _ in range(3))
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0) -> DataFrame:

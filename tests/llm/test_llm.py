@@ -366,6 +366,40 @@ def test_segment_bounds_hold():
         assert (topk.segment_features(q, s) @ topk.segment_features(c, s).T + 1e-6 >= q @ c.T).all()
 
 
+def best_of(q, rows, c, k):
+    s = q @ c.T
+    return [[(int(i), int(s[a, i])) for i in sorted((i for i in range(len(c)) if i != rows[a]), key=lambda i: (-s[a, i], i))[:k]] for a in range(len(q))]
+
+
+@pytest.mark.parametrize(("kind", "at_most"), [("clusters", 0.1), ("random", 1.0)])
+def test_bounds_discard_pairs_and_lose_none(monkeypatch, kind, at_most, capsys):
+    """Vectors around 60 centres that are flat over sixteenths: most pairs go by their bounds. Random ones: as reported."""
+    rng = np.random.default_rng(8)
+    flat = np.repeat(rng.integers(-200, 200, (60, 16)), 4, axis=1)
+    c = flat[rng.integers(0, 60, 3000)] + rng.integers(-9, 10, (3000, 64)) if kind == "clusters" else rng.integers(-200, 200, (3000, 64))
+    c[2000:2040] = c[0]
+    asks = np.arange(0, 3000, 50)
+    for pairs in (1 << 20, 1 << 14):
+        monkeypatch.setattr(topk, "PAIRS", pairs)
+        left = np.zeros(len(topk.LEVELS) + 1, np.int64)
+        rows, ids, score = topk.search_block(asks, c[asks], np.arange(3000), np.arange(3000), c, 10, left)
+        got = [[(int(i), int(s)) for r, i, s in zip(rows, ids, score, strict=True) if r == a] for a in asks]
+        assert got == best_of(c[asks], asks, c, 10)
+        assert left[0] == 60 * 2999 and (np.diff(left) <= 0).all() and left[-1] <= at_most * left[0]
+    with capsys.disabled():
+        print(f"{kind}: pairs left by level {left.tolist()}")
+
+
+@pytest.mark.parametrize("width", [0, 1, 2, 5])
+def test_blocks_of_few_rows_and_narrow_vectors(width):
+    c = np.random.default_rng(width).integers(-3, 4, (7, width))
+    for n in (0, 1, 7):
+        rows, ids, score = topk.search_block(np.arange(7), c, np.arange(n), np.arange(n), c[:n], 10)
+        want = best_of(c, range(7), c[:n], 10)
+        assert [[(int(i), int(s)) for r, i, s in zip(rows, ids, score, strict=True) if r == a] for a in range(7)] == want
+    assert all(len(x) == 0 for x in topk.search_block(np.arange(0), c[:0], np.arange(7), np.arange(7), c, 10))
+
+
 # 6 ----------------------------------------------------------------------------------------------------
 
 
