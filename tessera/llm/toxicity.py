@@ -180,6 +180,12 @@ def _part(column: Column) -> Column:
     return F.pmod(F.xxhash64(column, F.lit("part")), F.lit(5))
 
 
+def _as_word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as the bytes of their word rows, so that no text comes to the driver."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([word_rows(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())], ["__id", "__y", "__w"])
+
+
 def fit_classifier(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> TextCNN:
     """Fit on a bounded sample of labelled documents that are not held out (FIT_ROWS, FIT_BYTES).
 
@@ -195,9 +201,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     for y in (0, 1):
         some = usable.where((F.col("__y") == y) & (_part(F.col("__id")) < 4)).orderBy(F.xxhash64("__id"), "__id").limit(FIT_ROWS)
         picked = some if picked is None else picked.union(some)
-    # Bounded by FIT_ROWS rows of two numbers a class; and then by these rows with FIT_BYTES each.
+    # Bounded by FIT_ROWS rows of two numbers a class; and then by these rows with the numbers of FIT_BYTES of words each.
     met = short.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t")).join(F.broadcast(picked), "__id")
-    rows = met.groupBy("__id", "__y").agg(F.min_by("__t", F.struct(F.xxhash64("__t"), "__t")).alias("__t")).collect()
+    one = met.groupBy("__id", "__y").agg(F.min_by("__t", F.struct(F.xxhash64("__t"), "__t")).alias("__t"))
+    rows = one.mapInArrow(_as_word_rows, "__id long, __y int, __w binary").collect()
     remove(docs.sparkSession, path)
     rows.sort(key=lambda r: r["__id"])
     model = TextCNN.fresh()
@@ -207,9 +214,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
         model.out[...] = 0
         model.out_bias = share(counts.get(1, 0), counts.get(0, 0)) if counts else share(0, 1)
         return model
-    texts = [word_rows(r["__t"]) for r in rows]
+    texts = [np.frombuffer(r["__w"], np.uint16).reshape(-1, 1 + len(STEMS)) for r in rows]
     texts = [t if len(t) else np.zeros((1, 1 + len(STEMS)), np.uint16) for t in texts]
-    del rows
     model.fit(texts, y)
     model.out_bias += share(counts[1], counts[0]) - share(y.sum(), len(y) - y.sum())
     return model
