@@ -827,5 +827,5 @@ def test_stages_take_odd_and_empty_tables(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(names)
