@@ -33,7 +33,10 @@ def histogram(df: DataFrame, value: str, group: str, n_bins: int = 25) -> DataFr
     """(group, bin, n, density) over equal bins between the least and greatest value of all groups."""
     rows = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"))
     ends = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    binned = rows.crossJoin(F.broadcast(ends)).where("hi > lo").select(group, F.least(F.width_bucket("v", "lo", "hi", F.lit(n_bins)), F.lit(n_bins)).cast("int").alias("bin"), ((F.col("hi") - F.col("lo")) / n_bins).alias("width"))
+    # A bin is told by the width that its density has; another order of the divisions puts values at an edge into the next one.
+    width = (F.col("hi") - F.col("lo")) / n_bins
+    place = F.floor((F.col("v") - F.col("lo")) / F.col("width")) + 1
+    binned = rows.crossJoin(F.broadcast(ends)).where("hi > lo").withColumn("width", width).select(group, F.least(place, F.lit(n_bins)).cast("int").alias("bin"), "width")
     counts = binned.groupBy(group, "bin").agg(F.count("*").alias("n"), F.max("width").alias("width"))
     total = F.sum("n").over(Window.partitionBy(group))
     return counts.select(group, "bin", "n", (F.col("n") / total / F.col("width")).alias("density"))
