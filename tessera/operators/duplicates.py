@@ -99,7 +99,9 @@ def _trimmed(values: DataFrame, range_threshold: float, z_threshold: float, how:
             yield pa.RecordBatch.from_arrays([pa.array([key], keys.type), pa.array([_settle(np.concatenate(held), range_threshold, z_threshold, how)], pa.float64())], ["k", "r"])
 
     kind = dict(values.dtypes)["k"]
-    settled = small.select("k", "v").repartition("k").sortWithinPartitions("k", "v").mapInArrow(work, f"k {kind}, r double")
+    # Dealt by a hash of the key: above a join on the key itself the planner drops the exchange, and when that join turns into a
+    # broadcast at run time nothing keeps a key's rows together.
+    settled = small.select("k", "v").repartition(F.xxhash64("k")).sortWithinPartitions("k", "v").mapInArrow(work, f"k {kind}, r double")
     if not some:
         return settled
     return settled.union(_trimmed_by_rounds(values.join(F.broadcast(large), "k", "left_semi"), range_threshold, z_threshold, how))

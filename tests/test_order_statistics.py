@@ -123,3 +123,31 @@ def test_bounds_lose_no_near_pair(spark, monkeypatch, metric):
     got = sorted((r["src"], r["dst"]) for r in neighbours.near_pairs(df, threshold, metric, report=report).collect())
     assert got == want and want and report["all"] == 120 * 119 // 2
     assert report["visited"] == report["all"] if metric == "cityblock" else report["visited"] < report["all"] * 0.7
+
+
+def test_a_key_stays_whole_above_a_join_that_turns_into_a_broadcast(spark, tmp_path):
+    from tessera.sources import tables
+
+    r = random.Random(3)
+    rows = [(f"key {r.randrange(40)}", str(r.randint(200, 700)), "t") for _ in range(20_000)]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(rows, "`Ligand InChI Key` string, `IC50 (nM)` string, `Target Name` string").repartition(8).write.parquet(path)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = {x["dd_key"]: x["pIC50"] for x in tables.preprocess_binding(spark.read.parquet(path)).collect()}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert len(got) == 40
+    assert all(v == pytest.approx(np.mean([-np.log10(float(x) / 1e9) for key, x, _ in rows if f"{key}|t" == k]), abs=1e-9) for k, v in got.items())
+
+
+def test_values_at_the_edge_of_a_bin(spark):
+    # 25 bins from 0 to 400.25, edges as multiples of the width that the density is divided by.
+    width = 400.25 / 25
+    values = [0.0, 400.25, *[k * width for k in range(1, 25)], *[round(k * width, 2) for k in range(1, 25)]]
+    got = {x["bin"]: x["n"] for x in plot_data.histogram(spark.createDataFrame([("a", float(v)) for v in values], "g string, v double"), "v", "g").collect()}
+    bins = [min(int(np.floor(v / width)) + 1, 25) for v in values]
+    assert got == {b: bins.count(b) for b in set(bins)}
