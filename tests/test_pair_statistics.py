@@ -58,3 +58,22 @@ def test_steps_upon_steps(spark):
     finally:
         timer.cancel()
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "seuclidean", "cityblock", "cosine", "sqeuclid"])
+def test_nearest_by_quick_distances_equal_sorted_ones(metric):
+    from tessera.plans.nearest import _nearest
+
+    r = np.random.default_rng(2)
+    x, y = r.normal(size=(40, 5)) + 100, r.normal(size=(300, 5)) + 100
+    y[200:] = y[:100]  # equal distances
+    y[5] = x[3]
+    fitted = y.var(axis=0)
+    rows, at, d = _nearest(metric, x, y, 5, fitted)
+    whole = pairwise(metric, x, y, fitted)
+    best = np.argsort(whole, axis=1, kind="stable")[:, :5]
+    assert rows.tolist() == np.repeat(np.arange(40), 5).tolist()
+    assert d.reshape(40, 5) == pytest.approx(np.take_along_axis(whole, best, axis=1), rel=1e-12)
+    if metric not in ("cosine",):
+        assert at.reshape(40, 5).tolist() == best.tolist()
+    assert len(_nearest(metric, x, y[:3], 5, fitted)[0]) == 120
