@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.distances import BINARY, METRICS, pairwise
-from tessera.operators import neighbours, transforms
+from tessera.operators import clusters, neighbours, transforms
 
 
 @pytest.mark.parametrize("metric", ["canberra", "jensenshannon", "seuclidean", "sqeuclid", "hamming", "braycurtis", "yule"])
@@ -77,3 +77,39 @@ def test_nearest_by_quick_distances_equal_sorted_ones(metric):
     if metric not in ("cosine",):
         assert at.reshape(40, 5).tolist() == best.tolist()
     assert len(_nearest(metric, x, y[:3], 5, fitted)[0]) == 120
+
+
+@pytest.mark.parametrize("limits", [(40, 65_536, 1_000), (200, 3, 1_000), (40, 65_536, 0)])
+def test_butina_steps_equal_the_sequential_rule(spark, monkeypatch, limits):
+    """Copies, bounded steps and leaders sought everywhere give what one leader at a time gives."""
+    for name, value in zip(("LINKS", "CANDIDATES", "APART"), limits, strict=True):
+        monkeypatch.setattr(clusters, name, value)
+    rng = np.random.default_rng(5)
+    x = rng.random((90, 2))
+    x[60:75], x[80:83] = x[7], x[11]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(rng.permutation(90), x, strict=True)] + [(500, None)], "id long, features array<double>")
+    at = {r["id"]: r["features"] for r in df.collect() if r["features"]}
+    left, want = set(at), {500: 500}
+    near = {i: {j for j in at if np.hypot(*np.subtract(at[i], at[j])) <= 0.12} for i in at}
+    while left:
+        lead = min(left, key=lambda i: (-len(near[i] & left), i))
+        for j in near[lead] & left:
+            want[j] = lead
+        left -= near[lead]
+    assert {r["id"]: r["Leader"] for r in clusters.butina_cluster(df, metric="euclidean", threshold=0.12).collect()} == want
+
+
+def test_butina_copies_that_are_not_near_themselves_stay_apart(spark):
+    df = spark.createDataFrame([(i, [0.0, 0.0]) for i in range(3)] + [(8, [1.0, 0.0]), (9, [1.0, 0.0])], "id long, features array<double>")
+    assert {r["id"]: r["Leader"] for r in clusters.butina_cluster(df, metric="cosine", threshold=0.5).collect()} == {0: 0, 1: 1, 2: 2, 8: 8, 9: 8}
+
+
+def test_butina_takes_many_leaders_in_a_step(spark, monkeypatch):
+    """Rows all within two links of each other had one leader a round; now their steps are few."""
+    written = []
+    keep = clusters.materialize
+    monkeypatch.setattr(clusters, "materialize", lambda df, name: written.append(name) or keep(df, name))
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 16)))], "id long, features array<double>")
+    assert clusters.butina_cluster(df, metric="cosine", threshold=0.65).select("Leader").distinct().count() > 20
+    assert written.count("butina-taken") == 1
