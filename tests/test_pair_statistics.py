@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import distances
 from tessera.functions.distances import BINARY, METRICS, pairwise
 from tessera.operators import clusters, neighbours, transforms
 
@@ -113,3 +114,24 @@ def test_butina_takes_many_leaders_in_a_step(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 16)))], "id long, features array<double>")
     assert clusters.butina_cluster(df, metric="cosine", threshold=0.65).select("Leader").distinct().count() > 20
     assert written.count("butina-taken") == 1
+
+
+@pytest.mark.parametrize("metric", [*BINARY, "hamming"])
+def test_distances_of_words_are_those_of_counts(metric):
+    """Looked-up distances of up to 64 bits equal the formula that longer vectors use."""
+    r = np.random.default_rng(8)
+    for n in (1, 7, 64):
+        a, b = ((r.random((m, n)) > 0.4).astype(float) for m in (30, 20))
+        a[0], a[1], b[0], b[1] = 0, 1, 0, 1
+        counts = distances._of_counts(metric, n, a @ b.T, a.sum(1)[:, None], b.sum(1)[None, :])
+        assert (pairwise(metric, a, b) == counts).all()
+        assert len(distances._looked_up(metric, n)) == (n + 1) ** 3
+
+
+def test_cityblock_from_minima_keeps_its_digits(monkeypatch):
+    r = np.random.default_rng(9)
+    a = r.normal(size=(40, 8)) * 1e6
+    b = np.concatenate([a[:10], a[10:20] + 1e-7, r.normal(size=(5, 8))])
+    b[3, 2] = np.nan
+    want = np.abs(a[:, None] - b[None]).sum(-1)
+    assert np.allclose(distances._cityblock(a, b), want, rtol=1e-9, atol=0, equal_nan=True)
