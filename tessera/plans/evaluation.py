@@ -19,7 +19,7 @@ from tessera.operators.ranking import running_sum
 from tessera.operators.splits import InfeasibleSplit, are_folds_balanced, group_kfold_split, minimal_train_test_split
 from tessera.operators.transforms import FeatureTransformer, pick, preset
 from tessera.plans.nearest import KNeighborsClassifier, KNeighborsRegressor
-from tessera.session import materialize
+from tessera.session import materialize, remove
 
 MODELS = {"RandomForestClassifier": RandomForestClassifier, "GradientBoostingClassifier": GBTClassifier, "LogisticRegression": LogisticRegression, "LinearSVC": LinearSVC, "RandomForestRegressor": RandomForestRegressor, "GradientBoostingRegressor": GBTRegressor, "LinearRegression": LinearRegression, "KNeighborsClassifier": KNeighborsClassifier, "KNeighborsRegressor": KNeighborsRegressor}
 #: Metrics of which less is better.
@@ -118,14 +118,19 @@ def tt_evaluate(unit: Unit, df: DataFrame, set_col: str = "Set", groups: str | N
 
 
 def kf_evaluate(make_unit, df: DataFrame, fold_col: str = "Fold", groups: str | None = None, digits: int = 5) -> tuple[Ensemble, DataFrame, DataFrame]:
-    """For each fold fit on the others: (ensemble, metrics by fold, averaged metrics)."""
-    units, parts = [], []
+    """For each fold fit on the others: (ensemble, metrics by fold, averaged metrics).
+
+    The folds are written once: every fit, scaler and score reads them, and none deals the rows anew.
+    """
+    spark, units, parts = df.sparkSession, [], []
+    df, path = materialize(df, "kf-folds")
     for fold in sorted(r[0] for r in df.select(fold_col).distinct().collect()):
         train, test = df.where(F.col(fold_col) != fold), df.where(F.col(fold_col) == fold)
         unit = make_unit().fit(train)
         units.append(unit)
         parts += [unit.score(x, groups, digits).withColumns({"Set": F.lit(s), "Unit": F.lit(fold)}) for s, x in (("Training", train), ("Testing", test))]
     metrics, _ = materialize(reduce(DataFrame.union, parts), "kf-metrics")
+    remove(spark, path)
     return Ensemble(units), metrics, average_metrics(metrics)
 
 
