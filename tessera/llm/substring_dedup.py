@@ -129,6 +129,21 @@ def seed_table(texts: DataFrame) -> DataFrame:
     return texts.select("doc", "own", "txt").mapInArrow(work, SEED)
 
 
+def _hashes(texts: DataFrame) -> DataFrame:
+    """h: the seeds of texts (doc, own, txt), each once a row of texts. Nothing else of a seed leaves the task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                of, h, *_ = seeds_of(batch.column(0).slice(k, 64).to_pylist())
+                order = np.lexsort((h, of))
+                of, h = of[order], h[order]
+                again = (of[1:] == of[:-1]) & (h[1:] == h[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(h[np.append(True, ~again)[: len(h)]], pa.int64())], ["h"])
+
+    return texts.select("txt").mapInArrow(work, "h long")
+
+
 def chain(pos: np.ndarray, src: np.ndarray) -> list[np.ndarray]:
     """Collinear chains of the matches (pos, src), as index arrays in order.
 
@@ -183,47 +198,71 @@ def chain(pos: np.ndarray, src: np.ndarray) -> list[np.ndarray]:
 MATCH = ["own", "src", "doc", "source", "pos", "src_pos", "begin", "stop", "src_begin", "src_stop"]
 CHAIN = [*MATCH, "at", "src_at"]
 CHAIN_KINDS = ", ".join(f"{c} long" for c in MATCH) + ", at array<int>, src_at array<int>"
+#: Matches as they are sorted: two numbers below 2**31 make one long, of the same order.
+PAIRED = [("pos", "src_pos"), ("begin", "stop"), ("src_begin", "src_stop")]
 
 
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains of two seeds or more from matches sorted by text and source: their first match, with the ends of the
-    last, and the places of all matches in words behind the first."""
+def _chained(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chains of two matches or more of the rows of m (as MATCH, sorted by text, source and places, each row once):
+    the numbers of their rows, one chain after the other, and the lengths.
 
-    def chained(m: np.ndarray) -> list[tuple]:
-        out = []
-        cuts = np.flatnonzero((np.diff(m[:, 0]) != 0) | (np.diff(m[:, 1]) != 0)) + 1
-        for a, b in zip(np.append(0, cuts), np.append(cuts, len(m)), strict=True):
-            if b - a < 2:
-                continue
-            # A seed may come by itself and in two runs.
-            g = m[a:b]
-            g = g[np.append(True, (np.diff(g, axis=0) != 0).any(axis=1))]
-            for c in chain(g[:, 4], g[:, 5]):
-                if len(c) > 1:
-                    first, last = g[c[0]], g[c[-1]]
-                    out.append((*first[:7], last[7], first[8], last[9], g[c, 4] - first[4], g[c, 5] - first[5]))
-        return out
-
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [()] * len(CHAIN)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:10]] + [pa.array(c, pa.list_(pa.int32())) for c in columns[10:]], CHAIN)
+    Where the matches of a text and a source rise in both documents, the best predecessor of a match is the one
+    before it, and it is linked if the words between cost less than K; then chains are what lies between gaps of more than
+    LONGEST_GAP words. Only other matches go through the tree of chain().
+    """
+    step = np.diff(m[:, [0, 1, 4, 5]], axis=0)
+    inner = (step[:, 0] == 0) & (step[:, 1] == 0)
+    far = np.maximum(step[:, 2], step[:, 3]) > LONGEST_GAP + K
+    plain = (step[:, 2] > 0) & (step[:, 3] > 0) & (far | (GAP_COST * (step[:, 2] + step[:, 3] + 1) <= K))
+    group = np.cumsum(np.append(0, ~inner))
+    crossed = np.zeros(group[-1] + 1, bool)
+    crossed[group[1:][inner & ~plain]] = True
+    begins = np.flatnonzero(np.append(True, ~inner | far))
+    lengths = np.diff(np.append(begins, len(m)))
+    # Pieces of crossed groups are taken from the tree, all others are chains as they are.
+    whole = (lengths > 1) & ~crossed[group[begins]]
+    rows, counts = [np.flatnonzero(np.repeat(whole, lengths))], [lengths[whole]]
+    starts = np.flatnonzero(np.append(True, ~inner))
+    ends = np.append(starts[1:], len(m))
+    for g in np.flatnonzero(crossed):
+        for c in chain(m[starts[g] : ends[g], 4], m[starts[g] : ends[g], 5]):
+            if len(c) > 1:
+                rows.append(c + starts[g])
+                counts.append(np.array([len(c)]))
+    return np.concatenate(rows), np.concatenate(counts)
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chains of two seeds or more from matches (four ids and PAIRED) sorted by text and source: their first match, with the
+    ends of the last, and the places of all matches in words behind the first."""
+
+    def table(m: np.ndarray) -> pa.RecordBatch:
+        # A seed may come by itself and in two runs.
+        m = m[np.append(True, (np.diff(m[:, [0, 1, 4, 5]], axis=0) != 0).any(axis=1))]
+        rows, counts = _chained(m)
+        to = np.cumsum(counts)
+        first, last = m[rows[to - counts]], m[rows[to - 1]]
+        first[:, [7, 9]] = last[:, [7, 9]]
+        behind = [pa.ListArray.from_arrays(pa.array(np.append(0, to), pa.int32()), pa.array(m[rows, c] - np.repeat(first[:, c], counts), pa.int32())) for c in (4, 5)]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in first.T), *behind], CHAIN)
 
     # The matches of a text are held until its last one has come; they are as many as its seeds and runs at most.
     held: list[np.ndarray] = []
     for batch in batches:
-        now = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
+        ids, pairs = [c.to_numpy() for c in batch.columns[:4]], [c.to_numpy() for c in batch.columns[4:]]
+        now = np.stack([*ids, *(x for p in pairs for x in (p >> 32, p & 0xFFFFFFFF))], axis=1)
         if not len(now):
             continue
         whole = np.flatnonzero(now[:, 0] != now[-1, 0])
         cut = whole[-1] + 1 if len(whole) else 0
         if held and (cut or held[0][0, 0] != now[0, 0]):
-            yield table(chained(np.concatenate([*held, now[:cut]])))
+            yield table(np.concatenate([*held, now[:cut]]))
             held = []
         elif cut:
-            yield table(chained(now[:cut]))
+            yield table(now[:cut])
         held.append(now[cut:])
     if held:
-        yield table(chained(np.concatenate(held)))
+        yield table(np.concatenate(held))
 
 
 def common_words(a: list[bytes], b: list[bytes]) -> int:
@@ -252,9 +291,8 @@ _SKIPS = ((1, 1), (0, 1), (1, 0), (2, 2), (1, 2), (2, 1), (0, 2), (2, 0))
 AGAIN = 3
 
 
-def grow(a: list[bytes], b: list[bytes]) -> tuple[int, int]:
-    """How far two word runs go on alike: words taken from a, and words equal. One or two words may be changed,
-    missing or added where the AGAIN words behind are equal."""
+def _grow(a: list[bytes], b: list[bytes]) -> tuple[int, int, int]:
+    """Words taken from a, from b, and words equal, as grow() takes them."""
     i, j, equal = 0, 0, 0
     while i < len(a) and j < len(b):
         if a[i] == b[j]:
@@ -267,19 +305,40 @@ def grow(a: list[bytes], b: list[bytes]) -> tuple[int, int]:
                 break
         else:
             break
+    return i, j, equal
+
+
+def grow(a: list[bytes], b: list[bytes]) -> tuple[int, int]:
+    """How far two word runs go on alike: words taken from a, and words equal. One or two words may be changed,
+    missing or added where the AGAIN words behind are equal."""
+    i, _, equal = _grow(a, b)
     return i, equal
 
 
-def _words(piece: bytes, offset: int, more: bool, begin: int, stop: int) -> tuple[list[bytes], list[bytes], list[bytes]]:
-    """Words before, in and behind a chain, in lower case. A first or last word that the margin may have cut is
-    left out; more tells that the text goes on behind the piece."""
-    lowered = piece.lower()
-    left, right = lowered[: begin - offset].split(), lowered[stop - offset :].split()
-    if offset and left and not piece[:1].isspace():
-        left = left[1:]
-    if right and more and not piece[-1:].isspace():
-        right = right[:-1]
-    return left, lowered[begin - offset : stop - offset].split(), right
+#: Words of a margin that are looked at first, and how many of these decide at a place: what is skipped and AGAIN words.
+NEAR, AHEAD = 16, 2 + AGAIN
+
+
+def _grown(a: bytes, b: bytes, back: bool, cut_a: bool, cut_b: bool) -> tuple[int, int]:
+    """grow() over the words of two margins, backwards if `back`. A cut margin's outermost word is left out unless white
+    space ends it. The nearest words are split off first, all only if these do not decide."""
+    a, b = a.lower(), b.lower()
+
+    def words(margin: bytes, cut: bool, most: int) -> tuple[list[bytes], bool]:
+        found = margin.rsplit(None, most) if back else margin.split(None, most)
+        if back:
+            found.reverse()
+        if most >= 0 and len(found) > most:
+            return found[:most], False
+        if cut and found and not (margin[:1] if back else margin[-1:]).isspace():
+            found.pop()
+        return found, True
+
+    (near, all_a), (src_near, all_b) = words(a, cut_a, NEAR), words(b, cut_b, NEAR)
+    i, j, equal = _grow(near, src_near)
+    if (all_a or i + AHEAD <= len(near)) and (all_b or j + AHEAD <= len(src_near)):
+        return i, equal
+    return grow(words(a, cut_a, -1)[0], words(b, cut_b, -1)[0])
 
 
 def _bytes_of(piece: bytes, offset: int, begin: int, stop: int, before: int, behind: int) -> tuple[int, int]:
@@ -294,19 +353,23 @@ ALIGNED = ["own", "doc", "source", "word", "words", "begin", "stop", "equal"]
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chains with the texts around their two sides, as parts of passages: those of which enough words align."""
-    asked = ["own", "doc", "source", "pos", "begin", "stop", "src_begin", "src_stop", "at", "src_at", "piece", "offset", "more", "src_piece", "src_offset", "src_more"]
+    asked = ["own", "doc", "source", "pos", "begin", "stop", "src_begin", "src_stop", "piece", "offset", "more", "src_piece", "src_offset", "src_more"]
     for batch in batches:
         out = []
-        for own, doc, source, pos, begin, stop, src_begin, src_stop, at, src_at, piece, offset, more, src_piece, src_offset, src_more in zip(*(batch.column(c).to_pylist() for c in asked), strict=True):
-            left, core, right = _words(piece, offset, more, begin, stop)
-            src_left, src_core, src_right = _words(src_piece, src_offset, src_more, src_begin, src_stop)
-            before, equal_before = grow(left[::-1], src_left[::-1])
-            behind, equal_behind = grow(right, src_right)
-            words = before + len(core) + behind
+        at, src_at, counts = batch.column("at").flatten().to_numpy(), batch.column("src_at").flatten().to_numpy(), batch.column("at").value_lengths().to_numpy()
+        to = np.cumsum(counts)
+        # From the first word of the first seed to the last of the last.
+        cores = (at[to - 1] + K).tolist()
+        for n, (own, doc, source, pos, begin, stop, src_begin, src_stop, piece, offset, more, src_piece, src_offset, src_more) in enumerate(zip(*(batch.column(c).to_pylist() for c in asked), strict=True)):
+            before, equal_before = _grown(piece[: begin - offset], src_piece[: src_begin - src_offset], True, offset > 0, src_offset > 0)
+            behind, equal_behind = _grown(piece[stop - offset :], src_piece[src_stop - src_offset :], False, more, src_more)
+            words = before + cores[n] + behind
             if words < MIN_WORDS:
                 continue
-            equal = align(core, src_core, at, src_at)
-            if 2 * equal >= IDENTITY * (len(core) + len(src_core)):
+            own_words, src_words = piece[begin - offset : stop - offset].lower().split(), src_piece[src_begin - src_offset : src_stop - src_offset].lower().split()
+            places = slice(to[n] - counts[n], to[n])
+            equal = align(own_words, src_words, at[places].tolist(), src_at[places].tolist())
+            if 2 * equal >= IDENTITY * (len(own_words) + len(src_words)):
                 first, last = _bytes_of(piece, offset, begin, stop, before, behind)
                 out.append((own, doc, source, pos - before, words, first, last, equal_before + equal + equal_behind))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(ALIGNED))], ALIGNED)
@@ -333,7 +396,8 @@ def _parts(texts: DataFrame) -> DataFrame:
     First each seed and each run meets the first text that has it. The first holder of a run may have less of the
     passage than a later one, so runs that are in no part then meet the text before that has them.
     """
-    shared = seed_table(texts).select("h", "own").groupBy("h").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("h")
+    # Rows that repeat a text with its id count as two here, which lets their seeds go on and meet themselves.
+    shared = _hashes(texts).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     shared, _ = materialize(shared, "seeds-shared")
     # Seeds are made again rather than written: most are in one text only, and these go here.
     seeds = possibly_in(seed_table(texts), [F.col("h")], shared, MANY).where("__maybe").drop("__maybe")
@@ -388,7 +452,8 @@ def _around(sides: DataFrame, key: list[str]) -> DataFrame:
 def _aligned_chains(texts: DataFrame, matches: DataFrame) -> DataFrame:
     """ALIGNED columns of the chains of these matches, as a written table."""
     with scratch_scope(texts.sparkSession) as keep:
-        dealt = matches.repartition("own").sortWithinPartitions("own", "src", "pos", "src_pos")
+        pairs = [F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b).cast("long")).alias(a) for a, b in PAIRED]
+        dealt = matches.select(*MATCH[:4], *pairs).repartition("own").sortWithinPartitions("own", "src", "pos")
         chains, _ = materialize(dealt.mapInArrow(_chains, CHAIN_KINDS), "chains")
         # Both sides of a chain are cut out of their texts in one join; texts without a chain are not moved.
         key = ["own", "src", "pos", "src_pos"]
