@@ -1,10 +1,13 @@
 """Blocks of whose rows only the best leave, and what the steps leave on disk."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.functions.distances import pairwise
 from tessera.operators import neighbours
 
@@ -67,3 +70,15 @@ def test_copies_of_a_row_do_not_grow_with_the_table(spark):
     for n in (30_000, 60_000):
         rows = spark.range(n).select("id", F.array(F.col("id").cast("float")).alias("vec"))
         assert neighbours.by_blocks(rows, rows, one, "n long").count() <= (1 + (8 * cores) ** 0.5) ** 2
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses
+    before = set(manager().keys().toList().mkString(",").split(","))
+    df, _ = session.materialize(spark.range(1000).repartition(4, F.col("id") % 7), "shuffled")
+    for _ in range(50):
+        left = set(manager().keys().toList().mkString(",").split(",")) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and df.count() == 1000
