@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokenize
-from tessera.operators.duplicates import check_unit_error, mad_duplicates
+from tessera.operators.duplicates import check_unit_error, mad_duplicates, value_stats
+from tessera.session import materialize
 
 READERS = {
     "csv": lambda r, p: r.option("header", True).option("inferSchema", True).csv(p),
@@ -77,9 +78,12 @@ def p_value(micromolar: Column) -> Column:
 
 
 def _resolved(df: DataFrame, key: str, value: str, range_threshold: float, z_threshold: float) -> DataFrame:
-    wrong = check_unit_error(df, key, value).where("unit_error").select(F.col(key).alias("__w"))
+    """One row a key. Screen and resolution share one pass over the rows, which gives the bounds and the mean of each key."""
+    stats, _ = materialize(value_stats(df, key, value), "key-stats")
+    wrong = check_unit_error(df, key, value, stats=stats).where("unit_error").select(F.col(key).alias("__w"))
     clean = df.join(wrong, F.col(key) == F.col("__w"), "left_anti")
-    return mad_duplicates(clean, key, value, range_threshold, z_threshold).where(F.col(value).isNotNull()).dropDuplicates([key])
+    right = stats.join(wrong, F.col("k") == F.col("__w"), "left_anti")
+    return mad_duplicates(clean, key, value, range_threshold, z_threshold, right).where(F.col(value).isNotNull()).dropDuplicates([key])
 
 
 def preprocess_binding(df: DataFrame, activity: str = "IC50 (nM)", key: str = "Ligand InChI Key", target: str = "Target Name", range_threshold: float = 1.0, z_threshold: float = 3.5) -> DataFrame:
