@@ -64,11 +64,14 @@ class Unit:
             scored = scored.withColumn("y_score", vector_to_array("probability")[1] if "probability" in scored.columns else 1 / (1 + F.exp(-margin)))
         return scored.select(*df.columns, F.col("y_pred").alias(out), *(["y_score"] if self.classifies else []))
 
-    def score(self, df: DataFrame, groups: str | None = None, digits: int = 5) -> DataFrame:
-        scored = self.predict(df)
+    def metrics(self, scored: DataFrame, groups: str | None = None, digits: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+        """Of rows with a prediction or score, for each value of `by`."""
         if self.classifies:
-            return classification_metrics(scored, self.target, "y_score", self.weights, groups, digits=digits)
-        return regression_metrics(scored, self.target, "y_pred", self.weights, groups, digits=digits)
+            return classification_metrics(scored, self.target, "y_score", self.weights, groups, digits=digits, by=by)
+        return regression_metrics(scored, self.target, "y_pred", self.weights, groups, digits=digits, by=by)
+
+    def score(self, df: DataFrame, groups: str | None = None, digits: int = 5) -> DataFrame:
+        return self.metrics(self.predict(df), groups, digits)
 
 
 class Ensemble:
@@ -117,19 +120,34 @@ def tt_evaluate(unit: Unit, df: DataFrame, set_col: str = "Set", groups: str | N
     return unit.score(train, groups).withColumn("Set", F.lit("Training")).union(unit.score(test, groups).withColumn("Set", F.lit("Testing")))
 
 
+def _predicted_by_each(units: list[Unit], folds: list, df: DataFrame, fold_col: str, *kept: str) -> DataFrame:
+    """The rows of df once for each unit, with its fold as Unit, their Set for it and its prediction or score, in one pass over df."""
+    features, told = units[0].features, "y_score" if units[0].classifies else "y_pred"
+    now = df.withColumn("__features", F.col(features))
+    for i, unit in enumerate(units):
+        # A transformer puts its output in place of the features.
+        now = unit.predict(now.withColumn(features, F.col("__features")), f"__p{i}")
+        if unit.classifies:
+            now = now.withColumnRenamed("y_score", f"__s{i}")
+    mark = "s" if units[0].classifies else "p"
+    part = lambda fold: F.when(F.col(fold_col) == fold, "Testing").otherwise("Training")
+    each = [F.struct(F.lit(fold).alias("Unit"), part(fold).alias("Set"), F.col(f"__{mark}{i}").alias(told)) for i, fold in enumerate(folds)]
+    return now.select(*kept, F.explode(F.array(*each)).alias("of")).select(*kept, "of.*")
+
+
 def kf_evaluate(make_unit, df: DataFrame, fold_col: str = "Fold", groups: str | None = None, digits: int = 5) -> tuple[Ensemble, DataFrame, DataFrame]:
     """For each fold fit on the others: (ensemble, metrics by fold, averaged metrics).
 
-    The folds are written once: every fit, scaler and score reads them, and none deals the rows anew.
+    The folds are written once: every fit and scaler reads them, and none deals the rows anew. All units are scored on
+    both of their sets in one pass.
     """
-    spark, units, parts = df.sparkSession, [], []
+    spark = df.sparkSession
     df, path = materialize(df, "kf-folds")
-    for fold in sorted(r[0] for r in df.select(fold_col).distinct().collect()):
-        train, test = df.where(F.col(fold_col) != fold), df.where(F.col(fold_col) == fold)
-        unit = make_unit().fit(train)
-        units.append(unit)
-        parts += [unit.score(x, groups, digits).withColumns({"Set": F.lit(s), "Unit": F.lit(fold)}) for s, x in (("Training", train), ("Testing", test))]
-    metrics, _ = materialize(reduce(DataFrame.union, parts), "kf-metrics")
+    folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
+    units = [make_unit().fit(df.where(F.col(fold_col) != fold)) for fold in folds]
+    kept = dict.fromkeys(c for c in (units[0].target, units[0].weights, groups) if c)
+    found = units[0].metrics(_predicted_by_each(units, folds, df, fold_col, *kept), groups, digits, ("Set", "Unit"))
+    metrics, _ = materialize(found.select("Group", "Metric", "Value", "Set", "Unit"), "kf-metrics")
     remove(spark, path)
     return Ensemble(units), metrics, average_metrics(metrics)
 
