butina_kfold: rows meet in as many blocks as cores need, and are sent once to each

Symptom: shuffle and CPU seconds grew much faster than the rows, as blocks had 4,096 rows whatever the table, each row was sent to all others and twice to its own, and pivots that no row is far from split the table into more and uneven blocks.
Evidence: from 10,256 to 51,282 vectors shuffle went from 17 to 236 MB (power 1.63) and tasks from 475 to 1506 CPU seconds a GB (power 1.72); 923,076 copies of 51,282 rows were sent, and 811,543 lists of near rows written and read in each step.
Fix: blocks grow with the table until LARGE_BLOCK, so copies depend on the cores; a task yields its lists whenever it holds 262,144 pairs instead of all at once, so denser blocks need less memory than before. Rows go into even blocks where no pivot leaves one out. Lists tell how many links and rows they have, so that degrees read no list.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 541 -> 385 s, shuffle 1.87 -> 0.61 GB, spill 0.00 -> 0.00 GB, read 1.39 -> 0.85 GB, longest task 6 -> 6 s, most memory of a task 235 -> 117 MB; at 6 GB of input CPU 15768 -> 13549 s, shuffle 45.96 -> 6.06 GB, spill 0.00 -> 0.00 GB, read 177.40 -> 115.20 GB, longest task 31 -> 51 s, most memory of a task 436 -> 268 MB; with hot keys, at 1 GB of input CPU 298 -> 287 s, shuffle 0.44 -> 0.27 GB, spill 0.00 -> 0.00 GB, read 0.35 -> 0.31 GB, longest task 5 -> 3 s, most memory of a task 208 -> 117 MB.

@@ -7,10 +7,12 @@ block: statistics, near pairs, or (distance_matrix) all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -231,14 +233,15 @@ def _first_forest(u: np.ndarray, v: np.ndarray, order: np.ndarray) -> np.ndarray
 PIVOTS = 128
 
 
-def _by_pivots(rows: DataFrame, metric: str, threshold: float, blocks: int, block: int) -> DataFrame:
+def _by_pivots(rows: DataFrame, metric: str, threshold: float, cells: int, block: int) -> DataFrame | None:
     """rows with `own`, their block, and `partners`, the blocks that may hold a row within the threshold.
 
-    Every row belongs to the nearest of some rows, one a block and PIVOTS at most; a cell has the radius of its furthest row. By the triangle
+    Every row belongs to the nearest of some rows, `cells` and PIVOTS at most; a cell has the radius of its furthest row. By the triangle
     inequality a row has no near row in a cell whose pivot is further than radius plus threshold. Cosine distances are
-    half the squared euclidean ones of unit vectors. At the driver are the pivots and two numbers for each.
+    half the squared euclidean ones of unit vectors. At the driver are the pivots and three numbers for each. None where no row is
+    that far from any pivot: cells would only be uneven blocks.
     """
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, blocks)).select("vec").collect()
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, cells)).select("vec").collect()
     unit = lambda x: _safe_unit(x) if metric == "cosine" else x
     pivots = np.unique(unit(np.array([r["vec"] for r in chosen], np.float64)), axis=0)
     reach = (np.sqrt(2 * max(threshold, 0.0)) if metric == "cosine" else threshold) + 1e-7
@@ -252,12 +255,15 @@ def _by_pivots(rows: DataFrame, metric: str, threshold: float, blocks: int, bloc
     def radii(batches):
         for d, cell, _ in placed(batches):
             own = d[np.arange(len(d)), cell]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots))), pa.array([float(own[cell == c].max(initial=-1.0)) for c in range(len(pivots))]), pa.array(np.bincount(cell, minlength=len(pivots)))], ["cell", "radius", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots))), pa.array([float(own[cell == c].max(initial=-1.0)) for c in range(len(pivots))]), pa.array(np.bincount(cell, minlength=len(pivots))), pa.array(d.max(axis=0))], ["cell", "radius", "n", "most"])
 
-    found = {r["cell"]: r for r in rows.mapInArrow(radii, "cell long, radius double, n long").groupBy("cell").agg(F.max("radius").alias("radius"), F.sum("n").alias("n")).collect()}
+    found = {r["cell"]: r for r in rows.mapInArrow(radii, "cell long, radius double, n long, most double").groupBy("cell").agg(F.max("radius").alias("radius"), F.sum("n").alias("n"), F.max("most").alias("most")).collect()}
+    if found and all(r["radius"] >= 0 and r["most"] <= r["radius"] + reach for r in found.values()):
+        return None
     radius = np.array([found[c]["radius"] if c in found else -1.0 for c in range(len(pivots))])
     parts = np.array([max(1, -(-found[c]["n"] // block)) if c in found else 1 for c in range(len(pivots))])
     begin = np.concatenate([[0], np.cumsum(parts)])
+    cell_of = np.repeat(np.arange(len(pivots)), parts)
 
     def dealt(batches):
         for d, cell, batch in placed(batches):
@@ -265,8 +271,10 @@ def _by_pivots(rows: DataFrame, metric: str, threshold: float, blocks: int, bloc
             own = begin[cell] + (ids * 2654435761 % 2**32 // 7) % parts[cell]
             near = (d <= radius + reach) & (radius >= 0)
             near[np.arange(len(d)), cell] = True
-            partners = [np.concatenate([np.arange(begin[c], begin[c + 1]) for c in np.nonzero(row)[0]]) for row in near]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), pa.array(partners, pa.list_(pa.int32()))], [*batch.schema.names, "own", "partners"])
+            met = near[:, cell_of]
+            ends = np.concatenate([[0], np.cumsum(met.sum(axis=1))])
+            partners = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(met)[1], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), partners], [*batch.schema.names, "own", "partners"])
 
     return rows.mapInArrow(dealt, ", ".join([*(f"{name} {kind}" for name, kind in rows.dtypes), "own int", "partners array<int>"]))
 
@@ -300,15 +308,23 @@ def _safe_unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(size == 0, 1, size)
 
 
+def _dealt(rows: DataFrame, metric: str, threshold: float, cells: int, block: int, total: int) -> DataFrame:
+    """rows with `own`, their block of about `block` rows, and `partners`, the blocks that may hold a near row."""
+    dealt = None
+    if cells > 1 and metric in ("euclidean", "cosine"):
+        dealt = _by_pivots(rows, metric, threshold, cells, block)
+    elif cells > 1 and metric in ("jaccard", "dice") and 0 <= threshold < 1:
+        dealt = _by_sizes(rows, metric, threshold, block)
+    if dealt is None:
+        n = max(1, -(-total // block))
+        dealt = rows.withColumns({"own": _part(n), "partners": F.sequence(F.lit(0), F.lit(n - 1))})
+    return dealt
+
+
 def _near_blocks(rows: DataFrame, metric: str, threshold: float, total: int, block: int) -> tuple[DataFrame, DataFrame]:
     """Both sides of the pairs of blocks (qb <= rb) that may hold a near pair."""
     n = max(1, -(-total // block))
-    if n > 1 and metric in ("euclidean", "cosine"):
-        dealt = _by_pivots(rows, metric, threshold, n, block)
-    elif n > 1 and metric in ("jaccard", "dice") and 0 <= threshold < 1:
-        dealt = _by_sizes(rows, metric, threshold, block)
-    else:
-        dealt = rows.withColumns({"own": _part(n), "partners": F.sequence(F.lit(0), F.lit(n - 1))})
+    dealt = _dealt(rows, metric, threshold, n, block, total)
     if n > 1:
         dealt, _ = materialize(dealt, "near-blocks")
     left = dealt.select(F.col("own").alias("qb"), F.explode(F.filter("partners", lambda b: b >= F.col("own"))).alias("rb"), *rows.columns)
@@ -350,8 +366,9 @@ def near_pairs(df: DataFrame, threshold: float, metric: str = "jaccard", id_col:
     return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(work, "src long, dst long, distance double")
 
 
-#: Rows of a block where lists of near rows leave it.
-LIST_BLOCK = 4_096
+#: Least rows of a block where lists of near rows leave it, and near pairs that a task holds before their lists leave (and
+#: those of one more piece).
+LIST_BLOCK, HELD = 4_096, 1 << 18
 
 
 def _lists(ids: np.ndarray, own: np.ndarray, at: np.ndarray, near: np.ndarray, weight: np.ndarray) -> pa.Table:
@@ -359,9 +376,10 @@ def _lists(ids: np.ndarray, own: np.ndarray, at: np.ndarray, near: np.ndarray, w
     order = np.argsort(at, kind="stable")
     at, near, weight = at[order], near[order], weight[order]
     begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.empty(0, np.int64)
-    ends = pa.array(np.append(begin, len(at)).astype(np.int32))
-    first = at[begin]
-    return pa.table({"id": ids[first], "own": own[first], "near": pa.ListArray.from_arrays(ends, pa.array(near)), "weight": pa.ListArray.from_arrays(ends, pa.array(weight))})
+    ends = np.append(begin, len(at))
+    first, held = at[begin], np.append(0, np.cumsum(weight))
+    cut = lambda x: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x))
+    return pa.table({"id": ids[first], "own": own[first], "links": np.diff(ends), "rows": np.diff(held[ends]), "near": cut(near), "weight": cut(weight)})
 
 
 def copies_of(df: DataFrame, threshold: float, metric: str = "jaccard", id_col: str = "id", features_col: str = "features") -> tuple[DataFrame, np.ndarray | None]:
@@ -372,8 +390,10 @@ def copies_of(df: DataFrame, threshold: float, metric: str = "jaccard", id_col:
 
     def within(batches):
         for batch in batches:
-            many = batch.column(2).to_numpy() > 0
-            keep = np.array([not m or bool(pairwise(metric, x[None], x[None], fitted)[0, 0] <= threshold) for m, x in zip(many, grid(pa.Table.from_batches([batch])), strict=True)], bool) if len(many) else many
+            many = np.flatnonzero(batch.column(2).to_numpy() > 0)
+            keep = np.ones(batch.num_rows, bool)
+            if len(many):
+                keep[many] = [bool(pairwise(metric, x[None], x[None], fitted)[0, 0] <= threshold) for x in grid(pa.Table.from_batches([batch]).take(many))]
             yield batch.filter(pa.array(keep))
 
     found = rows.groupBy("vec").agg(F.min("id").alias("id"), (F.count("*") - 1).alias("others")).select("id", "vec", "others")
@@ -381,33 +401,59 @@ def copies_of(df: DataFrame, threshold: float, metric: str = "jaccard", id_col:
 
 
 def near_lists(rows: DataFrame, threshold: float, metric: str, fitted: np.ndarray | None) -> DataFrame:
-    """(id, own, near, weight) for rows (id, vec, others): ids at most `threshold` from a row and how many rows each stands for.
+    """(id, own, links, rows, near, weight) for rows (id, vec, others): ids at most `threshold` from a row, how many rows each
+    stands for, and how many these are.
 
-    An id has one list for each other block that holds near rows, of LIST_BLOCK ids at most.
+    Blocks are so large that every core gets some pairs of them, within LARGE_BLOCK and LARGE_BYTES, so that below these bounds
+    their number, and the copies of a row, do not grow; a row is sent once to each block that may hold a near one. An id has
+    a list for each of these and for each HELD pairs that a task has found.
     """
-    left, right = _near_blocks(rows, metric, threshold, rows.count(), LIST_BLOCK)
+    total, width = rows.agg(F.count("*"), F.max(F.size("vec"))).first()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    block = max(LIST_BLOCK, min(LARGE_BLOCK, LARGE_BYTES // (8 * max(1, width or 1)), math.ceil(total / (8 * cores) ** 0.5)))
+    dealt = _dealt(rows, metric, threshold, -(-total // LIST_BLOCK), block, total)
+    sent = dealt.select(*rows.columns, "own", F.explode("partners").alias("to"))
+    sent = sent.select(F.least("own", "to").alias("qb"), F.greatest("own", "to").alias("rb"), (F.col("own") > F.col("to")).alias("second"), *rows.columns)
+
+    def work(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        same, sides = key[0].as_py() == key[1].as_py(), ([], [])
+        for batch in batches:
+            second = batch.column("second")
+            for side, kept in zip(sides, (pc.invert(second), second), strict=True):
+                part = batch.filter(kept)
+                if part.num_rows:
+                    # As they are sent; a piece at a time becomes doubles.
+                    side.append((part.column("id").to_numpy(), part.column("others").to_numpy(), part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)))
+        if not (sides[0] and (same or sides[1])):
+            return
+        x, own_x, u = first = [np.concatenate(c) for c in zip(*sides[0], strict=True)]
+        y, own_y, v = first if same else [np.concatenate(c) for c in zip(*sides[1], strict=True)]
+        found, held = [], 0
+
+        def lists() -> Iterator[pa.RecordBatch]:
+            p, q = (np.concatenate([pair[k] for pair in found]) for k in (0, 1))
+            if same:
+                p, q = np.concatenate([p, q]), np.concatenate([q, p])
+            else:
+                yield from _lists(y, own_y, q, x[p], own_x[p] + 1).to_batches()
+            yield from _lists(x, own_x, p, y[q], own_y[q] + 1).to_batches()
 
-    def work(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        none = np.empty(0, np.int64)
-        if not (a.num_rows and b.num_rows):
-            return _lists(none, none, none, none, none)
-        same = key[0].as_py() == key[1].as_py()
-        x, y = a.column("id").to_numpy(), b.column("id").to_numpy()
-        own_x, own_y = a.column("others").to_numpy(), b.column("others").to_numpy()
-        u, v, at = grid(a), grid(b), [(none, none)]
         for i in range(0, len(x), PIECE):
-            for j in range(0, len(y), PIECE):
-                near = pairwise(metric, u[i : i + PIECE], v[j : j + PIECE], fitted) <= threshold
+            a = u[i : i + PIECE].astype(np.float64)
+            for j in range(i if same else 0, len(y), PIECE):
+                near = pairwise(metric, a, v[j : j + PIECE].astype(np.float64), fitted) <= threshold
                 p, q = np.divmod(np.flatnonzero(near), near.shape[1])
-                apart = x[p + i] != y[q + j]
-                at.append((p[apart] + i, q[apart] + j))
-        p, q = (np.concatenate([pair[k] for pair in at]) for k in (0, 1))
-        out = [_lists(x, own_x, p, y[q], own_y[q] + 1)]
-        if not same:
-            out.append(_lists(y, own_y, q, x[p], own_x[p] + 1))
-        return pa.concat_tables(out)
-
-    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(work, "id long, own long, near array<long>, weight array<long>")
+                p, q = p + i, q + j
+                apart = (x[p] != y[q]) & (p < q) if same else x[p] != y[q]
+                found.append((p[apart], q[apart]))
+                held += len(found[-1][0])
+                if held >= HELD:
+                    yield from lists()
+                    found, held = [], 0
+        if held:
+            yield from lists()
+
+    return sent.groupBy("qb", "rb").applyInArrow(work, "id long, own long, links long, rows long, near array<long>, weight array<long>")
 
 
 STATS = "query_id long, scope string, grp string, n long, total double, least double, most double, near array<double>, far array<double>"
